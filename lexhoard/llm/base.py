@@ -13,6 +13,7 @@ from lexhoard.session import table
 BATCH_ROWS = 1000
 #: Words of the contracts that lower-case A-Z and split on everything ASCII but digits and letters.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: bytes.translate tables over UTF-8: bytes from 0x80 on belong to letters and stay.
@@ -38,7 +39,3 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def held_out(id_col: str = "doc_id") -> Column:
     """The rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexhoard.llm.base import WORD, ascii_lower, documents, keyed
+from lexhoard.llm.base import NOT_WORD, documents, keyed
 
 #: Words in a rolling hash; the shortest template has as many.
 K = 3
@@ -52,7 +52,10 @@ def template_grams(spark: SparkSession, base=BASE_PHRASES, notices=NOTICES) -> D
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
+    """Words in lower case. Lower-casing the kelvin sign would make an ASCII k of it, so another letter stands in for it:
+    template words are ASCII, and a word with a letter from beyond ASCII equals none of them."""
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
+    return F.array_remove(F.split(lower, NOT_WORD), "")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE_PHRASES, notices=NOTICES) -> DataFrame:
