@@ -75,7 +75,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     # Place 0 stands for the document itself, so that documents without a match stay; word i is at place i + 1.
     texts = texts.select("doc_id", "k", F.size("words").cast("long").alias("n_words"), F.concat(F.array(F.lit(0).cast("long")), hashes).alias("hashes"))
-    places = texts.select("doc_id", "k", "n_words", F.posexplode("hashes").alias("p", "h"))
+    # The outer form, though hashes are never empty: for the other one Spark infers a filter on their number and computes them twice.
+    places = texts.select("doc_id", "k", "n_words", F.posexplode_outer("hashes").alias("p", "h"))
     votes = (
         places.join(F.broadcast(template_grams(spark, base, notices)), (F.col("h") == F.col("th")) & (F.col("p") > 0), "left")
         .where("p = 0 or tid is not null")
