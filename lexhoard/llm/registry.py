@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from lexhoard.llm.decontaminate import ORACLE_OP3, op3_decontamination
 from lexhoard.llm.licenses import op1_licenses
+from lexhoard.llm.packing import op7_packing
+from lexhoard.llm.pii import op5_pii
+from lexhoard.llm.quality import op10_quality
 from lexhoard.llm.sharding import op8_sharding
+from lexhoard.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_licenses": op1_licenses,
+        "op2_toxicity": op2_toxicity,
+        "op3_decontamination": op3_decontamination,
+        "op5_pii": op5_pii,
+        "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
+        "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_decontamination": ORACLE_OP3}
