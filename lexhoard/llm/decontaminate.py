@@ -143,11 +143,11 @@ b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, n, g FROM (
   SELECT item_id, least(len(w), {WINDOW}) AS n,
     unnest(CASE WHEN len(w) <= {WINDOW} THEN [array_to_string(w, ' ')]
-           ELSE list_transform(range(1, len(w) - {WINDOW} + 2), i -> array_to_string(w[i:i + {WINDOW} - 1], ' ')) END) AS g
+           ELSE [array_to_string(w[i:i + {WINDOW} - 1], ' ') for i in range(1, len(w) - {WINDOW} + 2)] END) AS g
   FROM b WHERE len(w) > 0)),
 ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p,
-  unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(w[i:i + n - 1], ' '))) AS g
+  unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS g
   FROM d, ns WHERE len(w) >= n),
 hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, g)),
 q AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
