@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexhoard.session import table
 
 #: Rows in an Arrow batch for functions over whole texts, so that a batch of long texts fits in a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 #: Words of the contracts that lower-case A-Z and split on everything ASCII but digits and letters.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"

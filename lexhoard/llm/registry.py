@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexhoard.llm.decontaminate import ORACLE_OP3, op3_decontamination
+from lexhoard.llm.jaccard import ORACLE_OP9, op9_jaccard
 from lexhoard.llm.licenses import op1_licenses
 from lexhoard.llm.packing import op7_packing
 from lexhoard.llm.pii import op5_pii
@@ -19,9 +20,10 @@ def queries() -> dict:
         "op5_pii": op5_pii,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
+        "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": ORACLE_OP3}
+    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9}
