@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lexhoard.llm.decontaminate import ORACLE_OP3, op3_decontamination
 from lexhoard.llm.jaccard import ORACLE_OP9, op9_jaccard
+from lexhoard.llm.language import op4_language
 from lexhoard.llm.licenses import op1_licenses
 from lexhoard.llm.packing import op7_packing
 from lexhoard.llm.pii import op5_pii
 from lexhoard.llm.quality import op10_quality
 from lexhoard.llm.sharding import op8_sharding
+from lexhoard.llm.suffixes import op6_suffixes
 from lexhoard.llm.toxicity import op2_toxicity
 
 
@@ -17,7 +19,9 @@ def queries() -> dict:
         "op1_licenses": op1_licenses,
         "op2_toxicity": op2_toxicity,
         "op3_decontamination": op3_decontamination,
+        "op4_language": op4_language,
         "op5_pii": op5_pii,
+        "op6_suffixes": op6_suffixes,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_jaccard": op9_jaccard,
