@@ -19,7 +19,7 @@ from lexhoard.llm.base import arrow_sized, documents, held_out
 #: Rows of each language that are learned from, at most (as an expected number of a hash sample).
 MAX_PER_LANGUAGE = 300
 #: Units of each direction, bytes in a segment, segments that go through the network together.
-UNITS, SEGMENT, TOGETHER = 8, 64, 4096
+UNITS, SEGMENT, TOGETHER = 8, 64, 2048
 STEPS, BATCH = 160, 160
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -108,39 +108,41 @@ def train_network(rows: list[tuple[bytes, int]], n_classes: int, steps: int = ST
 
 
 def _ready(p: dict) -> dict:
-    """Single precision, gates scaled so that a sigmoid is one tanh."""
-    out = {k: v.astype(np.float32) for k, v in p.items()}
+    """Single precision, units before segments, gates scaled so that a sigmoid is one tanh."""
+    out = {k: np.ascontiguousarray(v.T, np.float32) for k, v in p.items()}
     for d in "fb":
-        out[f"x{d}"][:, : 2 * UNITS] *= 0.5
-        out[f"u{d}"][:, : 2 * UNITS] *= 0.5
+        out[f"x{d}"][: 2 * UNITS] *= 0.5
+        out[f"u{d}"][: 2 * UNITS] *= 0.5
     return out
 
 
 def _segment_sums(p: dict, x: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Sum of the position probabilities of each segment (segments x classes). Arrays are laid out by step."""
+    """Sum of the position probabilities of each segment (classes x segments). x and there are steps x segments."""
     steps, n = x.shape
-    hidden = {}
+    logits = np.empty((steps, len(p["c"]), n), np.float32)
+    logits[:] = p["c"][:, None]
+    a, hu, new = (np.empty((k * UNITS, n), np.float32) for k in (3, 3, 1))
     for d in "fb":
-        h = np.zeros((n, UNITS), np.float32)
-        hidden[d] = np.empty((steps, n, UNITS), np.float32)
+        h = np.zeros((UNITS, n), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            a, hu = p[f"x{d}"][x[t]], h @ p[f"u{d}"]
-            gates = a[:, : 2 * UNITS]
-            gates += hu[:, : 2 * UNITS]
+            np.take(p[f"x{d}"], x[t], axis=1, out=a, mode="clip")
+            np.matmul(p[f"u{d}"], h, out=hu)
+            gates = a[: 2 * UNITS]
+            gates += hu[: 2 * UNITS]
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            new = hu[:, 2 * UNITS :]
-            new *= gates[:, UNITS:]
-            new += a[:, 2 * UNITS :]
+            np.multiply(hu[2 * UNITS :], gates[UNITS:], out=new)
+            new += a[2 * UNITS :]
             np.tanh(new, out=new)
-            h = new + gates[:, :UNITS] * (h - new)
-            h *= there[t][:, None]
-            hidden[d][t] = h
-    logits = hidden["f"].reshape(-1, UNITS) @ p["vf"] + hidden["b"].reshape(-1, UNITS) @ p["vb"] + p["c"]
-    np.exp(np.minimum(logits, 60), out=logits)
-    logits *= there.reshape(-1, 1) / logits.sum(1, keepdims=True)
-    return logits.reshape(steps, n, -1).sum(0)
+            h -= new
+            h *= gates[:UNITS]
+            h += new
+            h *= there[t]
+            logits[t] += p[f"v{d}"] @ h
+    np.exp(np.minimum(logits, 60, out=logits), out=logits)
+    logits *= (there / logits.sum(1))[:, None]
+    return logits.sum(0)
 
 
 def document_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
@@ -156,7 +158,7 @@ def document_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
     for i in range(0, len(doc), TOGETHER):
         at = start[i : i + TOGETHER] + np.arange(SEGMENT)[:, None]
         there = np.arange(SEGMENT)[:, None] < left[i : i + TOGETHER]
-        np.add.at(total, doc[i : i + TOGETHER], _segment_sums(p, data[at], there.astype(np.float32)))
+        np.add.at(total, doc[i : i + TOGETHER], _segment_sums(p, data[at], there.astype(np.float32)).T)
     return total / np.maximum(sizes, 1)[:, None]
 
 
