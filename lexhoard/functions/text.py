@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 DOI_PATTERN = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
 #: Entities that are replaced natively, the ampersand last.
@@ -24,12 +25,12 @@ def normalize_doi(c: Column) -> Column:
     return empty_to_null(F.regexp_replace(bare, "[ .]+$", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_strip(s: pd.Series) -> pd.Series:
     """Without combining marks."""
     return s.map(lambda x: "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y)), na_action="ignore")
@@ -90,7 +91,7 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(left) > 0) & (F.size(right) > 0), both / (F.size(left) + F.size(right) - both)).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of the arguments matters. For pairs that cheap filters have left."""
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
