@@ -64,8 +64,8 @@ def rule_evidence(rule: Rule, fields: str = "_fields") -> Column:
     lower = F.transform(said, lambda x: F.lower(x))
     first = F.filter(F.transform(said, lambda x, i: F.when(F.array_position(lower, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
     stopped = F.lit(False)
-    for p in rule.negative_patterns:
-        stopped = stopped | F.exists(fields, lambda f, p=p: f["text"].rlike(_insensitive(p)))
+    for p in map(_insensitive, rule.negative_patterns):
+        stopped = stopped | F.exists(fields, lambda f: f["text"].rlike(p))  # noqa: B023  called at once
     confidence = F.bround(F.least(F.lit(1.0), score / max(3 * rule.minimum_score, 1.0)), 3)
     out = F.struct(F.lit(rule.label).alias("label"), confidence.alias("confidence"), first.alias("matched_phrases"), F.transform(hits, lambda f: f["name"]).alias("fields"), F.lit("deterministic-rules").alias("method"))
     return F.when(~stopped & (score >= rule.minimum_score), out)
@@ -99,7 +99,8 @@ def metadata_labels(df: DataFrame) -> DataFrame:
 def apply_global_negatives(df: DataFrame, patterns: list[str], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """Records without a modality in which a pattern is found are excluded, with a reason for each phrase found."""
     fields = searchable_fields(df, weights)
-    found = F.flatten(F.array(*[F.flatten(F.transform(fields, lambda f, p=p: F.regexp_extract_all(f["text"], F.lit(_insensitive(p)), F.lit(0)))) for p in patterns]))
+    said = lambda pattern: F.flatten(F.transform(fields, lambda f: F.regexp_extract_all(f["text"], F.lit(_insensitive(pattern)), F.lit(0))))
+    found = F.flatten(F.array(*[said(p) for p in patterns]))
     reasons = F.transform(found, lambda x: F.concat(F.lit("classification negative pattern: "), x))
     hit = (F.size(found) > 0) & (F.size("modalities") == 0)
     before = F.coalesce("exclusion_reasons", F.array().cast(_STRINGS))

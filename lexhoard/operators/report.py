@@ -33,7 +33,8 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value, n) over all columns in one pass."""
     kinds = dict(df.dtypes)
     values = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if kinds[c].startswith("array") else F.array(F.col(c))
-    entries = F.concat(*[F.transform(values(c), lambda v, c=c: F.struct(F.lit(c).alias("facet"), v.alias("value"))) for c in columns])
+    named = lambda c: F.transform(values(c), lambda v: F.struct(F.lit(c).alias("facet"), v.alias("value")))
+    entries = F.concat(*[named(c) for c in columns])
     return df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
