@@ -187,7 +187,7 @@ def normalize_crossref(df: DataFrame) -> DataFrame:
 def normalize_feed(df: DataFrame, name: str, source_type: str = "news") -> DataFrame:
     """One record per item with a title and an http(s) link."""
     regulatory = source_type == "regulatory"
-    day = F.coalesce(F.to_date(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))), F.try_to_date(F.substring("pubDate", 1, 10), "yyyy-MM-dd"))
+    day = F.coalesce(F.to_date(F.try_to_timestamp(F.regexp_replace(F.regexp_replace("pubDate", r"^\w{3},\s*", ""), r"(?:GMT|UTC?|Z)$", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))), F.try_to_date(F.substring("pubDate", 1, 10), "yyyy-MM-dd"))
     native = F.coalesce(empty_to_null(F.trim("guid")), F.col("link"))
     return df.where(safe_url(F.trim("link")).isNotNull()).select(
         F.concat(F.lit(f"rss:{name}:"), native).alias("id"), F.lit("regulatory" if regulatory else "news").alias("record_type"), F.array(F.lit("rss"), F.lit(source_type)).alias("source_types"), F.create_map(F.lit(f"rss:{name}"), native).alias("source_ids"),
