@@ -139,7 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").where(~held_out())
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, max_labelled / max(1, n))))
-    rows = some.join(docs.select("doc_id", "text"), "doc_id").where("text is not null").orderBy("doc_id", "quality", "text").collect()  # bounded by max_labelled
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null").orderBy("doc_id", "quality", "text").collect()  # bounded by max_labelled
     return train_field([(r["text"].encode(), r["quality"]) for r in rows])
 
 
