@@ -30,6 +30,8 @@ HOMOGLYPHS = dict(zip("аеорсухіѕјԁɡοανАВЕКМНОРСТХΑΒ
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 #: Words for @ and for a full stop.
 AT_WORDS, DOT_WORDS = ["at", "arroba"], ["dot", "punkt", "punto", "point"]
+#: Last labels that an address written with bare words must end in, as "at" and "dot" are common words.
+LAST_LABELS = ["com", "org", "net", "edu", "gov", "int", "info", "biz", "io", "ai", "app", "dev", "co", "us", "uk", "eu", "de", "fr", "es", "it", "nl", "ch", "at", "ca", "au", "jp", "cn", "in", "br", "mx"]
 #: Digit words in a row that count as a number written out.
 MIN_SPELLED = 7
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
@@ -38,7 +40,7 @@ _at, _dot, _digit = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(DIGIT_WORD
 _LOOKS = "[" + "".join(HOMOGLYPHS) + "\uff01-\uff5e" + _INVISIBLE + "]"
 _BRACKETED = rf"\s?[(\[{{<]\s?(?:{_at}|{_dot})\s?[)\]}}>]\s?"
 _SPELLED = rf"\b(?:plus[\s-]{{1,3}})?(?:{_digit})(?:[\s,-]{{1,3}}(?:{_digit})){{{MIN_SPELLED - 1},}}\b"
-_ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s(?:{_at})\s|@)[A-Za-z0-9-]{{1,63}}(?:\s(?:{_dot})\s[A-Za-z0-9-]{{1,63}}){{1,8}}"
+_ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s(?:{_at})\s|@)[A-Za-z0-9-]{{1,63}}(?:\s(?:{_dot})\s[A-Za-z0-9-]{{1,63}}){{0,8}}?\s(?:{_dot})\s(?:{'|'.join(LAST_LABELS)})\b"
 _DISGUISE = re.compile(rf"(?i:{_BRACKETED}|{_SPELLED})|{_LOOKS}|(?i:\s(?:{_dot})\s)")
 _REWRITE = re.compile(rf"(?P<bracket>(?i:{_BRACKETED}))|(?P<spelled>(?i:{_SPELLED}))|(?P<looks>{_LOOKS})|(?P<address>(?i:{_ADDRESS}))")
 
