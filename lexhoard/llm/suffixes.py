@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,10 +146,18 @@ def _contexts(hot: np.ndarray, length: int):
     return find
 
 
+def _packed(batches):
+    """Texts as they are shuffled: packed in half the space that the shuffle's own compression takes."""
+    pack = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t and pack(t) for t in texts], pa.binary())], ["doc_id", "k", "text"])
+
+
 def _cut(length: int):
     def cut(batches):
         for batch in batches:
-            rows, texts = batch.column(1).to_pylist(), batch.column(0).cast(pa.binary()).to_pylist()
+            rows, texts = batch.column(1).to_pylist(), [zstandard.decompress(x) for x in batch.column(0).to_pylist()]
             out = [(x["a"], x["c"], t[x["start"] : x["start"] + x["n"] + length - 1]) for t, xs in zip(texts, rows, strict=True) for x in xs]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], (pa.int64(), pa.int64(), pa.binary())[i]) for i in range(3)], ["a", "c", "context"])
@@ -191,8 +200,8 @@ def _removed(length: int):
     def remove(batches):
         for batch in batches:
             out = []
-            for text, lo, hi in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text, runs = text or b"", []
+            for text, lo, hi in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text, runs = zstandard.decompress(text) if text else b"", []
                 for a, b in sorted(zip(lo or [], hi or [], strict=True)):
                     b += length
                     if runs and a <= runs[-1][1]:
@@ -227,7 +236,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     contexts = saved(contexts)
     shared = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
     ones = contexts.join(shared, "a", "left_semi").select("a", "c", "one.*").groupBy("k").agg(F.collect_list(F.struct("a", "c", "start", "n")).alias("wanted"))
-    texts = rows.select("k", "text").join(ones, "k").select("text", "wanted")
+    id_type = rows.schema[0].dataType.simpleString()
+    packed = rows.select("doc_id", "k", "text").mapInArrow(_packed, f"doc_id {id_type}, k long, text binary")
+    texts = packed.join(ones, "k").select("text", "wanted")
     # Rows with equal doc_id and text are one text here, and cut twice; equal contexts of one place must count once.
     cut = texts.mapInArrow(_cut(length), "a long, c long, context binary").repartition("a").dropDuplicates(["a", "c"])
     within = cut.sortWithinPartitions("a").mapInArrow(_refined(length), "a long, c long, lo array<int>, hi array<int>")
@@ -237,8 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     moved = lambda name: F.transform(name, lambda x: x + F.col("start")).alias(name)
     spans = places.join(repeated, ["a", "c"]).select("k", moved("lo"), moved("hi")).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
     spans = spans.select("k", F.flatten("s.lo").alias("lo"), F.flatten("s.hi").alias("hi"))
-    id_type = rows.schema[0].dataType.simpleString()
-    return rows.join(spans, "k", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_removed(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary")
+    return packed.join(spans, "k", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_removed(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
