@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
@@ -17,7 +17,6 @@ from lexhoard.plans import streams
 from lexhoard.session import table
 
 AS_OF = "2024-02-15"
-DAY = F.col
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -61,8 +60,13 @@ CASE lang WHEN 'de' THEN 'preprint' WHEN 'fr' THEN 'clinical_trial' ELSE 'public
 CAST(CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS DATE) AS VARCHAR) AS day, CAST(doc_id * 37 % 101 AS DOUBLE) AS score, doc_id % 13 = 0 AS excluded,
 list_filter([CASE WHEN contains(lower(text), 'license') THEN 'mRNA' END, CASE WHEN contains(lower(text), 'token') THEN 'siRNA' END], lambda x: x IS NOT NULL) AS modalities,
 contains(lower(text), 'benchmark') AS crispr, contains(lower(text), 'http') AS delivery FROM documents)"""
-WHEN = F.col("updated_date")
-DAY_TEXT = F.col("updated_date").cast("string").alias("day")
+
+
+def updated() -> Column:
+    """The record view's date. Made on call: Columns need a session."""
+    return F.col("updated_date")
+
+
 
 RULES = [
     classify.Rule("topics", "terms", [r"\blicen[sc]ed?\b", r"\btoken\b"], minimum_score=1.0),
@@ -75,7 +79,7 @@ WEIGHTS = {"title": 3.0, "abstract": 1.0}
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope, classify, score, and count facets."""
     scoped = select.apply_query_scope(records(spark, sf_dir), ["the", "der", "que"], ["idiot"], keywords=None)
-    scored = classify.score(classify.classify(scoped, RULES, WEIGHTS), AS_OF, WHEN)
+    scored = classify.score(classify.classify(scoped, RULES, WEIGHTS), AS_OF, updated())
     return report.facets(scored, ["record_type", "source_types", "topics", "methods", "modalities"])
 
 
@@ -201,7 +205,7 @@ def window_filter(spark, sf):
 
 @query(f"WITH {R} SELECT doc_id FROM r WHERE day BETWEEN '2024-01-17' AND '{AS_OF}'")
 def retain_recent(spark, sf):
-    return select.retain_recent(records(spark, sf), AS_OF, 30, WHEN).select("doc_id")
+    return select.retain_recent(records(spark, sf), AS_OF, 30, updated()).select("doc_id")
 
 
 @query(f"WITH {R} SELECT doc_id FROM r WHERE day BETWEEN '2024-02-09' AND '{AS_OF}'")
@@ -212,7 +216,7 @@ def last_days(spark, sf):
 @query(f"WITH {R}, t AS (SELECT *, regexp_replace(lower(strip_accents(title || ' ' || abstract)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS h FROM r) SELECT doc_id FROM t WHERE NOT excluded AND contains(h, 'the') AND contains(h, 'er') AND score >= 20 AND day >= '2024-01-05' AND day <= '2024-02-20' AND lang IN ('en', 'fr')")
 def filter_records(spark, sf):
     df = records(spark, sf).where("lang in ('en', 'fr')")
-    return select.filter_records(df, text="THÉ er", min_score=20, date_from="2024-01-05", date_to="2024-02-20", when=WHEN).select("doc_id")
+    return select.filter_records(df, text="THÉ er", min_score=20, date_from="2024-01-05", date_to="2024-02-20", when=updated()).select("doc_id")
 
 
 @query(f"WITH {R} SELECT doc_id FROM r WHERE list_contains(modalities, 'mRNA')")
@@ -253,22 +257,22 @@ def split_valid(spark, sf):
 
 @query(f"WITH {R} SELECT doc_id, day, score FROM r WHERE NOT excluded ORDER BY day DESC, score DESC, id LIMIT 100")
 def latest(spark, sf):
-    return select.latest(records(spark, sf), 100, WHEN).select("doc_id", DAY_TEXT, F.col("relevance_score").alias("score"))
+    return select.latest(records(spark, sf), 100, updated()).select("doc_id", updated().cast("string").alias("day"), F.col("relevance_score").alias("score"))
 
 
 @query(f"WITH {R} SELECT doc_id, score FROM r ORDER BY score DESC, day DESC, id LIMIT 25 OFFSET 25")
 def sort_and_page(spark, sf):
-    return select.page(select.sort_records(records(spark, sf), "score-desc", WHEN), 1).select("doc_id", F.col("relevance_score").alias("score"))
+    return select.page(select.sort_records(records(spark, sf), "score-desc", updated()), 1).select("doc_id", F.col("relevance_score").alias("score"))
 
 
 @query(f"WITH {R} SELECT doc_id, source FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY day DESC, doc_id) <= 3")
 def limit_per_source(spark, sf):
-    return select.limit_per_source(records(spark, sf), 3, "source", [WHEN.desc(), F.col("doc_id")]).select("doc_id", "source")
+    return select.limit_per_source(records(spark, sf), 3, "source", [updated().desc(), F.col("doc_id")]).select("doc_id", "source")
 
 
 @query(f"WITH {R} SELECT day AS date, title, array_to_string(modalities, '; ') AS modalities, score AS relevance_score FROM r")
 def flat_view(spark, sf):
-    return select.flat_view(records(spark, sf), WHEN).select("date", "title", "modalities", "relevance_score")
+    return select.flat_view(records(spark, sf), updated()).select("date", "title", "modalities", "relevance_score")
 
 
 @query("SELECT doc_id AS key, 'documents' AS origin FROM documents UNION ALL SELECT item_id, 'benchmark' FROM benchmark")
@@ -489,7 +493,7 @@ def metadata_labels(spark, sf):
 + CASE WHEN day > '{AS_OF}' THEN 0.0 WHEN datediff('day', CAST(day AS DATE), DATE '{AS_OF}') <= 7 THEN 5.0 WHEN datediff('day', CAST(day AS DATE), DATE '{AS_OF}') <= 30 THEN 4.0 WHEN datediff('day', CAST(day AS DATE), DATE '{AS_OF}') <= 90 THEN 2.0 ELSE 1.0 END AS s FROM r)
 SELECT doc_id, CASE WHEN excluded THEN least(s, 15.0) ELSE s END::DOUBLE AS score, CASE WHEN excluded THEN 11 ELSE 10 END AS n_components FROM p""")
 def score(spark, sf):
-    return classify.score(records(spark, sf).drop("relevance_score", "topics"), AS_OF, WHEN).select("doc_id", F.col("relevance_score").alias("score"), F.size("score_components").alias("n_components"))
+    return classify.score(records(spark, sf).drop("relevance_score", "topics"), AS_OF, updated()).select("doc_id", F.col("relevance_score").alias("score"), F.size("score_components").alias("n_components"))
 
 
 @query(f"WITH {R} SELECT count(*) AS total, count(*) FILTER (NOT excluded) AS included, count(*) FILTER (excluded) AS excluded, 0::BIGINT AS changed, round_even(avg(score) FILTER (NOT excluded), 2) AS mean_score FROM r")
