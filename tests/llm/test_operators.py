@@ -182,11 +182,11 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize(("block", "wide"), [(1_000_000, 24), (300, 24), (300, 1)])
-def test_jaccard_families(spark, monkeypatch, block, wide):
+@pytest.mark.parametrize(("block", "together"), [(1_000_000, 4000), (1_000_000, 3), (300, 3)])
+def test_jaccard_families(spark, monkeypatch, block, together):
     """Many variants near the threshold, whose links only partly run over one hub."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
     rows = []
