@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that looks disguised (leetspeak, spaced letters, stretched letters) becomes a lattice: each character may stand for
-several letters or for none, at a cost of the channel. Viterbi decoding finds the reading that is most likely under a
-character trigram model. The restored text is then scored by the words in it that mark toxic texts.
+A token that may be disguised (a leet character or filler next to a letter, single letters in a row, a doubled letter) becomes a
+lattice: each character may stand for several letters, for none or for a word boundary, at a cost of the channel. Viterbi decoding
+finds the reading that is most likely under a character trigram model, with markers as known words. The words of the text as it is
+and as restored that mark toxic texts give its score.
 Model and scorer learn from labelled rows that are not held out.
 """
 
@@ -29,74 +30,125 @@ THRESHOLD = 0.3
 
 #: Letters a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "*": "aeiou"}
-#: Costs (log probabilities) of a substitution, of dropping a repeated letter, and of dropping a filler.
-SUBSTITUTE, REPEAT, FILLER = -1.0, -0.5, -0.2
+#: Costs (log probabilities) of a substitution, of dropping a repeated letter, of dropping a filler or end punctuation, of a
+#: word boundary where a filler stands, and of dropping a letter-like sign at an end.
+SUBSTITUTE, REPEAT, FILLER, BOUNDARY, SIGN = -1.0, -0.5, -0.2, -0.2, -3.0
+#: Log odds that a disguised word is a marker rather than any other word, as markers are what is worth a disguise.
+DISGUISED = 3.0
 _FILL = " ._*-"
 
 _leet = re.escape("".join(c for c in LEET if c != "*"))
+_LETTER = r"[^\W\d_]"
+#: What makes a token suspect: a run of single letters and leet characters, a leet character or filler next to a letter, or a doubled letter.
 SUSPECT = re.compile(
-    rf"[A-Za-z][{_leet}*]{{1,2}}[A-Za-z]|(?<![A-Za-z0-9])[{_leet}][A-Za-z]{{2}}|([A-Za-z])\1\1|(?<![^\s.*_-])[A-Za-z](?:[ ._*-][A-Za-z]){{2,}}(?![A-Za-z])"
+    rf"(?P<run>(?<![\w{_leet}])(?:{_LETTER}|[{_leet}])(?:[\s._*-]{{1,3}}(?:{_LETTER}|[{_leet}])){{2,}}(?![\w{_leet}]))"
+    rf"|{_LETTER}[{_leet}*]|[{_leet}*]{_LETTER}|{_LETTER}[._*-]+[\w{_leet}]|[{_leet}][._*-]+{_LETTER}|({_LETTER})\2",
+    re.IGNORECASE,
 )
-#: Longest token that is decoded as one; longer ones are no words.
+_REST = re.compile(r"\S*")
+_HAS_LETTER = re.compile(_LETTER)
+#: Punctuation at the ends of a token that stands for no letter.
+_PUNCTUATION = ".,;:?\"'()[]{}<>%&#\u2018\u2019\u201c\u201d\u00ab\u00bb\u00a1\u00bf\u2026"
+#: Longest token whose reading is remembered; longer ones are read anew each time.
 MAX_TOKEN = 60
 
 
-def decode(token: str, model: dict[str, float], floor: float) -> str:
-    """The most likely plain reading of a disguised token."""
-    best = {"^^": (0.0, "")}
+def lexicon(bonus: dict[str, float]) -> tuple[dict[str, float], frozenset[str]]:
+    """Words with what each is likelier as a word than by its trigrams, and all their beginnings."""
+    return bonus, frozenset(w[:i] for w in bonus for i in range(len(w) + 1))
+
+
+def decode(token: str, model: dict[str, float], floor: float, words: tuple[dict[str, float], frozenset[str]] = ({}, frozenset())) -> str:
+    """The most likely plain reading of a disguised token, in time linear in its length. Readings are kept as linked letters."""
+    bonus, begun = words
+    text = token.lower()
+    inner = [i for i, c in enumerate(text) if c.isalnum()]
+    first, last = (inner[0], inner[-1]) if inner else (0, -1)
+    # A state is the last two letters and the word so far, if a known word begins so.
+    best: dict[tuple, tuple] = {("^^", "" if begun else None): (0.0, None)}
     before = ""
-    for c in token.lower():
-        ways = [(c, 0.0)] if "a" <= c <= "z" else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-        if c == before and "a" <= c <= "z":
+    for i, c in enumerate(text):
+        ways = [(c, 0.0)] if c.isalpha() else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
+        if c == before and ways:
             ways.append(("", REPEAT))
-        if c in _FILL or not ways:
+        if c in _FILL or c.isspace() or not ways or (c == "!" and i > last):
             ways.append(("", FILLER))
-        now: dict[str, tuple[float, str]] = {}
+        elif not c.isalnum() and not first < i < last:
+            ways.append(("", SIGN))
+        now: dict[tuple, tuple] = {}
         for state, (score, out) in best.items():
+            two, word = state
             for x, cost in ways:
-                to = state[1] + x if x else state
-                s = score + cost + (model.get(state + x, floor) if x else 0.0)
+                if x:
+                    longer = None if word is None or word + x not in begun else word + x
+                    to, s, path = (two[1] + x, longer), score + cost + model.get(two + x, floor), (out, x)
+                else:
+                    to, s, path = state, score + cost, out
+                if to not in now or s > now[to][0]:
+                    now[to] = (s, path)
+            if two != "^^" and not c.isalnum():
+                to, s = ("^^", "" if begun else None), score + BOUNDARY + model.get(two + "^", floor) + bonus.get(word, 0.0)
                 if to not in now or s > now[to][0]:
-                    now[to] = (s, out + x)
+                    now[to] = (s, (out, " "))
         best, before = now, c
-    return max((s + model.get(state + "^", floor), out) for state, (s, out) in best.items())[1]
+    ends = {state: score + (model.get(state[0] + "^", floor) + bonus.get(state[1], 0.0) if state[0] != "^^" else 0.0) for state, (score, _) in best.items()}
+    out, letters = best[max(ends, key=lambda state: (ends[state], state[0]))][1], []
+    while out:
+        out, x = out
+        letters.append(x)
+    return "".join(reversed(letters)).strip()
 
 
-def restore(text: str, read) -> str:
-    """The text with its disguised tokens replaced by their readings."""
+def readings(text: str, read) -> list[tuple[int, int, str]]:
+    """(start, end, reading) of the suspect tokens of a text, in order."""
     out, last = [], 0
     for m in SUSPECT.finditer(text):
         if m.start() < last:
             continue
         a, b = m.span()
-        while a > last and b - a < MAX_TOKEN and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and b - a < MAX_TOKEN and not text[b].isspace():
-            b += 1
-        token = text[a:b]
-        core = token.strip(".,;:!?\"'()*%&#$")
-        if core and (core[0].isalnum() or core[0] in LEET):
-            at = token.index(core)
-            out += [text[last : a + at], read(core)]
-            last = a + at + len(core)
+        if m["run"] is None:
+            while a > last and not text[a - 1].isspace():
+                a -= 1
+            b = _REST.match(text, b).end()
+        last = b
+        core = text[a:b].strip(_PUNCTUATION)
+        if core and _HAS_LETTER.search(core):
+            a = text.index(core, a)
+            out.append((a, a + len(core), read(core)))
+    return out
+
+
+def restore(text: str, read) -> str:
+    """The text with its disguised tokens replaced by their readings."""
+    out, last = [], 0
+    for a, b, plain in readings(text, read):
+        out += [text[last:a], plain]
+        last = b
     return "".join(out) + text[last:] if out else text
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode().translate(WORDS_OF).split()
+
+
 def _signal(text: str | None, read, weights: dict[bytes, float]) -> float:
-    """Weight of the strongest marker in the restored text: one insult is enough, however long the text is."""
+    """Weight of the strongest marker in the text as it is or restored: one insult is enough, however long the text is."""
     if not text:
         return 0.0
-    found = set(restore(text, read).encode().translate(WORDS_OF).split())
+    found = set(_words(text))
+    found.update(_words(" ".join({plain for _, _, plain in readings(text, read)})))
     return max((weights[w] for w in found.intersection(weights)), default=0.0)
 
 
-def _reader(model: dict[str, float], floor: float):
-    return lru_cache(100_000)(lambda token: decode(token, model, floor))
+def _reader(model: dict[str, float], floor: float, bonus: dict[str, float]):
+    words = lexicon(bonus)
+    short = lru_cache(100_000)(lambda token: decode(token, model, floor, words))
+    return lambda token: short(token) if len(token) <= MAX_TOKEN else decode(token, model, floor, words)
 
 
-def _scores(trigrams, floor, weights, slope, bias, at):
+def _scores(trigrams, floor, weights, slope, bias, bonus, at):
     def score(batches):
-        read = _reader(trigrams, floor)
+        read = _reader(trigrams, floor, bonus)
         for batch in batches:
             x = [bias + slope * _signal(t, read, weights) for t in batch.column(at).to_pylist()]
             new = pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in x], pa.float64())
@@ -106,7 +158,7 @@ def _scores(trigrams, floor, weights, slope, bias, at):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple:
-    """(trigram model, its floor, marker weights, slope, bias), learned from a hash sample of labelled rows.
+    """(trigram model, its floor, marker weights, slope, bias, bonus of each marker as a word), learned from a hash sample of labelled rows.
 
     Word and trigram counts are made in Spark; what reaches the driver is bounded: trigrams by the alphabet, markers by
     MIN_SHARE. Without toxic rows every score is the base rate's.
@@ -124,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     both = F.col("in_toxic") + F.col("in_clean")
     part = lambda n, size: F.when(n > 0, n * F.log(n * (toxic + clean) / (both * float(max(1, size))))).otherwise(0.0)
     g2 = 2 * (part(F.col("in_toxic"), toxic) + part(F.col("in_clean"), clean))
-    found = table_.where((g2 >= MIN_G2) & (F.col("in_toxic") >= max(3, MIN_SHARE * toxic)) & (ratio >= MIN_RATIO)).select("word", F.log(ratio).alias("weight")).orderBy("word").collect()
+    found = table_.where((g2 >= MIN_G2) & (F.col("in_toxic") >= max(3, MIN_SHARE * toxic)) & (ratio >= MIN_RATIO)).select("word", F.log(ratio).alias("weight"), both.alias("n")).orderBy("word").collect()
     weights = {r["word"].encode(): r["weight"] for r in found}
     # Markers weigh in the character model as often as texts hold them; else rare words would shape it.
     padded = F.concat(F.lit("^^"), F.col("word"), F.lit("^"))
@@ -135,16 +187,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
         before[r["gram"][:2]] = before.get(r["gram"][:2], 0) + r["n"]
     trigrams = {r["gram"]: math.log((r["n"] + 0.01) / (before[r["gram"][:2]] + 0.27)) for r in grams}
     floor = math.log(1e-4)
+    total = table_.agg(F.sum(both)).collect()[0][0]
+    spelled = lambda w: sum(trigrams.get(f"^^{w}^"[i : i + 3], floor) for i in range(len(w) + 1))
+    bonus = {r["word"]: DISGUISED + max(0.0, math.log(r["n"] / total) - spelled(r["word"])) for r in found}
 
     def signals(batches):
-        read = _reader(trigrams, floor)
+        read = _reader(trigrams, floor, bonus)
         for batch in batches:
             x = [round(2 * _signal(t, read, weights)) / 2 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["toxic", "x"])
 
     points = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(signals, "toxic int, x double").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()  # by half points
     slope, bias = _logistic([(r["x"], r["toxic"], r["n"]) for r in points])
-    return trigrams, floor, weights, slope, bias
+    return trigrams, floor, weights, slope, bias, bonus
 
 
 def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:

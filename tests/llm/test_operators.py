@@ -295,6 +295,23 @@ def test_toxicity(spark, docs, toxic_model):
     assert toxicity.score_toxicity(docs, toxic_model).count() == docs.count()
 
 
+@pytest.mark.parametrize(
+    "text", ["l053r", "a l0$3r!", "idio7", "idi07", "(idi07)", "iddiot", "i d 1 0 t", "i-d-1-0-t", "a i d i o t", "m o r o n i d i o t", "you-are-idi0t", "$tupid", "i  d  i  o  t", "x" * 70 + "." + "y.z" * 30 + "-1d10t"]
+)
+def test_toxicity_reads_every_disguise(spark, text):
+    words = ["the", "and", "a", "river", "stone", "walking", "letter", "number", "sister", "under", "aid"]
+    rng = random.Random(8)
+    rows = [" ".join(rng.choice(words) for _ in range(40)) + (" you idiot and moron stupid loser " if i % 5 == 0 else "") for i in range(900)]
+    if not hasattr(test_toxicity_reads_every_disguise, "model"):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+        test_toxicity_reads_every_disguise.model = toxicity.fit_toxicity(docs, labels)
+    trigrams, floor, weights, _, _, bonus = test_toxicity_reads_every_disguise.model
+    assert toxicity._signal(f"the river {text} walking", toxicity._reader(trigrams, floor, bonus), weights) > 0
+    for clean in ["a letter and a b c", "well-known 3rd of 1999", "you!!", "THE!!"]:
+        assert "idiot" not in toxicity.restore(clean, toxicity._reader(trigrams, floor, bonus))
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, none)
