@@ -4,13 +4,14 @@ A token that may be disguised (a leet character or filler next to a letter, sing
 lattice: each character may stand for several letters, for none or for a word boundary, at a cost of the channel. Viterbi decoding
 finds the reading that is most likely under a character trigram model, with markers as known words. The words of the text as it is
 and as restored that mark toxic texts give its score.
-Model and scorer learn from labelled rows that are not held out.
+The model counts all documents and the scorer learns from labelled rows, without those that are held out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,17 +41,25 @@ _FILL = " ._*-"
 _leet = re.escape("".join(c for c in LEET if c != "*"))
 _LETTER = r"[^\W\d_]"
 #: What makes a token suspect: a run of single letters and leet characters, a leet character or filler next to a letter, or a doubled letter.
+_RUN = rf"(?<![\w{_leet}])(?:{_LETTER}|[{_leet}])(?:[\s._*-]{{1,3}}(?:{_LETTER}|[{_leet}])){{2,}}(?![\w{_leet}])"
+RUN = re.compile(_RUN)
 SUSPECT = re.compile(
-    rf"(?P<run>(?<![\w{_leet}])(?:{_LETTER}|[{_leet}])(?:[\s._*-]{{1,3}}(?:{_LETTER}|[{_leet}])){{2,}}(?![\w{_leet}]))"
-    rf"|{_LETTER}[{_leet}*]|[{_leet}*]{_LETTER}|{_LETTER}[._*-]+[\w{_leet}]|[{_leet}][._*-]+{_LETTER}|({_LETTER})\2",
+    rf"(?P<run>{_RUN})|{_LETTER}[{_leet}*]|[{_leet}*]{_LETTER}|{_LETTER}[._*-]+[\w{_leet}]|[{_leet}][._*-]+{_LETTER}|({_LETTER})\2",
     re.IGNORECASE,
 )
 _REST = re.compile(r"\S*")
 _HAS_LETTER = re.compile(_LETTER)
 #: Punctuation at the ends of a token that stands for no letter.
 _PUNCTUATION = ".,;:?\"'()[]{}<>%&#\u2018\u2019\u201c\u201d\u00ab\u00bb\u00a1\u00bf\u2026"
+#: Letters of the character model. No leet character stands for a letter of another script.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+_WORD, _PLAIN = re.compile(r"[^\W_]+"), re.compile(f"[{ALPHABET}]+")
+#: Characters after which a task sums up the words it has read.
+PENDING = 8_000_000
 #: Longest token whose reading is remembered; longer ones are read anew each time.
 MAX_TOKEN = 60
+#: Readings that are remembered.
+MAX_READ = 100_000
 
 
 def lexicon(bonus: dict[str, float]) -> tuple[dict[str, float], frozenset[str]]:
@@ -131,24 +140,41 @@ def _words(text: str) -> list[bytes]:
     return text.encode().translate(WORDS_OF).split()
 
 
-def _signal(text: str | None, read, weights: dict[bytes, float]) -> float:
+def _signal(text: str | None, read: _Reader, weights: dict[bytes, float]) -> float:
     """Weight of the strongest marker in the text as it is or restored: one insult is enough, however long the text is."""
     if not text:
         return 0.0
-    found = set(_words(text))
-    found.update(_words(" ".join({plain for _, _, plain in readings(text, read)})))
-    return max((weights[w] for w in found.intersection(weights)), default=0.0)
-
-
-def _reader(model: dict[str, float], floor: float, bonus: dict[str, float]):
-    words = lexicon(bonus)
-    short = lru_cache(100_000)(lambda token: decode(token, model, floor, words))
-    return lambda token: short(token) if len(token) <= MAX_TOKEN else decode(token, model, floor, words)
+    weigh = lambda words: max((weights[w] for w in words if w in weights), default=0.0)
+    strongest = weigh(weights.keys() & set(_words(text)))
+    for token in set(text.split()):
+        if (w := read.weights.get(token)) is None:
+            w = weigh(_words(" ".join(plain for _, _, plain in readings(token, read))))
+            if len(token) <= MAX_TOKEN:
+                if len(read.weights) >= MAX_READ:
+                    read.weights.clear()
+                read.weights[token] = w
+        strongest = max(strongest, w)
+    for m in RUN.finditer(text):
+        strongest = max(strongest, weigh(_words(read(m[0]))))
+    return strongest
+
+
+class _Reader:
+    """Reads tokens and remembers short ones, and the weight of the strongest marker in each."""
+
+    def __init__(self, model: dict[str, float], floor: float, bonus: dict[str, float]):
+        words = lexicon(bonus)
+        self.long = lambda token: decode(token, model, floor, words)
+        self.short = lru_cache(MAX_READ)(self.long)
+        self.weights: dict[str, float] = {}
+
+    def __call__(self, token: str) -> str:
+        return self.short(token) if len(token) <= MAX_TOKEN else self.long(token)
 
 
 def _scores(trigrams, floor, weights, slope, bias, bonus, at):
     def score(batches):
-        read = _reader(trigrams, floor, bonus)
+        read = _Reader(trigrams, floor, bonus)
         for batch in batches:
             x = [bias + slope * _signal(t, read, weights) for t in batch.column(at).to_pylist()]
             new = pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in x], pa.float64())
@@ -157,11 +183,38 @@ def _scores(trigrams, floor, weights, slope, bias, bonus, at):
     return score
 
 
+def _gram_counts(batches):
+    """(gram, n): trigrams of the words over ALPHABET, summed within a partition. Words wait until PENDING characters are read."""
+    grams: Counter[str] = Counter()
+    words: Counter[bytes] = Counter()
+    pending = 0
+
+    def count() -> None:
+        for said, n in words.items():
+            for w in _WORD.findall(said.decode()):
+                if _PLAIN.fullmatch(w):
+                    padded = f"^^{w}^"
+                    for i in range(len(w) + 1):
+                        grams[padded[i : i + 3]] += n
+        words.clear()
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                words.update(_words(text.lower()))
+                pending += len(text)
+                if pending >= PENDING:
+                    count()
+                    pending = 0
+    count()
+    yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple:
-    """(trigram model, its floor, marker weights, slope, bias, bonus of each marker as a word), learned from a hash sample of labelled rows.
+    """(trigram model, its floor, marker weights, slope, bias, bonus of each marker as a word). Trigrams are counted over all
+    documents that are not held out, labelled or not; the rest is learned from a hash sample of labelled rows.
 
-    Word and trigram counts are made in Spark; what reaches the driver is bounded: trigrams by the alphabet, markers by
-    MIN_SHARE. Without toxic rows every score is the base rate's.
+    Word and trigram counts are made in Spark; what reaches the driver is bounded: trigrams by ALPHABET, markers by MIN_SHARE. Without toxic rows every score is the base rate's.
     """
     arrow_sized(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").where(~held_out())
@@ -178,21 +231,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     g2 = 2 * (part(F.col("in_toxic"), toxic) + part(F.col("in_clean"), clean))
     found = table_.where((g2 >= MIN_G2) & (F.col("in_toxic") >= max(3, MIN_SHARE * toxic)) & (ratio >= MIN_RATIO)).select("word", F.log(ratio).alias("weight"), both.alias("n")).orderBy("word").collect()
     weights = {r["word"].encode(): r["weight"] for r in found}
-    # Markers weigh in the character model as often as texts hold them; else rare words would shape it.
-    padded = F.concat(F.lit("^^"), F.col("word"), F.lit("^"))
-    grams = table_.where("word rlike '^[a-z]+$'").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("gram"), (F.col("in_toxic") + F.col("in_clean")).alias("n"))
-    grams = grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most 27 ** 3
+    grams = docs.where(~held_out()).select("text").mapInArrow(_gram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most (len(ALPHABET) + 1) ** 3
     before: dict[str, int] = {}
     for r in grams:
         before[r["gram"][:2]] = before.get(r["gram"][:2], 0) + r["n"]
-    trigrams = {r["gram"]: math.log((r["n"] + 0.01) / (before[r["gram"][:2]] + 0.27)) for r in grams}
+    trigrams = {r["gram"]: math.log((r["n"] + 0.01) / (before[r["gram"][:2]] + 0.01 * (len(ALPHABET) + 1))) for r in grams}
     floor = math.log(1e-4)
     total = table_.agg(F.sum(both)).collect()[0][0]
     spelled = lambda w: sum(trigrams.get(f"^^{w}^"[i : i + 3], floor) for i in range(len(w) + 1))
     bonus = {r["word"]: DISGUISED + max(0.0, math.log(r["n"] / total) - spelled(r["word"])) for r in found}
 
     def signals(batches):
-        read = _reader(trigrams, floor, bonus)
+        read = _Reader(trigrams, floor, bonus)
         for batch in batches:
             x = [round(2 * _signal(t, read, weights)) / 2 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["toxic", "x"])

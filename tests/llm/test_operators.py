@@ -1,6 +1,7 @@
 """Each operator against brute force or an invariant, on small tables with nulls, empty and long texts, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -307,9 +308,26 @@ def test_toxicity_reads_every_disguise(spark, text):
         labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
         test_toxicity_reads_every_disguise.model = toxicity.fit_toxicity(docs, labels)
     trigrams, floor, weights, _, _, bonus = test_toxicity_reads_every_disguise.model
-    assert toxicity._signal(f"the river {text} walking", toxicity._reader(trigrams, floor, bonus), weights) > 0
+    assert toxicity._signal(f"the river {text} walking", toxicity._Reader(trigrams, floor, bonus), weights) > 0
     for clean in ["a letter and a b c", "well-known 3rd of 1999", "you!!", "THE!!"]:
-        assert "idiot" not in toxicity.restore(clean, toxicity._reader(trigrams, floor, bonus))
+        assert "idiot" not in toxicity.restore(clean, toxicity._Reader(trigrams, floor, bonus))
+
+
+def test_toxicity_counts_letters_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PENDING", 50)
+    texts = ["the river", "Señor zyzz", None, "ЖУК x9 zyzz"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    trigrams, *_ = toxicity.fit_toxicity(docs, labels)
+    read = [texts[r["doc_id"]] for r in docs.where(~toxicity.held_out()).collect()]
+    want = defaultdict(int)
+    for w in " ".join(t.lower() for t in read if t).split():
+        if w in ("the", "river", "señor", "zyzz"):
+            for i in range(len(w) + 1):
+                want[f"^^{w}^"[i : i + 3]] += 1
+    assert set(trigrams) == set(want)
+    starts = sum(n for g, n in want.items() if g[:2] == "^^")
+    assert trigrams["^^z"] == pytest.approx(math.log((want["^^z"] + 0.01) / (starts + 0.01 * (len(toxicity.ALPHABET) + 1))))
 
 
 def test_toxicity_without_labels(spark, docs):
