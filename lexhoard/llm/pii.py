@@ -37,12 +37,18 @@ MIN_SPELLED = 7
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _at, _dot, _digit = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(DIGIT_WORDS)
-_LOOKS = "[" + "".join(HOMOGLYPHS) + "\uff01-\uff5e" + _INVISIBLE + "]"
-_BRACKETED = rf"\s?[(\[{{<]\s?(?:{_at}|{_dot})\s?[)\]}}>]\s?"
-_SPELLED = rf"\b(?:plus[\s-]{{1,3}})?(?:{_digit})(?:[\s,-]{{1,3}}(?:{_digit})){{{MIN_SPELLED - 1},}}\b"
-_ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\s(?:{_at})\s|@)[A-Za-z0-9-]{{1,63}}(?:\s(?:{_dot})\s[A-Za-z0-9-]{{1,63}}){{0,8}}?\s(?:{_dot})\s(?:{'|'.join(LAST_LABELS)})\b"
-_DISGUISE = re.compile(rf"(?i:{_BRACKETED}|{_SPELLED})|{_LOOKS}|(?i:\s(?:{_dot})\s)")
-_REWRITE = re.compile(rf"(?P<bracket>(?i:{_BRACKETED}))|(?P<spelled>(?i:{_SPELLED}))|(?P<looks>{_LOOKS})|(?P<address>(?i:{_ADDRESS}))")
+_LOOK = "".join(HOMOGLYPHS) + "\uff01-\uff5e" + _INVISIBLE
+_LOOKS = f"[{_LOOK}]"
+_BRACKETED = r"\s?[(\[{{<]\s?(?:{})\s?[)\]}}>]\s?"
+_SPELLED = rf"\b(?:plus[\s-]{{1,3}})?(?:{_digit}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_digit}|[0-9]+))+\b"
+_LABEL = rf"[A-Za-z0-9{_LOOK}-]{{1,63}}"
+_AT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_at)})|(?P<bare>\s(?:{_at})\s)|@")
+_DOT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_dot)})|(?P<bare>\s(?:{_dot})\s)|\.")
+_NEXT = re.compile(_LABEL)
+_NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_BRACKETED.format(_dot)}|\s(?:{_dot})\s|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
+_LOCAL_SIDE = re.compile(f"[A-Za-z0-9._%+{_LOOK}-]")
+_DISGUISE = re.compile(rf"(?i:{_BRACKETED.format(_at + '|' + _dot)}|\b(?:{_digit})\b[\s,-]|[\s,-](?:{_digit})\b)|{_LOOKS}|(?i:\s(?:{_dot})\s|\s(?:{_at})\s{_LABEL}\.[A-Za-z0-9])")
+_REWRITE = re.compile(rf"(?P<bracket>(?i:{_BRACKETED.format(_at + '|' + _dot)}))|(?P<spelled>(?i:{_SPELLED}))|(?P<looks>{_LOOKS})")
 
 
 def _digits(s: str) -> str:
@@ -78,50 +84,93 @@ def find_identifiers(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _plain(s: str) -> str:
+    return "".join("" if c in _INVISIBLE else HOMOGLYPHS.get(c) or (chr(ord(c) - 0xFEE0) if "\uff01" <= c <= "\uff5e" else c) for c in s)
+
+
+def _addresses(text: str) -> dict[int, tuple[str, int]]:
+    """What the at and the dots of written addresses become, by source start: (character, source end).
+
+    At and dot may each be bracketed, bare or plain. An address with a bare "at" and no bracketed dot must end in one of
+    LAST_LABELS and not begin with www, as "at" stands before places and sites too; others may end in any label.
+    """
+    out: dict[int, tuple[str, int]] = {}
+    for m in _AT.finditer(text):
+        if m.start() == 0 or not _LOCAL_SIDE.match(text[m.start() - 1]):
+            continue
+        label, dots, ends = _NEXT.match(text, m.end()), [], []
+        first = label and _plain(label[0]).lower()
+        while label and (dot := _DOT.match(text, label.end())) and (label := _NEXT.match(text, dot.end())):
+            dots.append(dot)
+            if _plain(label[0]).lower() in LAST_LABELS:
+                ends.append(len(dots))
+        marked = any(d.lastgroup == "bracket" for d in dots)
+        if m.lastgroup == "bare" and not marked:
+            n = 0 if first == "www" else max(ends, default=0)
+        else:
+            # Bare dots after the last known label are rather words of the sentence.
+            n = max(ends, default=0) if ends and all(d.lastgroup == "bare" for d in dots[max(ends) :]) else len(dots)
+        if n:
+            out[m.start()] = ("@", m.end())
+            out.update({d.start(): (".", d.end()) for d in dots[:n]})
+    for m in _NUMBERS.finditer(text):
+        out.update({d.start(): (".", d.end()) for d in _DOT.finditer(text, m.start(), m.end())})
+    return {a: (c, b) for a, (c, b) in out.items() if text[a:b] != c}
+
+
 def _rewritten(m: re.Match) -> list[tuple[str, int, int]]:
     """What a disguise becomes: (characters, source start, source end)."""
     s, a, b = m[0], m.start(), m.end()
     if m.lastgroup == "bracket":
         return [("@" if re.search(rf"(?i)\b(?:{_at})\b", s) else ".", a, b)]
-    if m.lastgroup == "spelled":
-        out = [("+", a, a + 4)] if s[:4].lower() == "plus" else []
-        return out + [(DIGIT_WORDS[x[0].lower()], a + x.start(), a + x.end()) for x in re.finditer(rf"(?i)\b(?:{_digit})\b", s)]
     if m.lastgroup == "looks":
-        return [] if s in _INVISIBLE else [(HOMOGLYPHS.get(s) or chr(ord(s) - 0xFEE0), a, b)]
-    out, last = [], 0
-    for x in re.finditer(rf"(?i)\s({_at}|{_dot})\s", s):
-        out += [(c, a + last + i, a + last + i + 1) for i, c in enumerate(s[last : x.start()])]
-        out.append(("@" if x[1].lower() in AT_WORDS else ".", a + x.start(), a + x.end()))
-        last = x.end()
-    return out + [(c, a + last + i, a + last + i + 1) for i, c in enumerate(s[last:])]
+        return [] if s in _INVISIBLE else [(_plain(s), a, b)]
+    said = list(re.finditer(rf"(?i)\b(?:{_digit})\b|[0-9]", s))
+    if len(said) < MIN_SPELLED or all(len(x[0]) == 1 for x in said):
+        return [(c, a + i, a + i + 1) for i, c in enumerate(s)]
+    out = [("+", a, a + 4)] if s[:4].lower() == "plus" else []
+    return out + [(DIGIT_WORDS.get(x[0].lower(), x[0]), a + x.start(), a + x.end()) for x in said]
 
 
 def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that appear in the normalised text only, as source spans that overlap no base span."""
+    """Identifiers that appear in the normalised text only, as source spans that no base span holds whole."""
     if not _DISGUISE.search(text):
         return []
     pieces, starts, ends, fresh, last = [], [], [], [], 0
 
+    def put(chars: str, a: int, b: int, new: bool) -> None:
+        pieces.append(chars)
+        starts.append(a)
+        ends.append(b)
+        fresh.append(new)
+
     def keep(a: int, b: int) -> None:
         pieces.append(text[a:b])
         starts.extend(range(a, b))
         ends.extend(range(a + 1, b + 1))
         fresh.extend(b"\0" * (b - a))
 
-    for m in _REWRITE.finditer(text):
-        keep(last, m.start())
-        for chars, a, b in _rewritten(m):
-            pieces.append(chars)
-            starts.append(a)
-            ends.append(b)
-            fresh.append(1)
-        last = m.end()
-    keep(last, len(text))
-    out, taken = [], [(a, b) for a, _, b in base]
+    def rest(a: int, b: int) -> None:
+        nonlocal last
+        for m in _REWRITE.finditer(text, a, b):
+            keep(last, m.start())
+            for chars, x, y in _rewritten(m):
+                put(chars, x, y, text[x:y] != chars)
+            last = m.end()
+        keep(last, b)
+        last = b
+
+    for a, (c, b) in sorted(_addresses(text).items()):
+        if a >= last:
+            rest(last, a)
+            put(c, a, b, True)
+            last = b
+    rest(last, len(text))
+    out = []
     for a, kind, b in find_identifiers("".join(pieces)):
-        if any(fresh[a:b]):
+        if any(fresh[a:b]) or starts[a] + b - a != ends[b - 1]:
             lo, hi = starts[a], ends[b - 1]
-            if not any(lo < y and x < hi for x, y in taken):
+            if not any(x <= lo and hi <= y for x, _, y in base):
                 out.append((lo, kind, hi))
     return out
 

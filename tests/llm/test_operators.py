@@ -144,6 +144,26 @@ def test_pii_disguises_map_back():
     assert pii.masked("a@b.c and 1.2.3.4") == "[EMAIL] and [IP]"
 
 
+def test_pii_fragments_and_mixed_disguises():
+    text = "x jоhn@mail.com y"
+    assert [(text[s["start"] : s["end"]], s["base"]) for s in pii._spans(text)] == [("jоhn@mail.com", False), ("hn@mail.com", True)]
+    assert pii.masked(text) == "x [EMAIL] y"
+    for text, want in [
+        ("to john (at) mail dot com now", "john (at) mail dot com"),
+        ("to john at mail (dot) xyz now", "john at mail (dot) xyz"),
+        ("to john[at]mail.example.museum now", "john[at]mail.example.museum"),
+        ("to john@mail dot museum", "john@mail dot museum"),
+        ("to john at mail.com now", "john at mail.com"),
+        ("to john at mail dot co dot uk now", "john at mail dot co dot uk"),
+        ("jоhn (at) mail dot com", "jоhn (at) mail dot com"),
+        ("call plus 1 seven four 3 555 three eight 2 four ok", "plus 1 seven four 3 555 three eight 2 four"),
+        ("host 10 dot 1 dot 2 [dot] 3 up", "10 dot 1 dot 2 [dot] 3"),
+    ]:
+        assert [text[s["start"] : s["end"]] for s in pii._spans(text) if not s["base"]] == [want], text
+    for clean in ["seen at www.example.org now", "one of 1234567 at noon. Then", "rows 1, 2, 3, 4, 5, 6, 7, 8"]:
+        assert pii._spans(clean) == []
+
+
 def test_pii_table(docs, empty):
     assert pii.find_pii(docs).count() == docs.count()
     assert pii.mask_pii(docs).where("text is null").count() == 1
