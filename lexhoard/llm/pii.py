@@ -47,7 +47,7 @@ _DOT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_dot)})|(?P<bare>\s(?:{_
 _NEXT = re.compile(_LABEL)
 _NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_BRACKETED.format(_dot)}|\s(?:{_dot})\s|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
 _LOCAL_SIDE = re.compile(f"[A-Za-z0-9._%+{_LOOK}-]")
-_DISGUISE = re.compile(rf"(?i:{_BRACKETED.format(_at + '|' + _dot)}|\b(?:{_digit})\b[\s,-]|[\s,-](?:{_digit})\b)|{_LOOKS}|(?i:\s(?:{_dot})\s|\s(?:{_at})\s{_LABEL}\.[A-Za-z0-9])")
+_DISGUISE = re.compile(rf"(?i:{_BRACKETED.format(_at + '|' + _dot)}|\b(?:{_digit})[\s,-]{{1,3}}(?:{_digit}|[0-9])|[0-9][\s,-]{{1,3}}(?:{_digit})\b)|{_LOOKS}|(?i:\s(?:{_dot})\s|\s(?:{_at})\s{_LABEL}\.[A-Za-z0-9])")
 _REWRITE = re.compile(rf"(?P<bracket>(?i:{_BRACKETED.format(_at + '|' + _dot)}))|(?P<spelled>(?i:{_SPELLED}))|(?P<looks>{_LOOKS})")
 
 

@@ -58,6 +58,21 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_verify_spans(spark):
+    notice = dict(licenses.NOTICES)
+    fragment = " ".join(notice["mpl-2"].split()[:8])
+    texts = [(notice[x], [x]) for x in notice] + [
+        ("x y " + notice["gpl"].replace("public license", "public new license") + " z", ["gpl"]),
+        (" a ".join([fragment] * 12), []),
+        (" ".join(" ".join(notice["bsd"].split()[i : i + 6]) for i in (18, 12, 6, 0)), []),
+        (notice["cc-by"] + " and " + notice["lgpl"], ["cc-by", "lgpl"]),
+        ("this is free of charge for any purpose this is free of charge for any", []),
+    ]
+    out = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in out:
+        assert sorted(s["label"] for s in r["spans"] if not s["base"]) == texts[r["doc_id"]][1], texts[r["doc_id"]][0]
+
+
 def test_sharding(docs, empty):
     for n in (16, 3):
         out = sharding.shard_documents(docs, n).collect()
