@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexhoard.functions.ids import array_union_ordered
 from lexhoard.functions.text import author_parts, empty_to_null, normalize_doi, normalize_title, sequence_ratio, token_jaccard
 from lexhoard.graph import connected_components
+from lexhoard.session import saved
 
 #: Quality of source types.
 SOURCE_QUALITY = {"pubmed": 100, "clinicaltrials": 95, "biorxiv": 80, "medrxiv": 80, "crossref": 70, "regulatory": 65, "rss": 40}
@@ -50,15 +50,24 @@ def title_edges(df: DataFrame) -> DataFrame:
 
     Titles of EXACT_WORDS words match if equal (0.98); titles of MIN_WORDS words by ratio and Jaccard. Blocks are (family name, one
     of the rarest words of the title): as many words as a pair at MIN_JACCARD cannot miss, so blocking loses none.
+
+    Records of equal title, authors and year are one class: its members have an edge to its smallest id, and classes are
+    compared by those, so components are those of all pairs while copies make no pairs.
     """
     rows = df.select("id", normalize_title(F.col("title")).alias("title"), "authors", "year").where("title <> ''")
     words = F.filter(F.array_distinct(F.split("title", " ")), lambda w: w != "")
-    rows = rows.withColumn("words", words)
+    # Fewer words never match, nor do authors without an ORCID or a given name.
+    rows = rows.withColumn("words", words).where(F.size(F.split("title", " ")) >= EXACT_WORDS)
+    parts = _first_author(rows).select("id", "a").where("a.family <> '' and (a.orcid is not null or a.given <> '')").distinct()
+    parts = parts.groupBy("id").agg(F.array_sort(F.collect_set("a")).alias("parts"))
+    classed = saved(rows.join(parts, "id").withColumn("key", F.struct("title", "year", "parts")).select("id", "key", "words"))
+    star = _stars(classed.select("id", "key"), "exact title and author", 0.98)
+    rows = classed.groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("words").alias("words")).select("id", "last", "words", "key.*")
     rarity = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ranked = rows.select("id", F.explode("words").alias("w")).join(rarity, "w").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ranked"))
     prefix = F.slice("ranked", 1, F.greatest(F.lit(1), (F.size("ranked") - F.ceil(F.size("ranked") * MIN_JACCARD) + 1).cast("int")))
-    people = _first_author(rows).select("id", "a").where("a.family <> ''")
-    blocks = rows.join(ranked, "id").select("id", "title", "year", F.size(F.split("title", " ")).alias("n"), F.explode(prefix).alias("w")).join(people, "id")
+    people = rows.select("id", F.explode("parts").alias("a"))
+    blocks = rows.join(ranked, "id").select("id", "last", "title", "year", F.size(F.split("title", " ")).alias("n"), F.explode(prefix).alias("w")).join(people, "id")
     l, r = blocks.alias("l"), blocks.alias("r")
     orcids = F.col("l.a.orcid").isNotNull() & F.col("r.a.orcid").isNotNull()
     given = (F.col("l.a.given") != "") & (F.col("r.a.given") != "")
@@ -67,13 +76,15 @@ def title_edges(df: DataFrame) -> DataFrame:
     years = F.coalesce(F.abs(F.col("l.year") - F.col("r.year")) <= MAX_YEARS, F.lit(True))
     sizes = F.least(F.length("l.title"), F.length("r.title")) >= 0.92 * F.greatest(F.length("l.title"), F.length("r.title"))
     met = (F.col("l.w") == F.col("r.w")) & (F.col("l.a.family") == F.col("r.a.family")) & (F.col("l.id") < F.col("r.id")) & same & years & sizes
-    pairs = l.join(r, met).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.title").alias("lt"), F.col("r.title").alias("rt"), F.least("l.n", "r.n").alias("n")).distinct()
+    pairs = l.join(r, met).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.title").alias("lt"), F.col("r.title").alias("rt"), (F.col("r.id") < F.col("l.last")).alias("both"), F.least("l.n", "r.n").alias("n")).distinct()
     pairs = pairs.withColumn("jaccard", token_jaccard(F.col("lt"), F.col("rt"))).where(f"lt = rt or (n >= {MIN_WORDS} and jaccard >= {MIN_JACCARD})")
-    pairs = pairs.withColumn("ratio", sequence_ratio(F.col("lt"), F.col("rt")))
+    # The ratio depends on the order of its titles: where members of two classes stand in both orders, the better one counts.
+    turned = sequence_ratio(F.when(F.col("both"), F.col("rt")).otherwise(F.col("lt")), F.when(F.col("both"), F.col("lt")).otherwise(F.col("rt")))
+    pairs = pairs.withColumn("ratio", F.greatest(sequence_ratio(F.col("lt"), F.col("rt")), turned))
     exact = (F.col("lt") == F.col("rt")) & (F.col("n") >= EXACT_WORDS)
     close = (F.col("n") >= MIN_WORDS) & (F.col("ratio") >= MIN_RATIO) & (F.col("jaccard") >= MIN_JACCARD)
     confidence = F.when(exact, 0.98).when(close, F.bround(F.least(F.lit(0.97), (F.col("ratio") + F.col("jaccard")) / 2), 4))
-    return pairs.where(exact | close).select("left_id", "right_id", F.when(exact, "exact title and author").otherwise("similar title and author").alias("reason"), confidence.alias("confidence"))
+    return star.unionByName(pairs.where(exact | close).select("left_id", "right_id", F.when(exact, "exact title and author").otherwise("similar title and author").alias("reason"), confidence.alias("confidence")))
 
 
 def cluster(edges: DataFrame) -> DataFrame:
@@ -95,13 +106,20 @@ def merge_cluster(df: DataFrame, scalars: list[str], arrays: list[str], first: l
     kinds = dict(df.dtypes)
     given = lambda c: empty_to_null(F.col(c)) if kinds[c] == "string" else F.col(c)
     ranked = df.withColumn("_q", quality(F.col("source_types")))
-    body = F.struct((-F.col("_q")).alias("q"), *[given(c).alias(c) for c in scalars], *[F.col(c).alias(c) for c in arrays], F.col("source_types").alias("_sources"))
-    # Strings cannot be negated: members are sorted by id within the aggregate, best quality and greatest id first.
-    members = F.collect_list(F.struct(F.col("_q").alias("rank"), F.col("id").alias("member"), body.alias("body")))
-    out = ranked.groupBy("cluster").agg(F.reverse(F.array_sort(members)).alias("_m"), F.min(F.coalesce("excluded", F.lit(False))).alias("excluded"), *[F.min(c).alias(c) for c in first], *[F.max(c).alias(c) for c in last])
-    pick = lambda c: F.try_element_at(F.filter(F.transform("_m", lambda m: m["body"][c]), lambda x: x.isNotNull()), F.lit(1)).alias(c)
-    union = lambda c, alias: array_union_ordered(F.flatten(F.transform("_m", lambda m: F.coalesce(m["body"][c], F.array().cast("array<string>"))))).alias(alias)
-    return out.select("cluster", F.element_at("_m", 1)["member"].alias("id"), F.size("_m").alias("n_members"), *[pick(c) for c in scalars], *[union(c, c) for c in arrays], union("_sources", "source_types"), *first, *last, "excluded")
+    # Only aggregates with states of one value each, so that a cluster of any size is summed up where its rows are.
+    by = lambda value: F.max(F.when(value.isNotNull(), F.struct("_q", "id", value.alias("value"))))["value"]
+    out = ranked.groupBy("cluster").agg(F.max(F.struct("_q", "id"))["id"].alias("id"), F.count("*").cast("int").alias("n_members"), *[by(given(c)).alias(c) for c in scalars], *[F.min(c).alias(f"_first_{c}") for c in first], *[F.max(c).alias(f"_last_{c}") for c in last], F.min(F.coalesce("excluded", F.lit(False))).alias("excluded"))
+    # Each distinct string of an array field by its best member and place there: what is listed is no longer than the union.
+    fields = [*arrays, "source_types"]
+    placed = lambda i, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, at: F.struct(F.lit(i).alias("i"), (-at).alias("at"), x.alias("x")))
+    entries = F.flatten(F.array(*[placed(i, c) for i, c in enumerate(fields)]))
+    values = ranked.select("cluster", "_q", "id", F.explode(entries).alias("e")).where("e.x is not null and e.x <> ''")
+    values = values.groupBy("cluster", "e.i", "e.x").agg(F.max(F.struct("_q", "id", "e.at")).alias("best"))
+    listed = lambda i: F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("best", "x"))))), lambda y: y["x"])
+    unions = values.groupBy(F.col("cluster").alias("_cluster")).agg(*[listed(i).alias(f"_union_{i}") for i in range(len(fields))])
+    union = lambda i, alias: F.coalesce(F.col(f"_union_{i}"), F.array().cast("array<string>")).alias(alias)
+    out = out.join(unions, F.col("cluster").eqNullSafe(F.col("_cluster")), "left")
+    return out.select("cluster", "id", "n_members", *scalars, *[union(i, c) for i, c in enumerate(fields)], *[F.col(f"_first_{c}").alias(c) for c in first], *[F.col(f"_last_{c}").alias(c) for c in last], "excluded")
 
 
 def merge_decisions(clusters: DataFrame, edges: DataFrame) -> DataFrame:

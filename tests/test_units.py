@@ -69,6 +69,21 @@ def _authors(given):
 _AUTHORS = "array<struct<name:string,given_name:string,family_name:string,orcid:string>>"
 
 
+def test_merge_cluster_and_title_edges_list_no_members(spark):
+    def stated(plan):
+        return plan._jdf.queryExecution().executedPlan().toString()
+
+    schema = "cluster string, id string, title string, source_types array<string>, tags array<string>, excluded boolean"
+    rows = [("c", "a", "first", ["rss"], ["x", "y"], True), ("c", "b", "", ["pubmed"], ["z", None, "x", ""], None), ("c", "d", "kept", ["pubmed"], None, True), ("e", "e", None, None, [], True)]
+    merged = dedup.merge_cluster(spark.createDataFrame(rows, schema), ["title"], ["tags"])
+    got = {r["cluster"]: tuple(r) for r in merged.collect()}
+    assert got == {"c": ("c", "d", 3, "kept", ["z", "x", "y"], ["pubmed", "rss"], False), "e": ("e", "e", 1, None, [], [], True)}
+    assert "collect_list(struct(rank" not in stated(merged)
+    copies = [(f"{i:03}", "a title of seven plain common words", [("Anna Meyer", "Anna", "Meyer", None)], 2020) for i in range(300)]
+    edges = dedup.title_edges(spark.createDataFrame(copies, f"id string, title string, authors {_AUTHORS}, year int")).collect()
+    assert sorted((r["left_id"], r["right_id"], r["confidence"]) for r in edges) == [("000", f"{i:03}", 0.98) for i in range(1, 300)]
+
+
 def test_title_edges(spark):
     title = "Long range delivery of small particles into the living cell nucleus"
     rows = [("1", title, _authors("Ada"), 2024), ("2", title.replace("Long range", "Long-range"), _authors("Ada"), 2024), ("3", title, _authors("Bob"), 2024), ("4", title, _authors("A"), 2029), ("5", "Short title", _authors("Ada"), 2024), ("6", "Short title", _authors("Ada"), 2024), ("7", title[:-8] + " center", _authors("A."), None)]
