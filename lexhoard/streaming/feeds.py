@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +16,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from lexhoard.functions.ids import content_fingerprint
 from lexhoard.operators.history import changed_records
 
+#: Rows of a key that are sorted in memory, rows of a spilled block, and changes given out at once.
+RUN_ROWS, BLOCK_ROWS, OUT_ROWS = 200_000, 1_000, 10_000
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -40,21 +46,55 @@ def foreach_batch_upsert(read: Callable[[SparkSession], DataFrame | None], write
     return upsert
 
 
+def _in_order(frames, fields: list[str]):
+    """The rows of all frames as tuples, sorted by fields with nulls last. Beyond RUN_ROWS rows, sorted runs go to a temporary
+    file of the worker and are merged from there, so that memory does not grow with the rows of a key."""
+
+    def ordered(frames: list) -> pd.DataFrame:
+        return pd.concat(frames)[fields].sort_values(fields, kind="stable")
+
+    def rank(row: tuple) -> tuple:
+        return tuple((True, 0) if pd.isna(x) else (False, x) for x in row)
+
+    def run(spill, places):
+        for place in places:
+            spill.seek(place)
+            yield from pickle.load(spill)
+
+    held, n, runs = [], 0, []
+    with tempfile.TemporaryFile() as spill:
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= RUN_ROWS:
+                rows, places = list(ordered(held).itertuples(index=False, name=None)), []
+                for i in range(0, len(rows), BLOCK_ROWS):
+                    places.append(spill.tell())
+                    pickle.dump(rows[i : i + BLOCK_ROWS], spill)
+                runs.append(places)
+                held, n = [], 0
+        rest = ordered(held).itertuples(index=False, name=None) if held else iter(())
+        yield from heapq.merge(*[run(spill, places) for places in runs], rest, key=rank) if runs else rest
+
+
 def stream_snapshot_changes(stream: DataFrame, key: str, ts: str, tracked: list[str]) -> DataFrame:
     """(key, ts, version, changed_fields) of snapshots whose tracked fields differ from the key's last one. State: the last
-    snapshot of a key. Snapshots of a key within a micro-batch are taken in time order."""
+    snapshot of a key. Snapshots of a key within a micro-batch are taken in time order, as versions follow each other; they are
+    sorted in bounded memory."""
     kinds = dict(stream.dtypes)
     fields = [ts, *tracked]
 
     def changes(keys, frames, state):
         last, version = json.loads(state.get[0]) if state.exists else (None, 1)
-        rows = pd.concat(list(frames)).sort_values(fields, kind="stable")
         out = []
-        for row in rows[fields].itertuples(index=False):
+        for row in _in_order(frames, fields):
             now = [None if pd.isna(x) else str(x) for x in row[1:]]
             if last is not None and (differ := [f for f, a, b in zip(tracked, last, now, strict=True) if a != b]):
                 version += 1
                 out.append((keys[0], row[0], version, differ))
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=[key, ts, "version", "changed_fields"])
+                    out = []
             last = now
         state.update((json.dumps([last, version]),))
         yield pd.DataFrame(out, columns=[key, ts, "version", "changed_fields"])

@@ -69,6 +69,21 @@ def _authors(given):
 _AUTHORS = "array<struct<name:string,given_name:string,family_name:string,orcid:string>>"
 
 
+def test_snapshots_of_a_key_are_sorted_in_runs(monkeypatch):
+    import pandas as pd
+
+    from lexhoard.streaming import feeds
+
+    monkeypatch.setattr(feeds, "RUN_ROWS", 7)
+    monkeypatch.setattr(feeds, "BLOCK_ROWS", 3)
+    rows = pd.DataFrame({"ts": [(i * 37) % 50 for i in range(101)], "v": [None if i % 9 == 0 else str(i % 4) for i in range(101)]})
+    frames = [rows[i : i + 5] for i in range(0, 101, 5)]
+    want = rows.sort_values(["ts", "v"], kind="stable").itertuples(index=False, name=None)
+    got = feeds._in_order(iter(frames), ["ts", "v"])
+    plain = lambda rows: [(a, None if pd.isna(b) else b) for a, b in rows]
+    assert plain(got) == plain(want)
+
+
 def test_merge_cluster_and_title_edges_list_no_members(spark):
     def stated(plan):
         return plan._jdf.queryExecution().executedPlan().toString()
