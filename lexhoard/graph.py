@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexhoard.session import saved
+from lexhoard.session import discard, saved
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -13,27 +13,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternates large-star and small-star steps (Kiveris et al., SoCC 2014), which need O(log^2 n) rounds and keep at most
     as many edges as they start with: no node ever gathers its neighbours in one list. Null ends and self loops carry no link;
-    a node that occurs only in a self loop is its own component.
+    a node that occurs only in a self loop is its own component. The edge plan runs once; tables of earlier rounds are deleted.
     """
-    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = saved(both.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    ends = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), (F.col(src).isNotNull() & F.col(dst).isNotNull()).alias("whole"))
+    first = saved(ends.where("whole").select("u", "v").distinct())
+    now, mark = first, None
     while True:
-        now = saved(_star(_star(now, large=True), large=False))
+        was, now = now, saved(_star(_star(now, large=True), large=False))
+        if was is not first:
+            discard(was)
         # A fixpoint of both steps is a set of stars; equal count and checksum over two rounds show it.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    return nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
+    nodes, stars = first.select(F.explode(F.array("u", "v")).alias("node")).distinct(), now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = saved(nodes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    discard(first, now)
+    return out
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Every edge (u, v) has u > v. Large: all larger neighbours of u point to u's smallest neighbour (or u).
+    """One step. Every edge (u, v) has u >= v. Large: all larger neighbours of u point to u's smallest neighbour (or u).
     Small: u and its smaller neighbours point to the smallest of them."""
+    edges = edges.where("u > v")
     if large:
         around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))

@@ -26,26 +26,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, whose executors are the driver, gets a
+    temporary one where that is unset; on a cluster an unset folder is an error, as other machines would not see a local one."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-lexhoard-")
-        sc.setCheckpointDir(at)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-lexhoard-"))
         at = sc.getCheckpointDir()
     return at
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     Cuts the lineage like checkpoint(), survives the loss of executors, computes df once and keeps columns prunable.
-    The files go when the session ends.
+    The files go when the session ends, or earlier by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexhoard-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _hadoop_path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `saved` returned. No DataFrame that still reads them may be used afterwards."""
+    for df in tables:
+        at, files = _hadoop_path(df.sparkSession, df.saved_at)
+        files.delete(at, True)
