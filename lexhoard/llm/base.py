@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def held_out(id_col: str = "doc_id") -> Column:
     """The rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """From batches sorted by their first column: the rows of each of its values together. Only for keys of bounded size."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(edges[-2]))
+    if held:
+        yield pa.Table.from_batches(held)

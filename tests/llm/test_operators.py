@@ -218,15 +218,16 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize(("block", "together"), [(1_000_000, 4000), (1_000_000, 3), (300, 3)])
-def test_jaccard_families(spark, monkeypatch, block, together):
+@pytest.mark.parametrize(("together", "spread"), [(4000, 500), (12, 5), (1, 1)])
+def test_jaccard_families(spark, monkeypatch, together, spread):
     """Many variants near the threshold, whose links only partly run over one hub."""
-    monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "TOGETHER", together)
+    monkeypatch.setattr(jaccard, "SPREAD", spread)
     rng = random.Random(5)
-    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
     rows = []
-    for i in range(70):
+    for i in range(140):
+        if i % 70 == 0:
+            base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
         words = list(base)
         for _ in range(rng.randint(0, 4)):
             words[rng.randrange(60)] = f"v{rng.randint(0, 10**6)}"
@@ -235,19 +236,40 @@ def test_jaccard_families(spark, monkeypatch, block, together):
     assert got == _components(rows)
 
 
+def _numbers(sigs_of, n):
+    sigs, of = sigs_of
+    return [set(sigs[of == i].tolist()) for i in range(n)]
+
+
 def test_partenum_shares_a_signature():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    none = np.zeros(0, np.uint64)
-    for n in [1, 2, 3, 4, 5, 7, 8, 12, 13, 30, 41, 60, 100, 300, 1000] * 6:
+    pairs = []
+    for n in [1, 2, 3, 4, 5, 7, 8, 12, 13, 30, 41, 60, 100, 300, 1000, 3000] * 40:
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         lost, new = int(rng.integers(0, n // 7 + 1)), int(rng.integers(0, n // 3 + 1))
         b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 2**63, new, dtype=np.uint64)]))
         if jaccard.linked(a, b):
-            hot = np.sort(rng.permutation(a)[: len(a) // 2])
-            for late in (none, hot):
-                assert np.intersect1d(jaccard.signatures(a, jaccard.Frequent(late)), jaccard.signatures(b, jaccard.Frequent(late))).size, n
+            pairs += [a, b]
+    assert len(pairs) > 600
+    for share in (0, 0.3, 0.9, 1):
+        hot = np.sort(np.concatenate([rng.permutation(a)[: int(len(a) * share)] for a in pairs[::2]]))
+        for batch in (pairs, pairs[::-1]):
+            found = _numbers(jaccard.signatures(batch, jaccard.Frequent(hot)), len(batch))
+            assert all(x & y for x, y in zip(found[::2], found[1::2], strict=True))
+
+
+def test_sketches_never_pass_over_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 400, 5000):
+        a, b = (np.unique(rng.integers(0, 2**63, m, dtype=np.uint64)) for m in (n, n // 3))
+        b = np.unique(np.concatenate([a[n // 5 :], b]))
+        sketches = [jaccard.sketch(x) for x in (a, b)]
+        assert 0 < jaccard.differences(sketches, np.array([0]), np.array([1]))[0] <= len(np.setxor1d(a, b)) or n == 1
+        assert jaccard.differences(sketches, np.array([0]), np.array([0]))[0] == 0
 
 
 @pytest.mark.parametrize("length", [40, 64, 100])
