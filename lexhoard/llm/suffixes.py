@@ -9,6 +9,9 @@ serving the next (8, 16, ... 256, LENGTH bytes). A bucket of one is final and is
 
 Grams that very many documents share never decide for a group while a window has others, so that a common line does not bring
 all its documents together. Contexts that are equal count once. No group gathers more than distinct contexts of one minimizer.
+
+The same search over word codes instead of bytes finds passages of PASSAGE words that stand elsewhere too; LENGTH bytes may be
+more than such a passage has.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexhoard.llm.base import arrow_sized, documents, keyed
-from lexhoard.session import saved
+from lexhoard.session import discard, saved
 
 LENGTH = 400
+#: Words of the shortest passage that counts as repeated, whatever its bytes.
+PASSAGE = 51
 GRAM = 32
 #: Only grams with a hash below this share of the range are counted: the minimum of a window's grams lies above it about once in 10**5.
 COUNTED = 0.03
@@ -102,7 +107,16 @@ def refine(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         q += step
 
 
-def _frequent(length: int):
+def as_bytes(texts: list[bytes | None]) -> list[bytes]:
+    return [t or b"" for t in texts]
+
+
+def as_words(texts: list[bytes | None]) -> list[bytes]:
+    """Four bytes a word (a run without white space): its hash, so that equal runs of words are equal strings."""
+    return [np.fromiter(map(xxhash.xxh32_intdigest, t.split()), "<u4").tobytes() if t else b"" for t in texts]
+
+
+def _frequent(length: int, encode):
     def count(batches):
         held, n_held, docs = [], 0, 0
 
@@ -112,8 +126,8 @@ def _frequent(length: int):
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                if text and len(text) >= length:
+            for text in encode(batch.column(0).cast(pa.binary()).to_pylist()):
+                if len(text) >= length:
                     h = gram_hashes(text)
                     held.append(np.unique(h[h < np.uint64(int(COUNTED * 2**64))]))
                     n_held, docs = n_held + len(held[-1]), docs + 1
@@ -126,12 +140,12 @@ def _frequent(length: int):
     return count
 
 
-def _contexts(hot: np.ndarray, length: int):
+def _contexts(hot: np.ndarray, length: int, encode):
     def find(batches):
         for batch in batches:
             rows = [[], [], [], [], []]
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if not text or len(text) < length:
+            for k, text in zip(batch.column(0).to_pylist(), encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                if len(text) < length:
                     continue
                 hashes = gram_hashes(text)
                 at, first, last = owned(hashes, hot, length)
@@ -154,10 +168,10 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t and pack(t) for t in texts], pa.binary())], ["doc_id", "k", "text"])
 
 
-def _cut(length: int):
+def _cut(length: int, encode):
     def cut(batches):
         for batch in batches:
-            rows, texts = batch.column(1).to_pylist(), [zstandard.decompress(x) for x in batch.column(0).to_pylist()]
+            rows, texts = batch.column(1).to_pylist(), encode([zstandard.decompress(x) for x in batch.column(0).to_pylist()])
             out = [(x["a"], x["c"], t[x["start"] : x["start"] + x["n"] + length - 1]) for t, xs in zip(texts, rows, strict=True) for x in xs]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], (pa.int64(), pa.int64(), pa.binary())[i]) for i in range(3)], ["a", "c", "context"])
@@ -215,44 +229,69 @@ def _removed(length: int):
                 kept = b"".join([*kept, text[last:]])
                 out.append((len(text), len(text) - len(kept), [{"from": a, "to": b} for a, b in runs], kept))
             types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types)), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_passage_words"])
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): one row per input row; spans are the maximal removed runs of bytes, kept the
-    remaining bytes. Null and empty texts have no bytes. Strings are judged on the input, repeated rows like any copies, and
-    matches never cross texts. `length` is at least GRAM."""
-    spark = docs.sparkSession
-    arrow_sized(spark)
-    rows = keyed(docs, id_col, text_col)
-    n = docs.count()
-    often = rows.select("text").mapInArrow(_frequent(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64.0, HOT_SHARE * n))
+def _repeated(rows: DataFrame, packed: DataFrame, length: int, encode) -> DataFrame:
+    """Saved (k, lo, hi): for texts with windows of `length` bytes that start at two places, ranges of their starts. Of the
+    texts as `encode` gives them; `packed` are the same rows with packed text."""
+    n = rows.count()
+    often = rows.select("text").mapInArrow(_frequent(length, encode), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64.0, HOT_SHARE * n))
     hot = np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))  # bounded, see HOT_SHARE
 
-    places = saved(rows.select("k", "text").mapInArrow(_contexts(hot, length), "k long, a long, c long, start int, n int"))
+    places = saved(rows.select("k", "text").mapInArrow(_contexts(hot, length, encode), "k long, a long, c long, start int, n int"))
     contexts = places.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "start", "n")).alias("one"))
     contexts = saved(contexts)
     shared = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
     ones = contexts.join(shared, "a", "left_semi").select("a", "c", "one.*").groupBy("k").agg(F.collect_list(F.struct("a", "c", "start", "n")).alias("wanted"))
-    id_type = rows.schema[0].dataType.simpleString()
-    packed = rows.select("doc_id", "k", "text").mapInArrow(_packed, f"doc_id {id_type}, k long, text binary")
     texts = packed.join(ones, "k").select("text", "wanted")
     # Rows with equal doc_id and text are one text here, and cut twice; equal contexts of one place must count once.
-    cut = texts.mapInArrow(_cut(length), "a long, c long, context binary").repartition("a").dropDuplicates(["a", "c"])
+    cut = texts.mapInArrow(_cut(length, encode), "a long, c long, context binary").repartition("a").dropDuplicates(["a", "c"])
     within = cut.sortWithinPartitions("a").mapInArrow(_refined(length), "a long, c long, lo array<int>, hi array<int>")
     whole = contexts.where("times > 1").select("a", "c", F.array(F.lit(0)).alias("lo"), F.array(F.col("one.n") - 1).alias("hi"))
     repeated = within.join(whole.select("a", "c"), ["a", "c"], "left_anti").union(whole)
 
     moved = lambda name: F.transform(name, lambda x: x + F.col("start")).alias(name)
     spans = places.join(repeated, ["a", "c"]).select("k", moved("lo"), moved("hi")).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
-    spans = spans.select("k", F.flatten("s.lo").alias("lo"), F.flatten("s.hi").alias("hi"))
-    return packed.join(spans, "k", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_removed(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary")
+    out = saved(spans.select("k", F.flatten("s.lo").alias("lo"), F.flatten("s.hi").alias("hi")))
+    discard(places, contexts)
+    return out
+
+
+def _covered(length: int):
+    def cover(batches):
+        for batch in batches:
+            out = []
+            for lo, hi in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n, end = 0, 0
+                for a, b in sorted(zip(lo, hi, strict=True)):
+                    n, end = n + max(0, b + length - max(a, end)), max(end, b + length)
+                out.append(n // 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["k", "n_passage_words"])
+
+    return cover
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept, n_passage_words): one row per input row; spans are the maximal removed runs of
+    bytes, kept the remaining bytes, n_passage_words the words in strings of `passage` words that start at another place too
+    (which are not removed for that). Null and empty texts have no bytes. Strings are judged on the input, repeated rows like any
+    copies, and matches never cross texts. `length` is at least GRAM, and 4 * `passage` too."""
+    arrow_sized(docs.sparkSession)
+    rows = keyed(docs, id_col, text_col)
+    id_type = rows.schema[0].dataType.simpleString()
+    packed = rows.select("doc_id", "k", "text").mapInArrow(_packed, f"doc_id {id_type}, k long, text binary")
+    passages = _repeated(rows, packed, 4 * passage, as_words).mapInArrow(_covered(4 * passage), "k long, n_passage_words long")
+    spans = _repeated(rows, packed, length, as_bytes)
+    left = packed.join(spans, "k", "left").join(passages, "k", "left").select("doc_id", "text", "lo", "hi", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
+    return left.mapInArrow(_removed(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary, n_passage_words long")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Contract query over all `documents`; one column more: n_passage_words."""
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
