@@ -4,8 +4,8 @@ Every window of LENGTH bytes that starts at two places is to go. Sorting all suf
 over, so windows are first grouped by content: the window's minimizer, the smallest hash of its GRAM-byte grams, is the same
 wherever the window stands. Windows that one minimizer place owns form a context (their common bytes). Contexts whose bytes
 occur twice are repeated as a whole; other contexts of a shared minimizer are compared: their positions are put in buckets by
-their first 8 bytes, and the buckets are refined by sorting on the bucket numbers of later offsets, the numbers of each round
-serving the next (8, 16, ... 256, LENGTH bytes). A bucket of one is final and is sorted no more.
+their first GRAM bytes, and the buckets are refined by sorting on the bucket numbers of later offsets, the numbers of each round
+serving the next (32, 64, ... 256, LENGTH bytes), all buckets of a level at a time. A bucket of one is final and is sorted no more.
 
 Grams that very many documents share never decide for a group while a window has others, so that a common line does not bring
 all its documents together. Contexts that are equal count once. No group gathers more than distinct contexts of one minimizer.
@@ -77,16 +77,16 @@ def owned(hashes: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray,
     return at[first], first, np.append(first[1:], n)
 
 
-def refine(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+def refine(data: bytes, ends: np.ndarray, length: int) -> np.ndarray:
     """For each position whether the `length` bytes from it, which must end by `ends`, also start at another position."""
     n = len(data)
     room = ends - np.arange(n)
-    at = np.flatnonzero(room >= 8)
+    at = np.flatnonzero(room >= GRAM)
     bucket = np.full(n, -1, np.int64)
     if not len(at):
         return np.zeros(n, bool)
-    values = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))[at]
-    q = 8
+    values = gram_hashes(data)[at]
+    q = GRAM
     while True:
         _, number, size = np.unique(values, return_inverse=True, return_counts=True)
         number = number.reshape(-1)
@@ -111,9 +111,20 @@ def as_bytes(texts: list[bytes | None]) -> list[bytes]:
     return [t or b"" for t in texts]
 
 
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[word] = xxhash.xxh32_intdigest(word)
+        return code
+
+
+_CODES = _Codes()
+
+
 def as_words(texts: list[bytes | None]) -> list[bytes]:
     """Four bytes a word (a run without white space): its hash, so that equal runs of words are equal strings."""
-    return [np.fromiter(map(xxhash.xxh32_intdigest, t.split()), "<u4").tobytes() if t else b"" for t in texts]
+    return [np.array([_CODES[w] for w in t.split()], "<u4").tobytes() if t else b"" for t in texts]
 
 
 def _frequent(length: int, encode):
@@ -184,7 +195,7 @@ def _refined(length: int):
 
     def judge(group):
         sizes = np.array([len(x) for _, _, x in group])
-        data = np.frombuffer(b"".join(x for _, _, x in group), np.uint8)
+        data = b"".join(x for _, _, x in group)
         ends = np.cumsum(sizes)
         twice = refine(data, np.repeat(ends, sizes), length)
         out = []
