@@ -44,6 +44,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): each doc_id once, if its rows that hold 0 or 1 agree."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
+    return known.agg(F.min(label).alias(label), F.max(label).alias("most")).where(F.col(label) == F.col("most")).drop("most")
+
+
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """From batches sorted by their first column: the rows of each of its values together. Only for keys of bounded size."""
     held: list[pa.RecordBatch] = []

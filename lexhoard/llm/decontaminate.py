@@ -37,7 +37,7 @@ def _automaton(items: list[tuple]):
     for item, text in items:
         words = _words(text)
         for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-            of[tuple(words[i : i + WINDOW])].add(str(item))
+            of[tuple(words[i : i + WINDOW])].update([] if item is None else [str(item)])
     found = ahocorasick.Automaton()
     for words, ids in of.items():
         found.add_word(" " + b" ".join(words).decode("latin-1") + " ", (len(words), tuple(ids)))
@@ -83,7 +83,8 @@ def _scanner(items: list[tuple], text_at: int, schema: pa.Schema):
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns kept, with three more: bench_words (int), bench_spans and bench_items (sorted).
 
-    A window is WINDOW consecutive words of an item; a shorter item is one window; null or wordless items have none. Spans are
+    A window is WINDOW consecutive words of an item; a shorter item is one window; null or wordless items have none. Windows of
+    items without an id are hit like others, and no id is listed for them. Spans are
     the merged places of windows, in words and in characters of the text. Null and empty texts have no words. Rows are never
     dropped, and repeated rows are judged one by one. `docs` must not have columns of those three names.
     """
@@ -122,6 +123,7 @@ def _merged(spans):
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query: all `documents` against all of `benchmark`."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     hits = F.aggregate("bench_spans", F.lit(0).cast("long"), lambda n, s: n + s["word_to"] - s["word_from"])
@@ -152,7 +154,7 @@ dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p,
 hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, g)),
 q AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN q USING (doc_id) LEFT JOIN i USING (doc_id)

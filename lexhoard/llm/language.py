@@ -7,8 +7,6 @@ backpropagation through time, on a bounded sample of labelled rows that are not
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +20,6 @@ MAX_PER_LANGUAGE = 300
 UNITS, SEGMENT, TOGETHER = 8, 64, 2048
 STEPS, BATCH = 160, 160
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def _sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
@@ -187,7 +183,7 @@ def identify_language(docs: DataFrame, model: tuple[dict, list[str]] | None, id_
         for batch in batches:
             texts = batch.column(1).to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            use = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
             if use:
                 prob = document_probabilities(model[0], [texts[i].encode() for i in use])
                 for i, row in zip(use, prob, strict=True):
@@ -198,5 +194,6 @@ def identify_language(docs: DataFrame, model: tuple[dict, list[str]] | None, id_
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over all `documents`, learned from the lang of those that are not held out."""
     docs = documents(spark, sf_dir)
     return identify_language(docs, fit_language(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

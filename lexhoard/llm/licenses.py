@@ -142,6 +142,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over all `documents`."""
     base = F.filter("spans", lambda s: s["base"])
     labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     return scan_licenses(documents(spark, sf_dir)).select(

@@ -221,6 +221,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over all `documents`: counts and digest of base spans, and all spans."""
     found = find_pii(documents(spark, sf_dir))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])

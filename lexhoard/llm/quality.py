@@ -1,8 +1,10 @@
 """Quality rules: a linear-chain conditional random field over the lines of a text.
 
 Each line gets features of its characters and its place; Viterbi decoding marks it content or boilerplate; the share of characters
-in content lines decides whether the text is kept. The field is trained in numpy on a bounded sample of labelled documents,
-whose lines take the document's quality as their label, by gradient ascent on the likelihood (forward-backward).
+in content lines decides whether the text is kept. The field is trained in numpy by gradient ascent on the likelihood
+(forward-backward), on windows of lines from a bounded sample of labelled documents. Labels are of documents, and a field that
+saw each document alone would learn that lines of a text never differ. So half of the training sequences join a window of a
+good document to one of a bad document, each line with its own document's label: there the gold path changes state.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhoard.llm.base import arrow_sized, documents, held_out
+from lexhoard.llm.base import agreed, arrow_sized, documents, held_out
 from lexhoard.session import table
 
 #: Labelled documents that the field is fitted on, at most (as an expected number of a hash sample).
 MAX_LABELLED = 2000
+#: Lines in a window, and windows of a document, at most, that the field learns from: they bound what reaches the driver.
+LINES, WINDOWS = 12, 3
 #: Characters of a text in content lines, as a share, below which it isn't kept.
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
@@ -95,24 +99,39 @@ def viterbi(scores: np.ndarray, trans: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def train_field(rows: list[tuple[bytes, int]], epochs: int = 120, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x 2) and transitions (2 x 2). Without rows of both labels: all lines are content."""
-    lines = [(f, y) for text, y in rows for f, _ in [line_features(text)] if len(f)]
+def windows(data: bytes) -> list[np.ndarray]:
+    """Features of at most WINDOWS runs of at most LINES lines, spread evenly over the text."""
+    features, _ = line_features(data)
+    n = -(-len(features) // LINES)
+    return [features[i * LINES : (i + 1) * LINES] for i in sorted({j * n // WINDOWS for j in range(min(WINDOWS, n) or 0)} if n > WINDOWS else range(n))]
+
+
+def train_field(rows: list[tuple[np.ndarray, int]], epochs: int = 120, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x 2) and transitions (2 x 2), from (window, label of its document). Without windows of both labels: all
+    lines are content."""
     weights, trans = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    if len({y for _, y in lines}) < 2:
+    of = [[f for f, y in rows if y == c and len(f)] for c in (0, 1)]
+    if not all(of):
         weights[0, 1] = 1
         return weights, trans
-    share = np.array([sum(y == c for _, y in lines) for c in (0, 1)]) / len(lines)
-    longest = max(len(f) for f, _ in lines)
+    alone = [(f, np.full(len(f), c)) for c in (0, 1) for f in of[c]]
+    joined = []
+    for i in range(max(map(len, of))):  # every window stands in a joined sequence, in either place by turns
+        parts = [(of[c][i % len(of[c])], c) for c in ((0, 1) if i % 2 else (1, 0))]
+        joined.append((np.concatenate([f for f, _ in parts]), np.concatenate([np.full(len(f), c) for f, c in parts])))
+    lines = alone + joined
+    share = np.array([len(of[c]) for c in (0, 1)]) / len(alone)
+    weight = np.concatenate([0.5 / share[[y[0] for _, y in alone]] / len(alone), np.full(len(joined), 1 / len(joined))])
+    longest = 2 * LINES
     x = np.zeros((len(lines), longest, N_FEATURES))
+    gold = np.zeros((len(lines), longest, 2))
     there = np.zeros((len(lines), longest), bool)
-    label = np.array([y for _, y in lines])
-    for i, (f, _) in enumerate(lines):
-        x[i, : len(f)], there[i, : len(f)] = f, True
-    each = (0.5 / share[label]) / there.sum(1)  # both labels weigh the same, and so do short and long texts
-    gold = np.eye(2)[label][:, None, :] * there[..., None] * each[:, None, None]
     gold_pairs = np.zeros((2, 2))
-    np.add.at(gold_pairs, (label, label), (there.sum(1) - 1) * each)
+    each = weight * len(lines) / 2 / np.array([len(f) for f, _ in lines])  # labels, and alone and joined ones, weigh the same
+    for i, (f, y) in enumerate(lines):
+        x[i, : len(f)], there[i, : len(f)] = f, True
+        gold[i, np.arange(len(f)), y] = each[i]
+        np.add.at(gold_pairs, (y[:-1], y[1:]), each[i])
     first, second = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2))], [np.zeros((N_FEATURES, 2)), np.zeros((2, 2))]
     for epoch in range(1, epochs + 1):
         scores = x @ weights
@@ -134,13 +153,21 @@ def train_field(rows: list[tuple[bytes, int]], epochs: int = 120, rate: float =
     return weights, trans
 
 
+def _windows(batches):
+    for batch in batches:
+        found = [(y, w.ravel().tolist()) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for w in windows(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.list_(pa.float64()))], ["quality", "features"])
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Fits the field on a hash sample of about max_labelled labelled documents, held-out ones left aside."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").where(~held_out())
+    """Fits the field on a hash sample of about max_labelled labelled documents, held-out ones left aside. A doc_id that labels
+    hold with both qualities counts as unlabelled."""
+    known = agreed(labels, "quality").where(~held_out())
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, max_labelled / max(1, n))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null").orderBy("doc_id", "quality", "text").collect()  # bounded by max_labelled
-    return train_field([(r["text"].encode(), r["quality"]) for r in rows])
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select(F.col("quality").cast("int"), "text")
+    rows = sample.mapInArrow(_windows, "quality int, features array<double>").orderBy("quality", "features").collect()  # bounded by max_labelled, LINES and WINDOWS
+    return train_field([(np.array(r["features"]).reshape(-1, N_FEATURES), r["quality"]) for r in rows])
 
 
 def _judge(weights, trans):
@@ -174,5 +201,6 @@ def score_quality(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], id_col:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over all `documents`, with the field fitted on `labels.quality`; one column more: content_share."""
     docs = documents(spark, sf_dir)
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))

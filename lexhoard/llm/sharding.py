@@ -101,6 +101,7 @@ def _evened(now: DataFrame, n: int, n_shards: int) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over all `documents`, by law `rows`."""
     return shard_documents(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

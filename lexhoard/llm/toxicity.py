@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhoard.llm.base import NOT_WORD, WORDS_OF, arrow_sized, documents, held_out
+from lexhoard.llm.base import NOT_WORD, WORDS_OF, agreed, arrow_sized, documents, held_out
 from lexhoard.session import saved, table
 
 #: Labelled rows that are learned from, at most (as an expected number of a hash sample).
@@ -212,12 +212,13 @@ def _gram_counts(batches):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple:
     """(trigram model, its floor, marker weights, slope, bias, bonus of each marker as a word). Trigrams are counted over all
-    documents that are not held out, labelled or not; the rest is learned from a hash sample of labelled rows.
+    documents that are not held out, labelled or not; the rest is learned from a hash sample of labelled rows. A doc_id that
+    labels hold with both values counts as unlabelled.
 
     Word and trigram counts are made in Spark; what reaches the driver is bounded: trigrams by ALPHABET, markers by MIN_SHARE. Without toxic rows every score is the base rate's.
     """
     arrow_sized(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").where(~held_out())
+    known = agreed(labels, "toxic").where(~held_out())
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * min(1.0, max_labelled / max(1, n))))
     sample = saved(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id"))  # some is bounded by max_labelled
@@ -278,6 +279,7 @@ def score_toxicity(docs: DataFrame, model: tuple, text_col: str = "text") -> Dat
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over all `documents`, learned from `labels.toxic` of rows that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))

@@ -99,12 +99,12 @@ def test_sharding_keeps_copies_together(spark):
 def test_decontamination(spark, docs, empty):
     texts = [r["text"] for r in docs.collect()]
     words = WORD.findall(_lower(texts[12]))
-    items = [(1, " ".join(words[3:20]) if len(words) > 20 else texts[12]), (2, "OK"), (3, None), (4, "..."), (15, "x9 of the"), (2, "gamma of")]
+    items = [(1, " ".join(words[3:20]) if len(words) > 20 else texts[12]), (2, "OK"), (3, None), (4, "..."), (15, "x9 of the"), (2, "gamma of"), (None, "délta")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = set()
     for item, t in items:
         w = WORD.findall(_lower(t))
-        windows |= {(tuple(w[i : i + 10]), str(item)) for i in range(max(1, len(w) - 9) if w else 0)}
+        windows |= {(tuple(w[i : i + 10]), item and str(item)) for i in range(max(1, len(w) - 9) if w else 0)}
     for block in (decontaminate.BLOCK_BYTES, 20):
         for r in decontaminate.find_benchmark(docs, bench, block_bytes=block).collect():
             w = WORD.findall(_lower(r["text"]))
@@ -114,7 +114,7 @@ def test_decontamination(spark, docs, empty):
                     if tuple(w[i : i + len(window)]) == window:
                         hit |= set(range(i, i + len(window)))
                         ids.add(item)
-            assert r["bench_words"] == len(w) and r["bench_items"] == sorted(ids)
+            assert r["bench_words"] == len(w) and r["bench_items"] == sorted(ids - {None})
             got = [i for s in r["bench_spans"] for i in range(s["word_from"], s["word_to"])]
             assert sorted(got) == sorted(hit)
             for s in r["bench_spans"]:
@@ -341,14 +341,21 @@ def test_quality_viterbi_is_the_best_path():
         assert value(quality.viterbi(scores, trans)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=n))))
 
 
-def test_quality_table(docs, empty):
+def test_quality_table(spark, docs, empty):
     good, bad = b"A fine line of words.\nAnother one, with more words.", b"BUY!! NOW!! $$$ ### %%%\nBUY!! NOW!! $$$ ###"
-    field = quality.train_field([(good, 1), (bad, 0)] * 20)
+    field = quality.train_field([(w, y) for text, y in [(good, 1), (bad, 0)] * 20 for w in quality.windows(text)])
     out = {r["doc_id"]: r for r in quality.score_quality(docs, field).collect()}
     assert not out[0]["kept"] and not out[1]["kept"] and out[0]["n_words"] == 0
-    assert quality.viterbi(quality.line_features(bad)[0] @ field[0], field[1]) == [0, 0]
-    assert quality.viterbi(quality.line_features(good)[0] @ field[0], field[1]) == [1, 1]
+    states = lambda text: quality.viterbi(quality.line_features(text)[0] @ field[0], field[1])
+    assert states(bad) == [0, 0] and states(good) == [1, 1]
+    assert states(good + b"\n" + bad) == [1, 1, 0, 0] and states(bad + b"\n" + good) == [0, 0, 1, 1]
     assert quality.score_quality(empty, field).count() == 0
+    long = quality.windows(b"one line of words\n" * 200_000)
+    assert len(long) == quality.WINDOWS and all(len(w) == quality.LINES for w in long) and quality.windows(b"\n") == []
+    assert [len(w) for w in quality.windows(b"a b\n" * 30)] == [12, 12, 6]
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (5, 1, 1), (7, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["quality"] for r in quality.agreed(labels, "quality").collect()} == {5: 1}
+    assert quality.fit_quality(docs, labels)[0][0, 1] == 1 and quality.fit_quality(empty, labels)[0][0, 1] == 1
 
 
 @pytest.fixture(scope="module")
@@ -441,9 +448,9 @@ def test_language(spark, empty):
     rows = [(i, " ".join(rng.choice(of[lang]) for _ in range(40)), lang) for i in range(300) for lang in [rng.choice(list(of))]]
     model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=60)
     tests = [(i, " ".join(rng.choice(of[lang]) for _ in range(30)), lang) for i in range(60) for lang in [rng.choice(list(of))]]
-    tests += [(100, None, "und"), (101, "", "und"), (102, "123 !", "und")]
+    tests += [(100, None, "und"), (101, "", "und"), (102, "123 !", "und"), (103, "½ ² Ⅷ", "und")]
     out = {r["doc_id"]: r for r in language.identify_language(spark.createDataFrame(tests, "doc_id long, text string, lang string"), model).collect()}
-    assert sum(out[i]["lang_pred"] == lang for i, _, lang in tests) >= 61
+    assert sum(out[i]["lang_pred"] == lang for i, _, lang in tests) >= 62
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert language.fit_language(empty) is None
     assert language.identify_language(spark.createDataFrame(tests, "doc_id long, text string, lang string"), None).where("lang_pred <> 'und'").count() == 0
@@ -461,10 +468,12 @@ def test_packing(docs, empty):
     for r in rows:
         want[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
     assert placed == want or {k: v for k, v in placed.items() if v} == {k: v for k, v in want.items() if v}
+    of_source = Counter(text[p["doc_id"]]["source"] for p in out if p["n_words"])
+    limit = {s: max(2, math.ceil(packing.EVEN_SHARE * n / -(-sum(want.values()) // 100))) for s, n in of_source.items()}
     for pieces in held.values():
         assert sum(p["n_words"] for p in pieces) <= 100
-        assert max(Counter(text[p["doc_id"]]["source"] for p in pieces).values()) <= 2
-        assert max(Counter(text[p["doc_id"]]["text"] for p in pieces).values()) <= 1
+        assert all(n <= limit[s] for s, n in Counter(text[p["doc_id"]]["source"] for p in pieces if p["n_words"]).items())
+        assert max(Counter(text[p["doc_id"]]["text"] for p in pieces if p["n_words"]).values(), default=0) <= 1
         at = 0
         for p in sorted(pieces, key=lambda p: (p["bin_offset"], -p["n_words"])):
             assert p["bin_offset"] >= at or p["n_words"] == 0
@@ -472,15 +481,30 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_one_source_and_of_empty_texts():
+    bins, _ = packing.pack_block([100] * 10_000, ["a"] * 10_000, list(range(10_000)), 2048, 2)
+    assert max(bins) + 1 == 500  # 20 texts of 100 words fill a sequence of 2048
+    bins, _ = packing.pack_block([0] * 1000, [None] * 1000, [7] * 1000, 2048, 2)
+    assert set(bins) == {0}
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(9)
     for _ in range(50):
         n = rng.randint(1, 60)
         sizes, sources, clusters = ([rng.randint(0, 40) for _ in range(n)], [rng.choice("abc") for _ in range(n)], [rng.randint(0, n) for _ in range(n)])
         bins, _ = packing.pack_block(sizes, sources, clusters, 50, 2)
+        full = max(1, -(-sum(sizes) // 50))
+        limit = {s: max(2, math.ceil(packing.EVEN_SHARE * sum(x == s and m > 0 for x, m in zip(sources, sizes, strict=True)) / full)) for s in "abc"}
         state = []
         for i in sorted(range(n), key=lambda i: -sizes[i]):
-            fits = [(50 - sum(sizes[j] for j in b), k) for k, b in enumerate(state) if sum(sizes[j] for j in b) + sizes[i] <= 50 and sum(sources[j] == sources[i] for j in b) < 2 and all(clusters[j] != clusters[i] for j in b) and sum(sizes[j] for j in b) < 50]
+            fits = []
+            for k, b in enumerate(state):
+                room = 50 - sum(sizes[j] for j in b)
+                closed = room == 0 or all(sum(sources[j] == s and sizes[j] > 0 for j in b) >= limit[s] for s in set(sources))
+                clash = sizes[i] > 0 and (sum(sources[j] == sources[i] and sizes[j] > 0 for j in b) >= limit[sources[i]] or any(clusters[j] == clusters[i] and sizes[j] > 0 for j in b))
+                if room >= sizes[i] and not closed and not clash:
+                    fits.append((room, k))
             k = min(fits)[1] if fits else len(state)
             if not fits:
                 state.append([])
