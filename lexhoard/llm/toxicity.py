@@ -62,6 +62,14 @@ MAX_TOKEN = 60
 MAX_READ = 100_000
 
 
+_DOUBLED = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def squeezed(word: str) -> str:
+    """The word with each letter once where it is repeated."""
+    return _DOUBLED.sub(r"\1", word)
+
+
 def lexicon(bonus: dict[str, float]) -> tuple[dict[str, float], frozenset[str]]:
     """Words with what each is likelier as a word than by its trigrams, and all their beginnings."""
     return bonus, frozenset(w[:i] for w in bonus for i in range(len(w) + 1))
@@ -148,7 +156,9 @@ def _signal(text: str | None, read: _Reader, weights: dict[bytes, float]) -> flo
     strongest = weigh(weights.keys() & set(_words(text)))
     for token in set(text.split()):
         if (w := read.weights.get(token)) is None:
-            w = weigh(_words(" ".join(plain for _, _, plain in readings(token, read))))
+            core = token.strip(_PUNCTUATION).lower()
+            # Letters alone can only lose repetitions, so no marker is read into a token that isn't one when both are squeezed.
+            w = 0.0 if core.isalpha() and squeezed(core) not in read.markers else weigh(_words(" ".join(plain for _, _, plain in readings(token, read))))
             if len(token) <= MAX_TOKEN:
                 if len(read.weights) >= MAX_READ:
                     read.weights.clear()
@@ -164,6 +174,7 @@ class _Reader:
 
     def __init__(self, model: dict[str, float], floor: float, bonus: dict[str, float]):
         words = lexicon(bonus)
+        self.markers = {squeezed(w) for w in bonus}
         self.long = lambda token: decode(token, model, floor, words)
         self.short = lru_cache(MAX_READ)(self.long)
         self.weights: dict[str, float] = {}

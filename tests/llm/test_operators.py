@@ -400,6 +400,16 @@ def test_toxicity_reads_every_disguise(spark, text):
         assert "idiot" not in toxicity.restore(clean, toxicity._Reader(trigrams, floor, bonus))
 
 
+def test_toxicity_reads_letters_alone_as_the_lattice_does(toxic_model):
+    trigrams, floor, weights, _, _, bonus = toxic_model
+    read, rng = toxicity._Reader(trigrams, floor, bonus), random.Random(14)
+    for _ in range(400):
+        token = "".join(c * rng.choice([1, 1, 2, 3]) for c in rng.choice(["idiot", "moron", "letter", "stone", "idito", "Ærer"]))
+        plain = [w for _, _, t in toxicity.readings(token, read) for w in toxicity._words(t)]
+        want = max((weights[w] for w in {*plain, *toxicity._words(token.lower())} if w in weights), default=0.0)
+        assert toxicity._signal(token.lower(), read, weights) == want, token
+
+
 def test_toxicity_counts_letters_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "PENDING", 50)
     texts = ["the river", "Señor zyzz", None, "ЖУК x9 zyzz"] * 20
