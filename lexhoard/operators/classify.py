@@ -17,6 +17,7 @@ STAGE_POINTS = {
     "basic research": 1.0, "platform development": 3.0, "preclinical in vitro": 4.0, "preclinical animal": 6.0, "IND-enabling": 8.0, "Phase 1": 10.0, "Phase 1/2": 11.0,
     "Phase 2": 12.0, "Phase 2/3": 13.0, "Phase 3": 14.0, "approved": 15.0, "post-marketing": 13.0, "discontinued": 7.0, "unknown": 0.0,
 }
+#: Fixed value: words that show a therapeutic context.
 ANCHOR = r"(?i)\b(?:therapeutic|therapy|treatment|drug|vaccine|clinical trial|approved)\b"
 
 _STRINGS = "array<string>"
@@ -55,20 +56,34 @@ def _insensitive(pattern: str) -> str:
     return "(?iU)" + pattern
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used: a lambda's variable is not computed anew."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _first_forms(said: Column) -> Column:
+    """Of phrases that differ in case only the first, in order. Linear but for a sort."""
+    keyed = F.array_sort(F.transform(said, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    firsts = _bound(keyed, lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["low"] != e["low"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+
+
 def rule_evidence(rule: Rule, fields: str = "_fields") -> Column:
     """struct(label, score, matched_phrases, fields) if the rule fires, else null. A negative pattern in any field stops it."""
     matches = lambda f: F.flatten(F.array(*[F.regexp_extract_all(f["text"], F.lit(_insensitive(p)), F.lit(0)) for p in rule.patterns]))
     hits = F.filter(F.transform(fields, lambda f: F.struct(f["name"].alias("name"), f["weight"].alias("weight"), matches(f).alias("found"))), lambda f: F.size(f["found"]) > 0)
-    score = F.aggregate(hits, F.lit(0.0), lambda s, f: s + F.size(f["found"]) * f["weight"] * rule.weight)
-    said = F.flatten(F.transform(hits, lambda f: f["found"]))
-    lower = F.transform(said, lambda x: F.lower(x))
-    first = F.filter(F.transform(said, lambda x, i: F.when(F.array_position(lower, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
     stopped = F.lit(False)
     for p in map(_insensitive, rule.negative_patterns):
         stopped = stopped | F.exists(fields, lambda f: f["text"].rlike(p))  # noqa: B023  called at once
-    confidence = F.bround(F.least(F.lit(1.0), score / max(3 * rule.minimum_score, 1.0)), 3)
-    out = F.struct(F.lit(rule.label).alias("label"), confidence.alias("confidence"), first.alias("matched_phrases"), F.transform(hits, lambda f: f["name"]).alias("fields"), F.lit("deterministic-rules").alias("method"))
-    return F.when(~stopped & (score >= rule.minimum_score), out)
+
+    def judged(hits: Column) -> Column:
+        score = F.aggregate(hits, F.lit(0.0), lambda s, f: s + F.size(f["found"]) * f["weight"] * rule.weight)
+        confidence = F.bround(F.least(F.lit(1.0), score / max(3 * rule.minimum_score, 1.0)), 3)
+        said = _first_forms(F.flatten(F.transform(hits, lambda f: f["found"])))
+        out = F.struct(F.lit(rule.label).alias("label"), confidence.alias("confidence"), said.alias("matched_phrases"), F.transform(hits, lambda f: f["name"]).alias("fields"), F.lit("deterministic-rules").alias("method"))
+        return F.when((score >= rule.minimum_score) & ~stopped, out)
+
+    return _bound(hits, judged)
 
 
 def classify(df: DataFrame, rules: list[Rule], weights: dict[str, float] = FIELD_WEIGHTS, recomputed: tuple[str, ...] = ("topics",)) -> DataFrame:

@@ -104,7 +104,7 @@ def merge_cluster(df: DataFrame, scalars: list[str], arrays: list[str], first: l
     ordered union; `first` fields the minimum, `last` fields the maximum; excluded only if all members are.
     """
     kinds = dict(df.dtypes)
-    given = lambda c: empty_to_null(F.col(c)) if kinds[c] == "string" else F.col(c)
+    given = lambda c: empty_to_null(F.col(c)) if kinds[c] == "string" else F.when(F.size(c) > 0, F.col(c)) if kinds[c].startswith("array") else F.col(c)
     ranked = df.withColumn("_q", quality(F.col("source_types")))
     # Only aggregates with states of one value each, so that a cluster of any size is summed up where its rows are.
     by = lambda value: F.max(F.when(value.isNotNull(), F.struct("_q", "id", value.alias("value"))))["value"]

@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexhoard.functions.text import ascii_fold, normalize_orcid
+from lexhoard.functions.text import ascii_fold, empty_to_null, normalize_orcid
 
 #: A roster beyond this many name rows is joined by shuffle and not broadcast.
 BROADCAST_NAMES = 200_000
 
 
+def _parts(name: Column) -> Column:
+    return F.split(ascii_fold(name), " ")
+
+
+def _evidence_text(records: DataFrame) -> Column:
+    """What affiliation terms may stand in besides an author's own affiliations: names of organizations, and institutions."""
+    found = []
+    if "organizations" in records.columns:
+        found.append(F.col("organizations")["name"])
+    if "institutions" in records.columns:
+        found.append(F.col("institutions"))
+    return F.concat_ws(" ", *found) if found else F.lit("")
+
+
 def match_people(records: DataFrame, people: DataFrame) -> DataFrame:
     """(id, person, position): each person whose ORCID an author has, or whose family and full first given name an author has
     with affiliation evidence.
 
-    records: id, authors array<struct<name, orcid, affiliations>>; people: person, position, orcid, aliases, affiliation_terms,
-    require_affiliation, active. A person without affiliation terms needs none unless required. Two equi-joins; the affiliation
+    records: id, authors array<struct<name, orcid, affiliations>>, where authors may have family_name and given_name, which go
+    before name, and records organizations (with name) and institutions. people: person, position, orcid, aliases,
+    affiliation_terms, require_affiliation, active. Names and affiliations are compared without case, accents and punctuation; an
+    initial is no given name. A person without affiliation terms needs none unless required. Two equi-joins; the affiliation
     test runs on their hits only.
     """
-    authors = records.select("id", F.explode("authors").alias("a")).select("id", normalize_orcid(F.col("a")["orcid"]).alias("orcid"), ascii_fold(F.col("a")["name"]).alias("name"), F.lower(F.array_join(F.coalesce(F.col("a")["affiliations"], F.array().cast("array<string>")), " ")).alias("affiliation"))
-    authors = authors.withColumn("family", F.element_at(F.split("name", " "), -1)).withColumn("given", F.element_at(F.split("name", " "), 1))
+    have = records.schema["authors"].dataType.elementType.names
+    part = lambda field: F.coalesce(empty_to_null(F.col("a")[field]), F.col("a")["name"]) if field in have else F.col("a")["name"]
+    own = F.array_join(F.coalesce(F.col("a")["affiliations"], F.array().cast("array<string>")), " ") if "affiliations" in have else F.lit("")
+    authors = records.select("id", _evidence_text(records).alias("of_record"), F.explode("authors").alias("a"))
+    authors = authors.select("id", normalize_orcid(F.col("a")["orcid"]).alias("orcid"), F.element_at(_parts(part("family_name")), -1).alias("family"), F.element_at(_parts(part("given_name")), 1).alias("given"), F.concat_ws(" ", own, "of_record").alias("affiliation"))
     active = people.where("active")
     by_orcid = active.select("person", "position", normalize_orcid(F.col("orcid")).alias("orcid")).where("orcid is not null")
-    names = active.select("person", "position", "affiliation_terms", "require_affiliation", F.explode("aliases").alias("alias")).withColumn("alias", ascii_fold(F.col("alias")))
-    names = names.withColumn("family", F.element_at(F.split("alias", " "), -1)).withColumn("given", F.element_at(F.split("alias", " "), 1)).where("length(given) > 1 and alias like '% %'")
-    if names.count() <= BROADCAST_NAMES:
-        names, by_orcid = F.broadcast(names), F.broadcast(by_orcid)
-    first = authors.join(by_orcid, "orcid").select("id", "person", "position")
-    evidence = F.when(F.size("affiliation_terms") > 0, F.exists("affiliation_terms", lambda t: F.contains(F.col("affiliation"), F.lower(t)))).otherwise(~F.col("require_affiliation"))
-    second = authors.join(names, ["family", "given"]).where(evidence).select("id", "person", "position")
+    names = active.select("person", "position", "affiliation_terms", "require_affiliation", F.explode("aliases").alias("alias")).withColumn("alias", _parts(F.col("alias")))
+    names = names.withColumn("family", F.element_at("alias", -1)).withColumn("given", F.element_at("alias", 1)).where("length(given) > 1 and size(alias) > 1")
+    terms = F.transform(F.coalesce("affiliation_terms", F.array().cast("array<string>")), lambda t: t)
+    names = _small(names.select("person", "position", "family", "given", F.posexplode_outer(terms).alias("at", "term"), F.coalesce("require_affiliation", F.lit(False)).alias("required")).withColumn("term", ascii_fold(F.col("term"))))
+    first = authors.join(_small(by_orcid), "orcid").select("id", "person", "position")
+    met = authors.join(names, ["family", "given"]).withColumn("affiliation", ascii_fold(F.col("affiliation")))
+    second = met.where(F.when(F.col("term").isNotNull(), F.contains("affiliation", "term")).otherwise(F.col("at").isNull() & ~F.col("required"))).select("id", "person", "position")
     return first.union(second).distinct()
 
 
+def _small(side: DataFrame) -> DataFrame:
+    """Broadcast if it is short; a longer one is joined by shuffle."""
+    return F.broadcast(side) if side.count() <= BROADCAST_NAMES else side
+
+
 def with_watched_people(records: DataFrame, people: DataFrame) -> DataFrame:
     """records with watched_people in roster order."""
     found = match_people(records, people).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "person"))), lambda x: x["person"]).alias("watched_people"))

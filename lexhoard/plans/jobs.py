@@ -3,21 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lexhoard.functions import ids
 from lexhoard.operators import classify, dedup, history, people, report, select
 from lexhoard.session import saved
 
 
-def update(existing: DataFrame, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, as_of: str, days: int, when=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Fields that works fill in where a record has none.
+FILLED = ["publisher", "journal", "issn", "license", "abstract", "publication_date", "url"]
+
+
+def update(existing: DataFrame | None, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, as_of: str, days: int, when=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, merge decisions, report). Attributes people, fills metadata, keeps changed rows, merges duplicates by DOI,
-    classifies, scores and prunes. Both tables: id, doi, title, abstract, publisher, source_types, authors, excluded, updated_date."""
+    classifies, scores and prunes.
+
+    incoming: id, doi, source_types, authors, excluded, updated_date and any other columns, all of which stay: string arrays of
+    merged records are united, of other fields the best member's value counts. existing is None or what an earlier run returned.
+    Its `seen` names the versions of incoming rows that went into a record, so rows that a record holds already, merged or not, are
+    not changed; rows that were pruned come again.
+    """
     attributed = people.with_watched_people(incoming, roster)
-    filled = history.fill_missing(attributed, works, ["publisher"]).drop("filled_fields", "watched_people")
-    changed = saved(history.changed_records(existing.select(incoming.columns), filled.select(incoming.columns)))
-    everything = existing.select(incoming.columns).join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    filled = history.fill_missing(attributed, works, [c for c in FILLED if c in incoming.columns and c in works.columns]).drop("filled_fields")
+    version = F.concat_ws(" ", "id", ids.content_fingerprint(filled))
+    stamped = filled.withColumn("seen", F.array(version))
+    kinds = dict(stamped.dtypes)
+    if existing is None:
+        changed = everything = saved(stamped)
+    else:
+        known = existing.select(F.explode("seen").alias("version"))
+        changed = saved(stamped.join(known, stamped["seen"][0] == known["version"], "left_anti"))
+        everything = existing.select(stamped.columns).join(changed.select("id"), "id", "left_anti").unionByName(changed)
     edges = dedup.exact_edges(everything, {"DOI": dedup.normalize_doi(everything["doi"])})
-    merged, decisions = dedup.deduplicate(everything, edges, ["title", "abstract", "doi", "publisher"], [], last=["updated_date"])
-    scored = classify.score(classify.classify(merged, rules), as_of, when)
+    united = [c for c in stamped.columns if kinds[c] == "array<string>" and c != "source_types"]
+    scalars = [c for c in stamped.columns if c not in {*united, "id", "source_types", "excluded", "updated_date"}]
+    merged, decisions = dedup.deduplicate(everything, edges, scalars, united, last=["updated_date"])
+    scored = classify.score(classify.classify(merged.drop("cluster", "n_members"), rules), as_of, when)
     kept = saved(select.retain_recent(scored, as_of, days, when))
     counts = incoming.sparkSession.createDataFrame([("incoming", incoming.count(), filled.count())], "source string, raw_count long, normalized_count long")
     return kept, decisions, report.update_report(kept, changed, scored.join(kept.select("id"), "id", "left_anti"), counts)
@@ -37,7 +58,5 @@ def prune(records: DataFrame, as_of: str, days: int, when=None) -> tuple[DataFra
 
 def validate(records: DataFrame, text_col: str = "abstract", **checks) -> DataFrame:
     """Violations of the schema and credentials found, as one table (id, field, bad_values)."""
-    from pyspark.sql import functions as F
-
     secrets = select.scan_secrets(records, "id", text_col).select(F.col("id").cast("string").alias("id"), F.lit(text_col).alias("field"), F.array("label").alias("bad_values"))
     return report.validate_records(records, **checks).unionByName(secrets)

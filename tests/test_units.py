@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
 from lexhoard.graph import connected_components
-from lexhoard.operators import classify, dedup, history, report, select
+from lexhoard.operators import classify, dedup, people, report, select
 from lexhoard.plans import jobs
 from lexhoard.streaming.feeds import foreach_batch_upsert
 
@@ -139,19 +139,55 @@ def test_secrets(spark):
     assert sorted((r["id"], r["label"]) for r in select.scan_secrets(df, "id", "t").collect()) == [(2, "assigned API key"), (4, "GitHub token")]
 
 
-def test_update_twice_changes_nothing(spark):
-    schema = f"id string, doi string, title string, abstract string, publisher string, source_types array<string>, authors {_AUTHORS.replace('orcid:string', 'orcid:string,affiliations:array<string>')}, excluded boolean, updated_date date"
-    rows = [(str(i), f"10.1/{i}", f"title {i} drug", "text", None, ["pubmed"], [], False, dt.date(2024, 2, i + 1)) for i in range(9)]
-    incoming = spark.createDataFrame(rows, schema)
-    roster = spark.createDataFrame([], "person long, position long, orcid string, aliases array<string>, affiliation_terms array<string>, require_affiliation boolean, active boolean")
+def test_update_takes_its_own_output(spark):
+    authors = "array<struct<name:string,orcid:string,affiliations:array<string>>>"
+    schema = f"id string, doi string, title string, abstract string, publisher string, source_types array<string>, keywords array<string>, authors {authors}, excluded boolean, updated_date date"
+    ada = [("Ada Doe", "0000-1", ["Köln"])]
+    row = lambda i, doi, pub, words: (str(i), doi, f"title {i} drug", "text", pub, ["pubmed"], words, ada if i == 5 else [], False, dt.date(2024, 2, i + 1))
+    rows = [row(i, f"10.1/{i}", None, [f"k{i}"]) for i in range(9)]
+    incoming = spark.createDataFrame([*rows, ("77", *row(7, "https://doi.org/10.1/6", "P", ["k6", "x"])[1:])], schema)
+    roster = spark.createDataFrame([(1, 1, "0000-1", ["Ada Doe"], ["koln"], True, True)], "person long, position long, orcid string, aliases array<string>, affiliation_terms array<string>, require_affiliation boolean, active boolean")
     works = spark.createDataFrame([("10.1/3", "Press")], "doi string, publisher string")
     rules = [classify.Rule("topics", "d", [r"\bdrug\b"])]
-    run = lambda existing: jobs.update(existing, incoming, roster, works, rules, "2024-02-09", 5, F.col("updated_date"))
-    kept, _, told = run(incoming.limit(0))
-    assert told.first()["changed"] == 9 and told.first()["total"] == 5 and told.first()["removed"] == 4
-    assert {r["id"] for r in kept.collect()} == set("45678")
-    stored = history.fill_missing(incoming, works, ["publisher"]).drop("filled_fields")
-    assert run(stored)[2].first()["changed"] == 0
+    run = lambda existing, days=50, what=incoming: jobs.update(existing, what, roster, works, rules, "2024-02-09", days, F.col("updated_date"))
+    kept, decisions, told = run(None)
+    assert told.first()["changed"] == 10 and told.first()["total"] == 9 and decisions.count() == 1
+    out = {r["id"]: r for r in kept.collect()}
+    assert out["3"]["publisher"] == "Press" and out["5"]["authors"][0]["name"] == "Ada Doe" and len(out["5"]["watched_people"]) == 1
+    both = out.get("77") or out["6"]
+    assert sorted(both["keywords"]) == ["k6", "x"] and both["publisher"] == "P" and len(both["seen"]) == 2
+    again, _, told = run(kept)
+    assert told.first()["changed"] == 0 and set(again.columns) == set(kept.columns)
+    assert {r["id"]: r for r in again.select(sorted(kept.columns)).collect()} == {r["id"]: r for r in kept.select(sorted(kept.columns)).collect()}
+    new = incoming.withColumn("abstract", F.when(F.col("id") == "4", "other").otherwise(F.col("abstract")))
+    assert run(kept, what=new)[2].first()["changed"] == 1
+    kept, _, told = run(None, days=5)
+    assert told.first()["removed"] == 4 and {"4", "5", "7", "8"} <= {r["id"] for r in kept.collect()}
+
+
+def test_people_by_name_parts_and_record_affiliations(spark):
+    author = "name:string,orcid:string,family_name:string,given_name:string,affiliations:array<string>"
+    rows = [
+        (1, [("Doe, Ada", None, "Doe", "Ada M.", ["Universität Köln"])], [], None),
+        (2, [("Ada Doe", None, None, "", [])], [("Univ. Köln",)], None),
+        (3, [("Ada Doe", None, None, None, None)], None, ["universitat-koln"]),
+        (4, [("A. Doe", None, "Doe", "A.", ["Universitat Koln"])], [], None),
+        (5, [("Ada Doe", None, None, None, ["Bonn"])], [], []),
+        (6, [("X", "https://orcid.org/0000-1", None, None, [])], [], []),
+        (7, [("Doe, Ada", None, None, None, ["Universitat Koln"])], [], []),
+    ]
+    records = spark.createDataFrame(rows, f"id long, authors array<struct<{author}>>, organizations array<struct<name:string>>, institutions array<string>")
+    schema = "person string, position long, orcid string, aliases array<string>, affiliation_terms array<string>, require_affiliation boolean, active boolean"
+    roster = spark.createDataFrame([("ada", 1, "0000-1", ["Áda Doe", "Doe"], ["Universitat Koln", "univ koln"], True, True), ("free", 2, None, ["Ada Doe"], [], False, True), ("none", 3, None, ["Ada Doe"], [], True, True), ("gone", 4, None, ["Ada Doe"], [], False, False)], schema)
+    found = {(r["id"], r["person"]) for r in people.match_people(records, roster).collect()}
+    assert found == {(i, "ada") for i in (1, 2, 3, 6)} | {(i, "free") for i in (1, 2, 3, 5)}
+
+
+def test_rules_are_linear_in_hits(spark):
+    df = spark.createDataFrame([("1", "", "Drug drug DRUG vaccine " * 20_000)], "id string, title string, abstract string")
+    rule = classify.Rule("topics", "d", [r"\bvaccine\b", r"\bdrug\b"])
+    e = classify.classify(df, [rule]).first()["classification_evidence"]["topics"][0]
+    assert e["matched_phrases"] == ["vaccine", "Drug"]
 
 
 def test_export(spark, tmp_path):
