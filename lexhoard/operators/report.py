@@ -44,9 +44,11 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:
 
 def update_report(records: DataFrame, changed: DataFrame, removed: DataFrame, sources: DataFrame) -> DataFrame:
     """One row: total, changed and removed counts, and raw and normalized counts by source (source, raw_count, normalized_count)."""
-    by_source = sources.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.struct("raw_count", "normalized_count"))))).alias("sources"))
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(records, "total").join(count(changed, "changed")).join(count(removed, "removed")).join(by_source)
+    tagged = lambda df, kind: df.select(F.lit(kind).alias("kind"))
+    rows = tagged(records, "total").union(tagged(changed, "changed")).union(tagged(removed, "removed"))
+    named = sources.select(F.lit("source").alias("kind"), F.struct("source", F.struct("raw_count", "normalized_count").alias("counts")).alias("entry"))
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    return rows.unionByName(named, allowMissingColumns=True).agg(count("total"), count("changed"), count("removed"), F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("sources"))
 
 
 def public_projection(df: DataFrame) -> DataFrame:

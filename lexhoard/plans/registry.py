@@ -213,10 +213,14 @@ def last_days(spark, sf):
     return select.last_days(records(spark, sf), AS_OF, 7, "updated_date").select("doc_id")
 
 
-@query(f"WITH {R}, t AS (SELECT *, regexp_replace(lower(strip_accents(title || ' ' || abstract)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS h FROM r) SELECT doc_id FROM t WHERE NOT excluded AND contains(h, 'the') AND contains(h, 'er') AND score >= 20 AND day >= '2024-01-05' AND day <= '2024-02-20' AND lang IN ('en', 'fr')")
+@query(f"WITH {R}, t AS (SELECT *, regexp_replace(lower(strip_accents(title || ' ' || abstract)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS h FROM r) SELECT doc_id FROM t WHERE NOT excluded AND contains(h, 'the') AND contains(h, 'er') AND score >= 20 AND day >= '2024-01-05' AND day <= '2024-02-20'")
 def filter_records(spark, sf):
-    df = records(spark, sf).where("lang in ('en', 'fr')")
-    return select.filter_records(df, text="THÉ er", min_score=20, date_from="2024-01-05", date_to="2024-02-20", when=updated()).select("doc_id")
+    return select.filter_records(records(spark, sf), text="THÉ er", min_score=20, date_from="2024-01-05", date_to="2024-02-20", when=updated()).select("doc_id")
+
+
+@query(f"WITH {R} SELECT doc_id FROM r WHERE NOT excluded AND lang = 'en' AND source = 'src0' AND list_contains(modalities, 'mRNA')")
+def filter_records_by_facets(spark, sf):
+    return select.filter_records(records(spark, sf), equal={"lang": "en"}, member={"source_types": "src0"}, tech="mRNA", when=updated()).select("doc_id")
 
 
 @query(f"WITH {R} SELECT doc_id FROM r WHERE list_contains(modalities, 'mRNA')")
@@ -292,8 +296,17 @@ def distinct_ids(spark, sf):
 def _authors(spark, sf):
     none = F.lit(None).cast("string")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    author = F.struct(F.concat(F.lit("Anna K. "), F.replace("c_name", F.lit("#"), F.lit(""))).alias("name"), F.when(F.col("c_custkey") % 50 == 0, F.concat(F.lit("https://orcid.org/0000-"), F.col("c_custkey").cast("string"))).otherwise(none).alias("orcid"), F.array("n_name").alias("affiliations"))
-    return table(spark, sf, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("id"), "c_nationkey", F.array(author).alias("authors"))
+    n = F.col("c_custkey")
+    family = F.replace("c_name", F.lit("#"), F.lit(""))
+    author = F.struct(
+        F.when(n % 4 == 0, F.concat(family, F.lit(", A."))).otherwise(F.concat(F.lit("Anna K. "), family)).alias("name"),
+        F.when(n % 4 == 0, family).alias("family_name"),
+        F.when(n % 4 == 0, "ANNA K.").alias("given_name"),
+        F.when(n % 50 == 0, F.concat(F.lit("https://orcid.org/0000-"), n.cast("string"))).otherwise(none).alias("orcid"),
+        F.when(n % 3 != 0, F.array("n_name")).alias("affiliations"),
+    )
+    institutions, organizations = F.when(n % 6 == 3, F.array("n_name")), F.when(n % 6 == 0, F.array(F.struct(F.col("n_name").alias("name"))))
+    return table(spark, sf, "customer").join(nation, "c_nationkey").select(n.alias("id"), "c_nationkey", F.array(author).alias("authors"), institutions.alias("institutions"), organizations.alias("organizations"))
 
 
 def _roster(spark, sf):
