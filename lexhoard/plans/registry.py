@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
 from lexhoard.operators import classify, dedup, history, people, report, select
-from lexhoard.plans import streams
+from lexhoard.plans import jobs, streams
 from lexhoard.session import table
 
 AS_OF = "2024-02-15"
@@ -473,6 +473,15 @@ def advance_state(spark, sf):
     return history.advance_state(state, results).select("source", F.date_format("last_successful_until", "yyyy-MM-dd").alias("last"), F.col("raw_count").alias("n"))
 
 
+@query(f"""WITH {R}, a AS (SELECT doc_id // 2 AS g, *, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY id DESC) AS n FROM r)
+SELECT max(id) AS id, count(*) AS n_rows, max(title) FILTER (n = 1) AS title, bool_and(excluded) AS excluded, max(day) AS day FROM a GROUP BY g HAVING max(day) BETWEEN '2024-02-09' AND '{AS_OF}'""")
+def update_job(spark, sf):
+    incoming = records(spark, sf).withColumn("doi", F.concat(F.lit("https://doi.org/10.1/"), F.floor(F.col("doc_id") / 2).cast("string"))).withColumn("authors", F.array(F.struct(F.col("source").alias("name"), F.lit(None).cast("string").alias("orcid"), F.array("lang").alias("affiliations"))))
+    works = table(spark, sf, "nation").select(F.lit("10.9/none").alias("doi"))
+    kept, _, _ = jobs.update(None, incoming.drop("relevance_score", "doc_id"), _roster(spark, sf), works, RULES, AS_OF, 7, updated())
+    return kept.select("id", F.size("seen").cast("long").alias("n_rows"), "title", "excluded", F.col("updated_date").cast("string").alias("day"))
+
+
 # --- classification, scores, reports ----------------------------------------------------------------------------------------
 
 
