@@ -114,20 +114,38 @@ def as_bytes(texts: list[bytes | None]) -> list[bytes]:
     return [t or b"" for t in texts]
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        code = self[word] = xxhash.xxh32_intdigest(word)
-        return code
-
-
-_CODES = _Codes()
+#: A number for each byte, a factor and its inverse modulo 2 ** 64: a word's hash is the sum of its bytes' numbers, each times the
+#: factor to the power of its place, so that sums over a whole text give the hashes of all its words.
+_BYTE = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _C[1]) * _C[2])
+_FACTOR, _INVERSE = np.uint64(0xA0761D6478BD642F), np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
+_BLANK = np.array([bytes([x]).isspace() for x in range(256)])
+#: Bytes of texts that are coded together.
+CODED = 200_000
 
 
 def as_words(texts: list[bytes | None]) -> list[bytes]:
     """Four bytes a word (a run without white space): its hash, so that equal runs of words are equal strings."""
-    return [np.array([_CODES[w] for w in t.split()], "<u4").tobytes() if t else b"" for t in texts]
+    out, group, size = [], [], 0
+    for text in texts:
+        group.append(text or b"")
+        size += len(group[-1])
+        if size > CODED:
+            out += _coded(group)
+            group, size = [], 0
+    return out + _coded(group)
+
+
+def _coded(texts: list[bytes]) -> list[bytes]:
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    blank = np.concatenate([[True], _BLANK[data]])
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    power = np.cumprod(np.full(len(data), _FACTOR, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power)])
+    shift = np.cumprod(np.full(len(data), _INVERSE, np.uint64))[starts]
+    hashes = _mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(np.uint64) * _C[3])
+    codes = (_mix(hashes * _C[2]) >> np.uint64(32)).astype("<u4")
+    at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    return [codes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _frequent(length: int, encode):
