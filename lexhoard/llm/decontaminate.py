@@ -1,26 +1,27 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all benchmark items.
 
 Each text is normalised (A-Z lower-cased, words joined by single spaces) and scanned once; a match is mapped back to word
-numbers and to offsets of the original text. The benchmark is a query set: it is broadcast in blocks of checked size, and a
-benchmark beyond one block takes one scan of the documents per block, so nothing depends on its being small.
+numbers and to offsets of the original text. The benchmark is a query set: it is handed to the tasks in blocks of bounded size,
+and a benchmark beyond one block takes one scan of the documents per block, so nothing depends on its being small.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhoard.llm.base import UPPER, LOWER, WORD, WORDS_OF, arrow_sized, documents
-from lexhoard.session import table
+from lexhoard.llm.base import LOWER, NOT_WORD, UPPER, WORD, WORDS_OF, arrow_sized, documents
+from lexhoard.session import saved, table
 
 #: Words in a window.
 WINDOW = 10
-#: Benchmark text, in bytes, that one broadcast automaton holds.
+#: Benchmark text, in bytes, that one automaton holds.
 BLOCK_BYTES = 4_000_000
 
 _SPANS = "array<struct<word_from:int,word_to:int,char_from:int,char_to:int>>"
@@ -80,35 +81,66 @@ def _scanner(items: list[tuple], text_at: int, schema: pa.Schema):
     return scan
 
 
+def _hits(items: list[tuple], schema: pa.Schema):
+    """Of (bench_key, bench_check, text): for texts with hits, the keys, spans and item ids."""
+
+    def scan(batches):
+        found, n = _automaton(items)
+        for batch in batches:
+            out = [_scan(found, t)[1:] if n else ([], []) for t in batch.column(2).to_pylist()]
+            hit = [i for i, x in enumerate(out) if x[0]]
+            new = [pa.array([out[i][j] for i in hit], schema.field(2 + j).type) for j in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(hit, pa.int64())) for j in range(2)), *new], schema=schema)
+
+    return scan
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns kept, with three more: bench_words (int), bench_spans and bench_items (sorted).
 
     A window is WINDOW consecutive words of an item; a shorter item is one window; null or wordless items have none. Windows of
     items without an id are hit like others, and no id is listed for them. Spans are
     the merged places of windows, in words and in characters of the text. Null and empty texts have no words. Rows are never
-    dropped, and repeated rows are judged one by one. `docs` must not have columns of those three names.
+    dropped, and repeated rows are judged one by one. A column of `docs` whose name starts with bench_ is a ValueError.
+
+    A benchmark of one block is scanned for in one map. Of a larger one, each block is a job of its own that saves its hits by
+    text, so that a worker holds one automaton and the driver one block at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if taken := [c for c in docs.columns if c.lower().startswith("bench_")]:
+        raise ValueError(f"columns that find_benchmark adds or uses: {taken}")
     spark = docs.sparkSession
     arrow_sized(spark)
-    more = f"bench_words int, bench_spans {_SPANS}, bench_items array<string>"
+    arrow = lambda fields: to_arrow_schema(spark.createDataFrame([], fields).schema)
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     ids = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
-    out = docs
+    if blocks == 1:
+        items = [(r["item"], r["text"]) for r in ids.toLocalIterator()]  # at most block_bytes
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", bench_words int, bench_spans {_SPANS}, bench_items array<string>"
+        return docs.mapInArrow(_scanner(items, docs.columns.index(text_col), arrow(fields)), fields)
+
+    keys = [F.xxhash64(text_col).alias("bench_key"), F.xxhash64(F.lit(1), F.col(text_col)).alias("bench_check")]
+    texts = docs.where(F.col(text_col).isNotNull()).select(*keys, F.col(text_col).alias("text"))
+    fields = f"bench_key long, bench_check long, bench_spans {_SPANS}, bench_items array<string>"
+    schema, found = arrow(fields), []
     for b in range(blocks):
-        block = ids.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else ids
-        items = [(r["item"], r["text"]) for r in block.toLocalIterator()]  # of about block_bytes
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", " + more
-        schema = to_arrow_schema(spark.createDataFrame([], fields).schema)
-        out = out.mapInArrow(_scanner(items, out.columns.index(text_col), schema), fields)
-        if blocks > 1:  # each block's columns beside the last one's, so that no exchange is needed
-            out = out.withColumnsRenamed({n: f"{n}_{b}" for n in ("bench_words", "bench_spans", "bench_items")})
-    if blocks > 1:
-        every = lambda n: F.flatten(F.array(*[F.col(f"{n}_{b}") for b in range(blocks)]))
-        out = out.select(*docs.columns, F.col("bench_words_0").alias("bench_words"), _merged(every("bench_spans")).alias("bench_spans"), F.array_sort(F.array_distinct(every("bench_items"))).alias("bench_items"))
-    return out
+        items = [(r["item"], r["text"]) for r in ids.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).toLocalIterator()]  # of about block_bytes
+        found.append(saved(texts.mapInArrow(_hits(items, schema), fields)))
+    every = lambda n: F.flatten(F.collect_set(n))
+    hits = reduce(DataFrame.union, found).groupBy("bench_key", "bench_check").agg(every("bench_spans").alias("bench_spans"), every("bench_items").alias("bench_items"))
+    words = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), NOT_WORD), lambda w: w != "")).alias("bench_words")
+    # Texts without words have no hits; a null key keeps them out of the join.
+    some = F.col("bench_words") > 0
+    rows = docs.select("*", *keys, words).withColumn("bench_key", F.when(some, F.col("bench_key")))
+    none = lambda n, kind: F.coalesce(n, F.array().cast(kind))
+    return rows.join(hits, ["bench_key", "bench_check"], "left").select(
+        *(F.col(f"`{c}`") for c in docs.columns),
+        "bench_words",
+        none(_merged(F.col("bench_spans")), _SPANS).alias("bench_spans"),
+        none(F.array_sort(F.array_distinct("bench_items")), "array<string>").alias("bench_items"),
+    )
 
 
 def _merged(spans):

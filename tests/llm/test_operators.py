@@ -121,6 +121,17 @@ def test_decontamination(spark, docs, empty):
                 assert WORD.findall(_lower(r["text"][s["char_from"] : s["char_to"]])) == w[s["word_from"] : s["word_to"]]
     assert decontaminate.find_benchmark(empty, bench).count() == 0
     assert decontaminate.find_benchmark(docs, bench.limit(0)).where("size(bench_items) > 0").count() == 0
+    with pytest.raises(ValueError, match="bench_Items"):
+        decontaminate.find_benchmark(docs.withColumn("bench_Items", docs.text), bench)
+
+
+def test_decontamination_in_blocks_equals_one_block(spark):
+    """Clashing column names, repeated and null rows, several items hit in one text."""
+    rows = [(i, None if i % 7 == 0 else f"w{i % 5} alpha beta gamma délta w{i % 3} é", i % 2, "x") for i in range(40)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, words string")
+    bench = spark.createDataFrame([(i, f"{w} {i % 3}") for i, w in enumerate(["alpha beta", "gamma délta w1", "w2 É", "é"])] + [(9, "beta gamma"), (10, "délta W2"), (11, "Alpha"), (None, "w4")], "item_id long, text string")
+    one, several = (Counter(map(str, decontaminate.find_benchmark(docs, bench, block_bytes=b).collect())) for b in (10**6, 15))
+    assert one == several and any("10" in r and "11" in r for r in one)
 
 
 _KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
