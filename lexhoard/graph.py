@@ -33,6 +33,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return out
 
 
+def joined_components(components: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The (node, component) table that further edges make of one that `connected_components` has given.
+
+    Only the edges between different components are looked at, as edges between the components' names, so that later rounds of
+    a search for links cost what they have found and not what was known. Ends that are in no component yet come in as nodes.
+    """
+    of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    between = ends.select(F.coalesce("u_in", "u").alias("src"), F.coalesce("v_in", "v").alias("dst"), F.col("u_in").isNull().alias("new"))
+    named = connected_components(between.where("src != dst or new").select("src", "dst"))
+    now = components.join(named.select(F.col("node").alias("component"), F.col("component").alias("name")), "component", "left")
+    new = named.join(components.select("node"), "node", "left_anti").select("node", "component")
+    out = saved(now.select("node", F.coalesce("name", "component").alias("component")).union(new))
+    discard(named)
+    return out
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. Every edge (u, v) has u >= v. Large: all larger neighbours of u point to u's smallest neighbour (or u).
     Small: u and its smaller neighbours point to the smallest of them."""

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
-from lexhoard.graph import connected_components
+from lexhoard.graph import connected_components, joined_components
 from lexhoard.operators import classify, dedup, people, report, select
 from lexhoard.plans import jobs
 from lexhoard.streaming.feeds import foreach_batch_upsert
@@ -126,6 +126,16 @@ def test_components_of_a_long_chain(spark):
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200}
 
 
+def test_joined_components_equal_components_of_all_edges(spark):
+    """Further edges within a component, between components, to new nodes, to themselves and with null ends."""
+    first = [(5, 4), (4, 9), (7, 8), (20, 21), (30, 31)]
+    more = [(9, 5), (8, 9), (21, 100), (101, 102), (50, 50), (None, 4), (60, None), (30, 30), (3, 31)]
+    table = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    joined = joined_components(connected_components(table(first)), table(more))
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, connected_components(table(first + more)).collect()))
+
+
+
 def test_search_and_scope(spark):
     df = spark.createDataFrame([("1", "Élan of cells", ["k1"]), ("2", "crops", ["RNA"])], "id string, title string, keywords array<string>")
     assert [r["id"] for r in select.filter_records(df.withColumn("excluded", F.lit(False)).withColumn("relevance_score", F.lit(1.0)), text="ELAN, cell", when=F.lit(None).cast("date")).collect()] == ["1"]
