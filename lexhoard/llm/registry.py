@@ -6,6 +6,7 @@ from lexhoard.llm.decontaminate import ORACLE_OP3, op3_decontamination
 from lexhoard.llm.jaccard import ORACLE_OP9, op9_jaccard
 from lexhoard.llm.language import op4_language
 from lexhoard.llm.licenses import op1_licenses
+from lexhoard.llm.mixing import ORACLE_OP12, op12_mixing
 from lexhoard.llm.packing import op7_packing
 from lexhoard.llm.pii import op5_pii
 from lexhoard.llm.quality import op10_quality
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
+        "op12_mixing": op12_mixing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9}
+    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9, "op12_mixing": ORACLE_OP12}
