@@ -67,3 +67,10 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch.slice(edges[-2]))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def crc32_sql(x: str) -> str:
+    """The SQL expression of crc32(UTF-8 of x), for oracles: bytes are folded one by one, each by eight shifts."""
+    byte = f"('0x' || substr(hex(encode({x})), (2 * i + 1)::INTEGER, 2))::BIGINT"
+    shifts = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))), lambda i: {byte})), lambda c, b: {shifts}), 4294967295)"

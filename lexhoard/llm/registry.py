@@ -13,6 +13,7 @@ from lexhoard.llm.quality import op10_quality
 from lexhoard.llm.sharding import op8_sharding
 from lexhoard.llm.suffixes import op6_suffixes
 from lexhoard.llm.toxicity import op2_toxicity
+from lexhoard.llm.trie import ORACLE_OP13, op13_trie
 
 
 def queries() -> dict:
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
         "op12_mixing": op12_mixing,
+        "op13_trie": op13_trie,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9, "op12_mixing": ORACLE_OP12}
+    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9, "op12_mixing": ORACLE_OP12, "op13_trie": ORACLE_OP13}
