@@ -14,6 +14,7 @@ from lexhoard.llm.sharding import op8_sharding
 from lexhoard.llm.suffixes import op6_suffixes
 from lexhoard.llm.toxicity import op2_toxicity
 from lexhoard.llm.trie import ORACLE_OP13, op13_trie
+from lexhoard.llm.variants import ORACLE_OP11, op11_variants
 
 
 def queries() -> dict:
@@ -28,10 +29,11 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
+        "op11_variants": op11_variants,
         "op12_mixing": op12_mixing,
         "op13_trie": op13_trie,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9, "op12_mixing": ORACLE_OP12, "op13_trie": ORACLE_OP13}
+    return {"op3_decontamination": ORACLE_OP3, "op9_jaccard": ORACLE_OP9, "op11_variants": ORACLE_OP11, "op12_mixing": ORACLE_OP12, "op13_trie": ORACLE_OP13}
