@@ -83,6 +83,54 @@ def apply_trial_updates(existing: DataFrame, incoming: DataFrame, key: str = "nc
     return out.withColumn("version", version.cast("int")).select(*incoming.drop("version").columns, "version", "changed_fields", "old_values", "new_values")
 
 
+#: A change of a record over time: values before and after as JSON by field.
+EVENT = "struct<changed_at:timestamp,source:string,fields:array<string>,old_values:map<string,string>,new_values:map<string,string>>"
+
+
+def _as_json(fields: dict[str, Column]) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.to_json(F.struct(c.alias("value"))) for c in fields.values()]))
+
+
+def with_events(stored: DataFrame | None, incoming: DataFrame, key: str = "id", tracked: list[str] | None = None, source: str = "clinicaltrials") -> DataFrame:
+    """incoming with `version` and `change_history` (array of EVENT), carried over from the stored row of the same key.
+
+    If any tracked field differs, the version goes up by one and an event is appended that names the fields, in their order, with old
+    and new values. Fields may lie in structs (`trial.phase`); by default those of TRACKED that a struct `trial` has. Provenance of the
+    stored row stays in front of the incoming row's. Rows without a stored one start at their own version, else at 1. Tables without
+    tracked fields get no columns.
+    """
+    trial = {f.name for f in incoming.schema["trial"].dataType.fields} if "trial" in incoming.columns else set()
+    tracked = [f"trial.{c}" for c in TRACKED if c in trial] if tracked is None else tracked
+    if not tracked:
+        return incoming
+    now = {f: F.col(f) for f in tracked}
+    version = F.col("version") if "version" in incoming.columns else F.lit(None).cast("int")
+    history = F.col("change_history").cast(f"array<{EVENT}>") if "change_history" in incoming.columns else F.array().cast(f"array<{EVENT}>")
+    rest = [c for c in incoming.columns if c not in ("version", "change_history", "provenance")]
+    provenance = ["provenance"] if "provenance" in incoming.columns else []
+    if stored is None:
+        return incoming.select(*rest, *provenance, F.coalesce(version, F.lit(1)).cast("int").alias("version"), F.coalesce(history, F.array().cast(f"array<{EVENT}>")).alias("change_history"))
+    kept = [c for c in ("version", "change_history", "provenance") if c in stored.columns]
+    old = stored.select(F.col(key).alias("_key"), F.struct(*[F.col(f).alias(f.replace(".", "_")) for f in tracked], *[F.col(c).alias(f"_{c}") for c in kept]).alias("_old"))
+    joined = incoming.join(old, F.col(key) == F.col("_key"), "left")
+    before = {f: F.col("_old")[f.replace(".", "_")] for f in tracked}
+    known = F.col("_key").isNotNull()
+    fields = F.filter(F.array(*[F.when(known & ~now[f].eqNullSafe(before[f]), F.lit(f)) for f in tracked]), lambda x: x.isNotNull())
+    joined = joined.withColumn("_fields", fields)
+    only = lambda m: F.map_filter(m, lambda k, v: F.array_contains("_fields", k))
+    at = F.col("retrieved_at").cast("timestamp") if "retrieved_at" in incoming.columns else F.lit(None).cast("timestamp")
+    event = F.struct(at.alias("changed_at"), F.lit(source).alias("source"), F.col("_fields").alias("fields"), only(_as_json(before)).alias("old_values"), only(_as_json(now)).alias("new_values"))
+    none = F.array().cast(f"array<{EVENT}>")
+    held = F.coalesce(F.col("_old")["_change_history"], none) if "change_history" in kept else none
+    differs = F.size("_fields") > 0
+    of_old = F.coalesce(F.col("_old")["_version"], F.lit(1)) if "version" in kept else F.lit(1)
+    columns = [F.when(known, of_old + differs.cast("int")).otherwise(F.coalesce(version, F.lit(1))).cast("int").alias("version"), F.when(known, F.concat(held, F.when(differs, F.array(event)).otherwise(none))).otherwise(F.coalesce(history, none)).alias("change_history")]
+    if provenance:
+        mine = F.coalesce(F.col("provenance"), F.array().cast(incoming.schema["provenance"].dataType))
+        columns.append((F.coalesce(F.concat(F.col("_old")["_provenance"], mine), mine) if "provenance" in kept else mine).alias("provenance"))
+    return joined.select(*rest, *columns)
+
+
 def enrichment_input_hash(fields: list[str], model: str, prompt_version: str) -> Column:
     record = F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
     return F.sha2(F.concat_ws("\u001f", F.lit(model), F.lit(prompt_version), record), 256)

@@ -2,46 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexhoard.functions import ids
 from lexhoard.operators import classify, dedup, history, people, report, select
+from lexhoard.operators.merge import merge_records
+from lexhoard.plans.store import HashedTable, union_of
 from lexhoard.session import saved
 
-
 #: Fields that works fill in where a record has none.
-FILLED = ["publisher", "journal", "issn", "license", "abstract", "publication_date", "url"]
+FILLED = ["publisher", "journal", "issn", "license", "abstract", "publication_date", "url", "journal_or_source", "authors", "published_date", "funders", "license_url", "relations"]
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """members: every source row that went into a record, one per id: its columns, `cluster`, and `version`, the hash of the row as
+    it came in. records: one row per cluster, merged and labelled."""
+
+    members: DataFrame
+    records: DataFrame
+
+
+@dataclass(frozen=True)
+class Step:
+    """What a batch changes: the rows that changed, all members of the clusters they touch, those clusters' records and the
+    decisions behind them, and the names of clusters that are no more."""
+
+    changed: DataFrame
+    members: DataFrame
+    records: DataFrame
+    decisions: DataFrame
+    gone: DataFrame
+
+
+@dataclass(frozen=True)
+class Update:
+    """corpus for the next run; records, those of it scored; decisions of this run's merges; a report of one row."""
+
+    corpus: Corpus
+    records: DataFrame
+    decisions: DataFrame
+    report: DataFrame
+
+
+def identifiers(df: DataFrame) -> dict[str, Column]:
+    """By kind, the identifiers of which equal ones are duplicates, of the columns that df has."""
+    found = {}
+    if "doi" in df.columns:
+        found["DOI"] = dedup.normalize_doi(F.col("doi"))
+    if "pmid" in df.columns:
+        found["PMID"] = F.trim("pmid")
+    if "nct_id" in df.columns:
+        found["trial number"] = F.upper(F.trim("nct_id"))
+    return found
+
+
+def _source_ids(df: DataFrame) -> Column:
+    entries = F.map_entries("source_ids") if "source_ids" in df.columns else F.lit(None)
+    return F.transform(entries, lambda e: F.concat(F.lit("source "), e["key"], F.lit(":"), e["value"])) if "source_ids" in df.columns else F.array().cast("array<string>")
 
 
-def update(existing: DataFrame | None, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, as_of: str, days: int, when=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, merge decisions, report). Attributes people, fills metadata, keeps changed rows, merges duplicates by DOI,
-    classifies, scores and prunes.
+def _published(df: DataFrame) -> Column:
+    return dedup.normalize_doi(F.col("preprint")["published_doi"]) if "preprint" in df.columns else F.lit(None).cast("string")
 
-    incoming: id, doi, source_types, authors, excluded, updated_date and any other columns, all of which stay: string arrays of
-    merged records are united, of other fields the best member's value counts. existing is None or what an earlier run returned.
-    Its `seen` names the versions of incoming rows that went into a record, so rows that a record holds already, merged or not, are
-    not changed; rows that were pruned come again.
+
+def link_keys(df: DataFrame) -> Column:
+    """Every text that two records must have in common to be linked by `exact_links`, so that what a new row can touch is found by
+    them. A preprint's published DOI is a key like a record's own."""
+    named = [F.concat(F.lit(f"{kind}:"), value) for kind, value in identifiers(df).items()]
+    of_preprint = F.concat(F.lit("DOI:"), _published(df))
+    return ids.array_union_ordered(F.array(*named, of_preprint), _source_ids(df))
+
+
+def exact_links(df: DataFrame) -> DataFrame:
+    """Edges by equal identifiers, equal source ids, and from preprints to the record of the DOI they name."""
+    edges = dedup.exact_edges(df, identifiers(df))
+    if "source_ids" in df.columns:
+        keys = df.select("id", F.explode(_source_ids(df)).alias("key"))
+        edges = edges.unionByName(dedup._stars(keys, "same source id", 1.0))
+    if "preprint" in df.columns and "doi" in df.columns:
+        edges = edges.unionByName(dedup.preprint_edges(df, F.col("preprint")["published_doi"], F.col("doi")))
+    return edges
+
+
+def step(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, links: Callable[[DataFrame], DataFrame] = exact_links) -> Step:
+    """Attributes people, fills metadata, keeps changed rows, and merges again the clusters they touch from all their members.
+
+    incoming: id, source_types, authors, excluded and any other columns, all of which stay; the newest row of an id counts (by
+    retrieved_at, if there is one). A row is changed if no member has its id and version. A cluster is touched if a changed row is or
+    was a member of it, or shares a key with one of its members; no other cluster can gain or lose a link, so none is read beyond
+    its keys. A changed row that was a member before tells its changes of tracked fields as events.
     """
     attributed = people.with_watched_people(incoming, roster)
     filled = history.fill_missing(attributed, works, [c for c in FILLED if c in incoming.columns and c in works.columns]).drop("filled_fields")
-    version = F.concat_ws(" ", "id", ids.content_fingerprint(filled))
-    stamped = filled.withColumn("seen", F.array(version))
-    kinds = dict(stamped.dtypes)
+    stamped = filled.withColumn("version_hash", ids.content_fingerprint(filled))
+    newest = Window.partitionBy("id").orderBy(*([F.col("retrieved_at").desc_nulls_last()] if "retrieved_at" in incoming.columns else []), F.col("version_hash"))
+    stamped = stamped.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
     if existing is None:
-        changed = everything = saved(stamped)
+        changed = saved(history.with_events(None, stamped))
+        pool, touched = changed, None
     else:
-        known = existing.select(F.explode("seen").alias("version"))
-        changed = saved(stamped.join(known, stamped["seen"][0] == known["version"], "left_anti"))
-        everything = existing.select(stamped.columns).join(changed.select("id"), "id", "left_anti").unionByName(changed)
-    edges = dedup.exact_edges(everything, {"DOI": dedup.normalize_doi(everything["doi"])})
-    united = [c for c in stamped.columns if kinds[c] == "array<string>" and c != "source_types"]
-    scalars = [c for c in stamped.columns if c not in {*united, "id", "source_types", "excluded", "updated_date"}]
-    merged, decisions = dedup.deduplicate(everything, edges, scalars, united, last=["updated_date"])
-    scored = classify.score(classify.classify(merged.drop("cluster", "n_members"), rules), as_of, when)
-    kept = saved(select.retain_recent(scored, as_of, days, when))
-    counts = incoming.sparkSession.createDataFrame([("incoming", incoming.count(), filled.count())], "source string, raw_count long, normalized_count long")
-    return kept, decisions, report.update_report(kept, changed, scored.join(kept.select("id"), "id", "left_anti"), counts)
+        known = existing.members.select(F.col("id").alias("_id"), F.col("version_hash").alias("_version"))
+        fresh = stamped.join(known, (F.col("id") == F.col("_id")) & (F.col("version_hash") == F.col("_version")), "left_anti")
+        changed = saved(history.with_events(existing.members, fresh))
+        members = existing.members
+        mine = members.join(changed.select("id"), "id", "left_semi").select("cluster")
+        keys = changed.select(F.explode(link_keys(changed)).alias("key")).distinct()
+        near = members.select("cluster", F.explode(link_keys(members)).alias("key")).join(keys, "key", "left_semi").select("cluster")
+        touched = saved(mine.union(near).distinct())
+        beside = members.join(touched, "cluster", "left_semi").join(changed.select("id"), "id", "left_anti").drop("cluster")
+        pool = saved(union_of(beside, changed))
+    edges = saved(links(pool))
+    clusters = dedup.cluster(edges)
+    joined = pool.join(clusters, "id", "left")
+    grouped = saved(joined.withColumn("alone", F.col("cluster").isNull()).withColumn("cluster", F.coalesce("cluster", "id")))
+    body = [c for c in grouped.columns if c not in ("alone", "version_hash")]
+    reasons = edges.select(F.col("left_id").alias("id"), "reason").join(clusters, "id").select("cluster", "reason").distinct()
+    merged = merge_records(grouped.where("not alone").select(body), reasons)
+    single = grouped.where("alone").select(*body, F.lit(1).alias("n_members"))
+    records = saved(classify.classify(union_of(merged, single), rules))
+    gone = touched.join(records.select("cluster"), "cluster", "left_anti") if touched is not None else changed.select(F.col("id").alias("cluster")).limit(0)
+    return Step(changed, grouped.drop("alone"), records, dedup.merge_decisions(clusters, edges), gone)
+
+
+def update(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, as_of: str, days: int, when=None, links: Callable[[DataFrame], DataFrame] = exact_links) -> Update:
+    """One run of the update over whole tables: see `step`. Untouched records stay as they are; all are scored as of the day, and those
+    whose date leaves the window of `days` go with their members, so that they count as changed when they come again.
+
+    existing is None or the corpus of an earlier run. A row that comes again as it was changes nothing, merged or not. If a member of
+    a merged record changes, comes alone or links elsewhere, the others' values stay, as the record is merged from them again.
+    """
+    now = step(existing, incoming, roster, works, rules, links)
+    members, records = now.members, now.records
+    if existing is not None:
+        old = now.gone.unionByName(now.records.select("cluster"))
+        moved = now.members.select("id")
+        members = union_of(existing.members.join(moved, "id", "left_anti"), now.members)
+        records = union_of(existing.records.join(old, "cluster", "left_anti"), now.records)
+    scored = saved(classify.score(records, as_of, when))
+    kept = select.retain_recent(scored, as_of, days, when)
+    pruned = scored.join(kept.select("cluster"), "cluster", "left_anti")
+    corpus = Corpus(saved(members.join(pruned.select("cluster"), "cluster", "left_anti")), kept)
+    n = incoming.count()
+    counts = incoming.sparkSession.createDataFrame([("incoming", n, n)], "source string, raw_count long, normalized_count long")
+    return Update(corpus, kept, now.decisions, report.update_report(kept, now.changed, pruned, counts))
+
+
+def foreach_batch_update(members: HashedTable, records: HashedTable, roster: DataFrame, works: DataFrame, rules: list, links: Callable[[DataFrame], DataFrame] = exact_links) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function of the update: `step` against the two stored tables, of which only the folders of touched members and
+    clusters are written. `members` is keyed by id, `records` by cluster. A batch that runs again changes nothing. Records are
+    scored and pruned when they are read, as both depend on the day."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if members.done(spark, number):
+            return
+        stored = members.read(spark)
+        now = step(None if stored is None else Corpus(stored, records.read(spark)), batch, roster, works, rules, links)
+        # Records follow from members alone, so they go first: a batch that fails in between makes the same ones when it runs again.
+        records.apply(now.records, number, removed=now.gone)
+        members.apply(now.members, number)
+
+    return run
 
 
 def export(records: DataFrame, path: str, facet_columns: list[str], text_col: str = "abstract", when=None) -> None:

@@ -16,7 +16,7 @@ from lexhoard.operators import classify, dedup, history, people, report, select
 from lexhoard.plans import jobs, streams
 from lexhoard.session import table
 
-AS_OF = "2024-02-15"
+AS_OF, LATER = "2024-02-15", "2024-03-15"
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -473,13 +473,46 @@ def advance_state(spark, sf):
     return history.advance_state(state, results).select("source", F.date_format("last_successful_until", "yyyy-MM-dd").alias("last"), F.col("raw_count").alias("n"))
 
 
-@query(f"""WITH {R}, a AS (SELECT doc_id // 2 AS g, *, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY id DESC) AS n FROM r)
-SELECT max(id) AS id, count(*) AS n_rows, max(title) FILTER (n = 1) AS title, bool_and(excluded) AS excluded, max(day) AS day FROM a GROUP BY g HAVING max(day) BETWEEN '2024-02-09' AND '{AS_OF}'""")
-def update_job(spark, sf):
-    incoming = records(spark, sf).withColumn("doi", F.concat(F.lit("https://doi.org/10.1/"), F.floor(F.col("doc_id") / 2).cast("string"))).withColumn("authors", F.array(F.struct(F.col("source").alias("name"), F.lit(None).cast("string").alias("orcid"), F.array("lang").alias("affiliations"))))
+def _incoming(spark, sf):
+    """Records in twos of one DOI, with what the update job reads."""
+    none = F.lit(None).cast("string")
+    author = F.struct(F.col("source").alias("name"), none.alias("orcid"), F.array("lang").alias("affiliations"))
+    made = records(spark, sf).withColumn("doi", F.concat(F.lit("https://doi.org/10.1/"), F.floor(F.col("doc_id") / 2).cast("string"))).withColumn("authors", F.array(author))
+    return made.withColumn("keywords", F.array(F.concat(F.lit("k"), "id"), "lang")).drop("relevance_score", "doc_id")
+
+
+def _updated(spark, existing, incoming, sf, days, as_of=AS_OF):
     works = table(spark, sf, "nation").select(F.lit("10.9/none").alias("doi"))
-    kept, _, _ = jobs.update(None, incoming.drop("relevance_score", "doc_id"), _roster(spark, sf), works, RULES, AS_OF, 7, updated())
-    return kept.select("id", F.size("seen").cast("long").alias("n_rows"), "title", "excluded", F.col("updated_date").cast("string").alias("day"))
+    return jobs.update(existing, incoming, _roster(spark, sf), works, RULES, as_of, days, updated())
+
+
+def _told(kept):
+    return kept.select("cluster", "id", F.col("n_members").cast("long").alias("n_rows"), "title", F.sha2("abstract", 256).alias("abstract_sha"), F.array_join("source_types", ",").alias("sources"), F.array_join("keywords", ",").alias("keywords"), "excluded", F.col("updated_date").cast("string").alias("day"))
+
+
+def _merged_sql(rows: str, having: str) -> str:
+    """Records of `rows` (id, doi, title, abstract, source, lang, excluded, day), merged by DOI."""
+    union = lambda values: f"(SELECT string_agg(v, ',' ORDER BY id, pos) FROM (SELECT DISTINCT ON (v) v, id, pos FROM (SELECT id, unnest({values}) AS v, generate_subscripts({values}, 1) AS pos FROM {rows} m WHERE m.doi = g.doi) ORDER BY v, id, pos))"
+    return f"""SELECT min(id) AS cluster, CASE WHEN count(*) > 1 THEN 'doi:' || g.doi ELSE min(id) END AS id, count(*) AS n_rows, arg_max(title, id) FILTER (title <> '') AS title,
+sha256(arg_max(abstract, id) FILTER (abstract <> '')) AS abstract_sha, {union("[source]")} AS sources, {union("['k' || id, lang]")} AS keywords, bool_and(excluded) AS excluded, max(day) AS day FROM {rows} g GROUP BY g.doi {having}"""
+
+
+@query(f"WITH {R}, b AS (SELECT *, '10.1/' || doc_id // 2 AS doi FROM r) {_merged_sql('b', f"HAVING max(day) BETWEEN '2024-02-09' AND '{AS_OF}'")}")
+def update_job(spark, sf):
+    return _told(_updated(spark, None, _incoming(spark, sf), sf, 7).records)
+
+
+@query(f"""WITH {R}, b AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN 'new ' || title ELSE title END AS title, CASE WHEN doc_id % 10 = 6 THEN 'more ' || abstract ELSE abstract END AS abstract),
+'10.1/' || CASE WHEN doc_id % 10 = 5 THEN (doc_id + 2) // 2 ELSE doc_id // 2 END AS doi FROM r) {_merged_sql('b', '')}""")
+def update_job_second_run(spark, sf):
+    """After a first run some rows come alone with another title, text or DOI; a third run brings all of them again, unchanged."""
+    first = _incoming(spark, sf)
+    n = F.col("id").cast("long")
+    second = first.where(n % 10 != 1).withColumn("title", F.when(n % 10 == 3, F.concat(F.lit("new "), "title")).otherwise(F.col("title"))).withColumn("abstract", F.when(n % 10 == 6, F.concat(F.lit("more "), "abstract")).otherwise(F.col("abstract")))
+    second = second.withColumn("doi", F.when(n % 10 == 5, F.concat(F.lit("10.1/"), F.floor((n + 2) / 2).cast("string"))).otherwise(F.col("doi"))).where((n % 10).isin(2, 3, 5, 6))
+    corpus = _updated(spark, None, first, sf, 90, LATER).corpus
+    corpus = _updated(spark, corpus, second, sf, 90, LATER).corpus
+    return _told(_updated(spark, corpus, second, sf, 90, LATER).records)
 
 
 # --- classification, scores, reports ----------------------------------------------------------------------------------------

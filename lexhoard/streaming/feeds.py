@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lexhoard.functions.ids import content_fingerprint
-from lexhoard.operators.history import changed_records
+from lexhoard.plans.store import HashedTable
 
 #: Rows of a key that are sorted in memory, rows of a spilled block, and changes given out at once.
 RUN_ROWS, BLOCK_ROWS, OUT_ROWS = 200_000, 1_000, 10_000
@@ -30,18 +30,13 @@ def stream_changed(stream: DataFrame, id_col: str, ts: str, delay: str = "7 days
     return out.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col, "fingerprint"])
 
 
-def foreach_batch_upsert(read: Callable[[SparkSession], DataFrame | None], write: Callable[[DataFrame, int], None], key: str = "id", order: str = "retrieved_at") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the newest row of each key in the batch replaces the stored one if it differs. `write` gets the
-    whole new table and the batch's number, and must be atomic per number; a batch that runs again changes nothing."""
+def foreach_batch_upsert(table: HashedTable, order: str | None = "retrieved_at") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the newest row of each key in the batch replaces the stored one if that is older and differs. Only
+    folders with changes are written; a batch that runs again changes nothing. For records that are merged, see
+    `lexhoard.plans.jobs.foreach_batch_update`."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, F.to_json(F.struct(*batch.columns)))).alias("r")).select("r.*")
-        stored = read(batch.sparkSession)
-        if stored is None:
-            write(newest, number)
-            return
-        changed = changed_records(stored, newest, key)
-        write(stored.join(changed.select(key), key, "left_anti").select(stored.columns).unionByName(changed.select(stored.columns)), number)
+        table.apply(batch, number, order=order)
 
     return upsert
 

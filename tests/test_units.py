@@ -8,7 +8,6 @@ from lexhoard.functions import dates, ids, text
 from lexhoard.graph import connected_components, joined_components
 from lexhoard.operators import classify, dedup, people, report, select
 from lexhoard.plans import jobs
-from lexhoard.streaming.feeds import foreach_batch_upsert
 
 
 def one(spark, column, **values):
@@ -160,19 +159,19 @@ def test_update_takes_its_own_output(spark):
     works = spark.createDataFrame([("10.1/3", "Press")], "doi string, publisher string")
     rules = [classify.Rule("topics", "d", [r"\bdrug\b"])]
     run = lambda existing, days=50, what=incoming: jobs.update(existing, what, roster, works, rules, "2024-02-09", days, F.col("updated_date"))
-    kept, decisions, told = run(None)
-    assert told.first()["changed"] == 10 and told.first()["total"] == 9 and decisions.count() == 1
-    out = {r["id"]: r for r in kept.collect()}
+    first = run(None)
+    assert first.report.first()["changed"] == 10 and first.report.first()["total"] == 9 and first.decisions.count() == 1
+    out = {r["id"]: r for r in first.records.collect()}
     assert out["3"]["publisher"] == "Press" and out["5"]["authors"][0]["name"] == "Ada Doe" and len(out["5"]["watched_people"]) == 1
-    both = out.get("77") or out["6"]
-    assert sorted(both["keywords"]) == ["k6", "x"] and both["publisher"] == "P" and len(both["seen"]) == 2
-    again, _, told = run(kept)
-    assert told.first()["changed"] == 0 and set(again.columns) == set(kept.columns)
-    assert {r["id"]: r for r in again.select(sorted(kept.columns)).collect()} == {r["id"]: r for r in kept.select(sorted(kept.columns)).collect()}
+    both = out["doi:10.1/6"]
+    assert both["keywords"] == ["k6", "x"] and both["publisher"] == "P" and both["n_members"] == 2 and both["cluster"] == "6"
+    again = run(first.corpus)
+    assert again.report.first()["changed"] == 0 and set(again.records.columns) == set(first.records.columns)
+    assert {r["id"]: r for r in again.records.select(sorted(first.records.columns)).collect()} == {r["id"]: r for r in first.records.select(sorted(first.records.columns)).collect()}
     new = incoming.withColumn("abstract", F.when(F.col("id") == "4", "other").otherwise(F.col("abstract")))
-    assert run(kept, what=new)[2].first()["changed"] == 1
-    kept, _, told = run(None, days=5)
-    assert told.first()["removed"] == 4 and {"4", "5", "7", "8"} <= {r["id"] for r in kept.collect()}
+    assert run(first.corpus, what=new).report.first()["changed"] == 1
+    short = run(None, days=5)
+    assert short.report.first()["removed"] == 4 and {r["id"] for r in short.records.collect()} == {"4", "5", "7", "8", "doi:10.1/6"}
 
 
 def test_people_by_name_parts_and_record_affiliations(spark):
@@ -209,15 +208,6 @@ def test_export(spark, tmp_path):
         assert read("a") == read("b") != []
 
 
-def test_upsert_is_idempotent(spark):
-    stored = {}
-    upsert = foreach_batch_upsert(lambda s: stored.get("t"), lambda df, n: stored.__setitem__("t", spark.createDataFrame(df.collect(), df.schema)))
-    batch = spark.createDataFrame([("a", 1, "2024-01-01"), ("a", 2, "2024-01-02"), ("b", 1, "2024-01-01")], "id string, v int, retrieved_at string")
-    for n, b in enumerate([batch, batch, batch.where("id = 'b'").withColumn("v", F.lit(5))]):
-        upsert(b, n)
-    assert sorted((r["id"], r["v"]) for r in stored["t"].collect()) == [("a", 2), ("b", 5)]
-
-
 def test_validate(spark):
     df = spark.createDataFrame([("1", "publication", ["mRNA", "x"]), ("", "odd", []), ("1", "news", [])], "id string, record_type string, modalities array<string>")
     out = sorted((r["id"], r["field"], r["bad_values"]) for r in report.validate_records(df, unique=["id"]).collect())
