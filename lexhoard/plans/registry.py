@@ -396,6 +396,35 @@ def preprint_edges(spark, sf):
     return dedup.preprint_edges(records(spark, sf), F.when(n % 2 == 1, doi(n - 1)), F.when(n % 2 == 0, doi(n))).select("left_id", "right_id")
 
 
+@query("""WITH j AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id // 7 AS d FROM documents WHERE doc_id % 7 IN (0, 3, 5)), p AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id // 7 AS d FROM documents WHERE doc_id % 7 IN (1, 3, 4)),
+h AS (SELECT d, min(j.id) AS first, (SELECT min(p.id) FROM p WHERE p.d = j.d) AS preprint FROM j GROUP BY d HAVING (SELECT min(p.id) FROM p WHERE p.d = j.d) IS NOT NULL)
+SELECT DISTINCT * FROM (SELECT first AS left_id, p.id AS right_id FROM p JOIN h USING (d) UNION ALL SELECT j.id, preprint FROM j JOIN h USING (d) WHERE j.id <> first) WHERE left_id <> right_id""")
+def preprint_stars(spark, sf):
+    """Several journal records and preprints of one DOI, one of them both."""
+    n, kind = F.col("doc_id"), F.col("doc_id") % 7
+    doi = F.concat(F.lit("doi: 10.1000/"), F.floor(n / 7).cast("string"))
+    return dedup.preprint_edges(records(spark, sf), F.when(kind.isin(1, 3, 4), doi), F.when(kind.isin(0, 3, 5), doi)).select("left_id", "right_id")
+
+
+def _chained(spark, sf):
+    """Edges between documents three and five apart, in blocks of forty."""
+    n = F.col("doc_id")
+    other = F.explode(F.filter(F.array(n + 3, n + 5), lambda m: F.floor(m / 40) == F.floor(n / 40)))
+    name = lambda c: F.lpad(c.cast("string"), 12, "0")
+    made = table(spark, sf, "documents").select(name(n).alias("left_id"), other.alias("m")).select("left_id", name(F.col("m")).alias("right_id"))
+    known = table(spark, sf, "documents").select(name(n).alias("right_id"))
+    return made.join(known, "right_id", "left_semi")
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id AS n FROM documents), k AS (SELECT b * 40 AS n, 0 AS i, b, [true] AS kept FROM (SELECT DISTINCT n // 40 AS b FROM d)
+UNION ALL SELECT b * 40 + i + 1, i + 1, b, list_append(kept, NOT (coalesce(i >= 2 AND kept[i - 1], false) OR coalesce(i >= 4 AND kept[i - 3], false))) FROM k WHERE i < 39),
+f AS (SELECT b, kept FROM k WHERE i = 39), s AS (SELECT n, n % 40 AS i, kept FROM d JOIN f ON f.b = n // 40)
+SELECT lpad(CAST(n AS VARCHAR), 12, '0') AS id, lpad(CAST(CASE WHEN kept[i + 1] THEN n WHEN i >= 5 AND kept[i - 4] THEN n - 5 ELSE n - 3 END AS VARCHAR), 12, '0') AS cluster FROM s
+WHERE (i >= 3 AND n - 3 IN (SELECT n FROM d)) OR (i >= 5 AND n - 5 IN (SELECT n FROM d)) OR (i + 3 < 40 AND n + 3 IN (SELECT n FROM d)) OR (i + 5 < 40 AND n + 5 IN (SELECT n FROM d))""")
+def cluster_greedy(spark, sf):
+    return dedup.cluster_greedy(_chained(spark, sf))
+
+
 @query(f"{_COMPONENTS} SELECT a AS id, min(b) AS cluster FROM c GROUP BY 1")
 def cluster(spark, sf):
     df = records(spark, sf)
