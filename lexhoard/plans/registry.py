@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
 from lexhoard.operators import classify, dedup, history, people, report, select
-from lexhoard.plans import jobs, streams
+from lexhoard.plans import jobs, landed, streams
 from lexhoard.session import table
 
 AS_OF, LATER = "2024-02-15", "2024-03-15"
@@ -619,8 +619,8 @@ def validate_records(spark, sf):
     return out.select("id", "field", F.array_join("bad_values", ",").alias("bad"))
 
 
-_QUERIES |= streams.QUERIES
-_SQL |= streams.SQL
+_QUERIES |= streams.QUERIES | landed.QUERIES
+_SQL |= streams.SQL | landed.SQL
 
 
 def queries() -> dict:

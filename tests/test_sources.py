@@ -26,7 +26,7 @@ def test_articles(spark, tmp_path):
     assert (r["id"], r["title"], r["abstract"]) == ("doi:10.1000/abc", "Delivery of small things & more", "AIM: We test it.\nEND: Done.")
     assert [a["name"] for a in r["authors"]] == ["Ada Doe", "The Group"] and r["institutions"] == ["Uni One"]
     assert r["published_date"] == dt.date(2024, 2, 1) and r["electronic_published_date"] == dt.date(2024, 1, 15) and r["first_date"] == dt.date(2023, 12, 30)
-    assert r["date_precision"] == {"published_date": "month", "electronic_published_date": "day"}
+    assert r["date_precision"] == {"published_date": "month", "electronic_published_date": "day", "first_date": "day"}
     assert rows["78"]["id"] == "pmid:78" and rows["78"]["authors"] == [] and rows["78"]["abstract"] is None
 
 
@@ -60,7 +60,7 @@ def test_works(spark):
     work = """{"message":{"DOI":"10.5/W","title":["A <i>b</i>"],"publisher":"P","published-online":{"date-parts":[[2024,5]]},"author":[{"given":"A","family":"B","ORCID":"http://orcid.org/0-1","affiliation":[{"name":"U"}]},{"name":"Team"}],
     "funder":[{"name":"F"}],"relation":{"is-preprint-of":[{"id":"10.6/q"}],"none":[]},"license":[{"URL":"http://l"}],"URL":"http://u"}}"""
     r = N.normalize_crossref(_json(spark, work, N.WORK_SCHEMA)).first()
-    assert (r["id"], r["title"], r["published_date"], r["date_precision"]) == ("doi:10.5/w", "A b", dt.date(2024, 5, 1), {"published_date": "month"})
+    assert (r["id"], r["title"], r["published_date"], r["date_precision"]) == ("doi:10.5/w", "A b", dt.date(2024, 5, 1), {"published_date": "month", "first_date": "month"})
     assert [a["name"] for a in r["authors"]] == ["A B", "Team"] and r["authors"][0]["orcid"] == "0-1" and r["relations"] == {"is-preprint-of": ["10.6/q"]} and r["license_url"] == "http://l"
 
 
