@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from lexhoard.functions.text import empty_to_null, normalize_doi, normalize_title
 
@@ -29,15 +30,30 @@ def canonical_id(doi: Column, pmid: Column, nct_id: Column, source: Column, sour
     )
 
 
-def _hashable(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    return F.array_sort(F.map_entries(F.col(name))).alias(name) if kind == "map" else F.col(name)
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or (isinstance(kind, ArrayType) and _holds_map(kind.elementType))
+
+
+def canonical_form(c: Column, kind: DataType) -> Column:
+    """The value with all maps in it, at any depth, as arrays of entries sorted by key, and the fields of structs in name order, so that equal contents have one form."""
+    if not _holds_map(kind) and not isinstance(kind, StructType | ArrayType):
+        return c
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: canonical_form(x, kind.elementType))
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[canonical_form(c[f.name], f.dataType).alias(f.name) for f in fields]))
+    entry = lambda e: F.struct(canonical_form(e["key"], kind.keyType).alias("key"), canonical_form(e["value"], kind.valueType).alias("value"))
+    return F.array_sort(F.transform(F.map_entries(c), entry))
 
 
 def content_fingerprint(df: DataFrame, excludes: list[str] = FINGERPRINT_EXCLUDES) -> Column:
-    """SHA-256 over all other fields in name order, nulls included; map entries sorted, so neither column nor key order counts."""
-    names = sorted(c for c in df.columns if c not in excludes)
-    return F.sha2(F.to_json(F.struct(*[_hashable(df, c) for c in names]), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 over all other fields in name order, nulls included. Neither the order of columns nor that of the fields of structs
+    or of the entries of maps, in whatever they lie, counts."""
+    fields = sorted((f for f in df.schema.fields if f.name not in excludes), key=lambda f: f.name)
+    return F.sha2(F.to_json(F.struct(*[canonical_form(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"}), 256)
 
 
 def raw_sha256(c: Column) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+#: Fixed value: what a DOI looks like within a text.
 DOI_PATTERN = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
 #: Entities that are replaced natively, the ampersand last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -52,8 +54,19 @@ def search_normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(nfkd_strip(c)), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Where an entity is left that isn't among ENTITIES, such as a numeric reference.
+ENTITY_LEFT = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+
+
+@F.pandas_udf(StringType())
+def all_entities(s: pd.Series) -> pd.Series:
+    """Every named entity and numeric reference decoded, as HTML has them."""
+    return s.map(html.unescape, na_action="ignore")
+
+
 def html_to_text(c: Column, max_len: int | None = 1200) -> Column:
-    """Script and style dropped, tags stripped, common entities decoded, white space collapsed; cut at max_len with an ellipsis."""
+    """Script and style dropped, tags stripped, common entities decoded, white space collapsed; cut at max_len with an ellipsis.
+    See `html_to_text_whole` for all entities."""
     text = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", " ")
     for entity, char in ENTITIES:
@@ -64,6 +77,18 @@ def html_to_text(c: Column, max_len: int | None = 1200) -> Column:
     return F.when(F.length(text) > max_len, F.concat(F.rtrim(F.substring(text, 1, max_len - 1)), F.lit("…"))).otherwise(text)
 
 
+def html_to_text_whole(df: DataFrame, column: str, max_len: int | None = 1200) -> DataFrame:
+    """df with the column as `html_to_text` has it, but with every named entity and numeric reference decoded, each once. Only rows
+    that hold such a one go through Python; the others stay in the JVM. Rows may come in another order."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(column), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
+    rare = F.coalesce(F.regexp_replace(bare, "|".join(e for e, _ in ENTITIES if e != "&amp;"), "").rlike(ENTITY_LEFT), F.lit(False))
+    plain = lambda text: F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    cut = lambda text: text if max_len is None else F.when(F.length(text) > max_len, F.concat(F.rtrim(F.substring(text, 1, max_len - 1)), F.lit("…"))).otherwise(text)
+    left = df.where(~rare).withColumn(column, html_to_text(F.col(column), max_len))
+    right = df.where(rare).withColumn(column, all_entities(bare)).withColumn(column, cut(plain(F.col(column))))
+    return left.unionByName(right)
+
+
 def extract_doi(*cols: Column) -> Column:
     """From the first column that has one."""
     return normalize_doi(F.coalesce(*[empty_to_null(F.regexp_extract(c, DOI_PATTERN, 0)) for c in cols]))
@@ -73,10 +98,18 @@ def normalize_orcid(c: Column) -> Column:
     return empty_to_null(F.upper(F.regexp_replace(F.trim(c), r"^(?i:https?://orcid\.org/)", "")))
 
 
+def folded(c: Column) -> Column:
+    """Case folded for comparison within the JVM: upper and then lower case, which takes in the letters that lower case alone keeps
+    apart (ß and ss, final sigma, ligatures). Full-width and other compatibility forms of ASCII are made plain first."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    return F.lower(F.upper(F.translate(c, wide, "".join(chr(0x21 + i) for i in range(94)))))
+
+
 def author_parts(author: Column) -> Column:
-    """struct(family, given, orcid) of an author struct: missing names from the ends of the full name, word characters only."""
+    """struct(family, given, orcid) of an author struct: missing names from the ends of the full name, word characters only, case
+    folded."""
     words = F.split(F.trim(author["name"]), r"\s+")
-    plain = lambda c: F.regexp_replace(F.lower(c), r"(?U)\W", "")
+    plain = lambda c: F.regexp_replace(folded(c), r"(?U)\W", "")
     family = plain(F.coalesce(empty_to_null(author["family_name"]), F.try_element_at(words, F.lit(-1)), F.lit("")))
     given = plain(F.coalesce(empty_to_null(author["given_name"]), F.when(F.size(words) > 1, F.try_element_at(words, F.lit(1))), F.lit("")))
     orcid = F.element_at(F.split(F.lower(F.coalesce(author["orcid"], F.lit(""))), "/"), -1)

@@ -123,6 +123,14 @@ def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html"), 300).alias("text"))
 
 
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'é“' WHEN 1 THEN 'A½' ELSE '<p>' END || trim(regexp_replace(regexp_replace(html, '[<>&]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
+def html_to_text_whole(spark, sf):
+    """Pages behind numeric references and rare names."""
+    head = F.when(F.col("page_id") % 3 == 0, "<b>&#233;&#x201C;</b>").when(F.col("page_id") % 3 == 1, "&#65;&frac12;").otherwise("&lt;p&gt;")
+    made = table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace(head, "</?b>", ""), F.trim(F.regexp_replace("html", "[<>&]", " "))).alias("text"))
+    return text.html_to_text_whole(made, "text", None)
+
+
 @query(f"WITH {R} SELECT doc_id, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) AS name FROM r")
 def ascii_fold(spark, sf):
     return records(spark, sf).select("doc_id", text.ascii_fold(F.col("title")).alias("name"))

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
 import json
-import pickle
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from lexhoard.functions.ids import content_fingerprint
 from lexhoard.plans.store import HashedTable
 
-#: Rows of a key that are sorted in memory, rows of a spilled block, and changes given out at once.
-RUN_ROWS, BLOCK_ROWS, OUT_ROWS = 200_000, 1_000, 10_000
+#: Changes given out at once.
+OUT_ROWS = 10_000
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -41,58 +38,61 @@ def foreach_batch_upsert(table: HashedTable, order: str | None = "retrieved_at")
     return upsert
 
 
-def _in_order(frames, fields: list[str]):
-    """The rows of all frames as tuples, sorted by fields with nulls last. Beyond RUN_ROWS rows, sorted runs go to a temporary
-    file of the worker and are merged from there, so that memory does not grow with the rows of a key."""
-
-    def ordered(frames: list) -> pd.DataFrame:
-        return pd.concat(frames)[fields].sort_values(fields, kind="stable")
-
-    def rank(row: tuple) -> tuple:
-        return tuple((True, 0) if pd.isna(x) else (False, x) for x in row)
-
-    def run(spill, places):
-        for place in places:
-            spill.seek(place)
-            yield from pickle.load(spill)
-
-    held, n, runs = [], 0, []
-    with tempfile.TemporaryFile() as spill:
-        for frame in frames:
-            held.append(frame)
-            n += len(frame)
-            if n >= RUN_ROWS:
-                rows, places = list(ordered(held).itertuples(index=False, name=None)), []
-                for i in range(0, len(rows), BLOCK_ROWS):
-                    places.append(spill.tell())
-                    pickle.dump(rows[i : i + BLOCK_ROWS], spill)
-                runs.append(places)
-                held, n = [], 0
-        rest = ordered(held).itertuples(index=False, name=None) if held else iter(())
-        yield from heapq.merge(*[run(spill, places) for places in runs], rest, key=rank) if runs else rest
-
-
-def stream_snapshot_changes(stream: DataFrame, key: str, ts: str, tracked: list[str]) -> DataFrame:
-    """(key, ts, version, changed_fields) of snapshots whose tracked fields differ from the key's last one. State: the last
-    snapshot of a key. Snapshots of a key within a micro-batch are taken in time order, as versions follow each other; they are
-    sorted in bounded memory."""
-    kinds = dict(stream.dtypes)
-    fields = [ts, *tracked]
-
-    def changes(keys, frames, state):
-        last, version = json.loads(state.get[0]) if state.exists else (None, 1)
-        out = []
-        for row in _in_order(frames, fields):
-            now = [None if pd.isna(x) else str(x) for x in row[1:]]
-            if last is not None and (differ := [f for f, a, b in zip(tracked, last, now, strict=True) if a != b]):
+class _Changes(StatefulProcessor):
+    """Of each key: snapshots that wait for the watermark, and the last one that was released with the version then."""
+
+    def __init__(self, tracked: list[str]):
+        self.tracked = tracked
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, fields string")
+        self.last = handle.getValueState("last", "fields string, version int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        came = [(int(at.value // 1000), json.dumps([None if pd.isna(x) else str(x) for x in fields])) for frame in rows for at, *fields in frame[frame.columns[1:]].itertuples(index=False)]
+        self.waiting.appendList(came)
+        self.handle.registerTimer(-(-min(came)[0] // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in rows if r[0] <= until], [r for r in rows if r[0] > until]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        else:
+            self.waiting.clear()
+        if not due:
+            return
+        last, version = self.last.get() if self.last.exists() else (None, 1)
+        last, out = json.loads(last) if last else None, []
+        for at, fields in due:
+            now = json.loads(fields)
+            if last is not None and (differ := [f for f, a, b in zip(self.tracked, last, now, strict=True) if a != b]):
                 version += 1
-                out.append((keys[0], row[0], version, differ))
-                if len(out) >= OUT_ROWS:
-                    yield pd.DataFrame(out, columns=[key, ts, "version", "changed_fields"])
-                    out = []
+                out.append((key[0], pd.Timestamp(at, unit="us"), version, differ))
             last = now
-        state.update((json.dumps([last, version]),))
-        yield pd.DataFrame(out, columns=[key, ts, "version", "changed_fields"])
+        self.last.update((json.dumps(last), version))
+        for i in range(0, len(out), OUT_ROWS):
+            yield pd.DataFrame(out[i : i + OUT_ROWS], columns=["key", "ts", "version", "changed_fields"])
+
+    def close(self) -> None:
+        pass
+
 
-    schema = f"{key} {kinds[key]}, {ts} {kinds[ts]}, version int, changed_fields array<string>"
-    return stream.select(key, *fields).groupBy(key).applyInPandasWithState(changes, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+def stream_snapshot_changes(stream: DataFrame, key: str, ts: str, tracked: list[str], delay: str = "7 days") -> DataFrame:
+    """(key, ts, version, changed_fields) of snapshots whose tracked fields differ from the key's one before, in the order of time,
+    whatever batches they come in: a snapshot waits in the state until the watermark, the greatest time seen less `delay`, has passed
+    it. What comes later than that is dropped, as are rows without a key or a time. Snapshots of equal time follow each other by their
+    fields.
+
+    The state of a key is its last snapshot and those within the delay, which are sorted in memory when they are released. Needs a
+    state store with timers: the session's spark.sql.streaming.stateStore.providerClass is set to the RocksDB provider.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = dict(stream.dtypes)
+    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias(ts), *tracked).withWatermark(ts, delay)
+    out = rows.groupBy(key).transformWithStateInPandas(_Changes(tracked), f"key {kinds[key]}, ts timestamp, version int, changed_fields array<string>", "Append", "EventTime")
+    return out.withColumnsRenamed({"key": key, "ts": ts} if ts != "ts" else {"key": key})

@@ -41,6 +41,24 @@ def test_fingerprint_ignores_map_order_and_excluded_fields(spark):
     assert prints[0] == prints[1] != prints[2]
 
 
+def test_fingerprint_sees_through_structs_and_arrays(spark):
+    """Maps in arrays of structs, in structs, in maps; the order of fields of structs."""
+    one = "SELECT '1' AS id, array(named_struct('m', map('a', 1, 'b', 2), 't', 'x')) AS l, named_struct('p', map(1, map('k', array(map('u', 'v', 'w', 'z'))))) AS s"
+    two = "SELECT '1' AS id, named_struct('p', map(1, map('k', array(map('w', 'z', 'u', 'v'))))) AS s, array(named_struct('t', 'x', 'm', map('b', 2, 'a', 1))) AS l"
+    other = "SELECT '1' AS id, array(named_struct('m', map('a', 1, 'b', 3), 't', 'x')) AS l, named_struct('p', map(1, map('k', array(map('u', 'v', 'w', 'z'))))) AS s"
+    of = lambda q: (df := spark.sql(q)).select(ids.content_fingerprint(df).alias("f")).first()["f"]
+    assert of(one) == of(two) != of(other)
+    assert of("SELECT 1 AS a, CAST(NULL AS STRUCT<x: MAP<STRING, INT>>) AS s") != of("SELECT 1 AS a, CAST(named_struct('x', NULL) AS STRUCT<x: MAP<STRING, INT>>) AS s")
+
+
+def test_entities_and_folding(spark):
+    rows = [("1", "<p>caf&eacute; &#8212; &#x41; &amp;lt; &hellip</p>"), ("2", "plain &amp; simple"), ("3", None), ("4", "&notanentity; x &#0; AT&T")]
+    out = {r["id"]: r["t"] for r in text.html_to_text_whole(spark.createDataFrame(rows, "id string, t string"), "t", None).collect()}
+    assert out == {"1": "café — A &lt; &hellip", "2": "plain & simple", "3": None, "4": "¬anentity; x \ufffd AT&T"}
+    parts = lambda n: one(spark, text.author_parts(F.struct(F.col("a").alias("name"), F.lit(None).cast("string").alias("given_name"), F.lit(None).cast("string").alias("family_name"), F.lit(None).cast("string").alias("orcid"))), a=n)
+    assert parts("ＡDA STRAẞE")["family"] == parts("Ada strasse")["family"] == parts("ada Straße")["family"] and parts("ＡDA X")["given"] == "ada"
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("1", "A drug therapy Drug", "drug"), ("2", "none", "a DRUG for crops"), ("3", None, None)], "id string, title string, abstract string")
     rules = [classify.Rule("topics", "d", [r"\bdrug\b"], [r"\bcrops\b"], minimum_score=2.0)]
@@ -68,21 +86,6 @@ def _authors(given):
 _AUTHORS = "array<struct<name:string,given_name:string,family_name:string,orcid:string>>"
 
 
-def test_snapshots_of_a_key_are_sorted_in_runs(monkeypatch):
-    import pandas as pd
-
-    from lexhoard.streaming import feeds
-
-    monkeypatch.setattr(feeds, "RUN_ROWS", 7)
-    monkeypatch.setattr(feeds, "BLOCK_ROWS", 3)
-    rows = pd.DataFrame({"ts": [(i * 37) % 50 for i in range(101)], "v": [None if i % 9 == 0 else str(i % 4) for i in range(101)]})
-    frames = [rows[i : i + 5] for i in range(0, 101, 5)]
-    want = rows.sort_values(["ts", "v"], kind="stable").itertuples(index=False, name=None)
-    got = feeds._in_order(iter(frames), ["ts", "v"])
-    plain = lambda rows: [(a, None if pd.isna(b) else b) for a, b in rows]
-    assert plain(got) == plain(want)
-
-
 def test_merge_cluster_and_title_edges_list_no_members(spark):
     def stated(plan):
         return plan._jdf.queryExecution().executedPlan().toString()
