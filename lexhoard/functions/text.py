@@ -99,10 +99,10 @@ def normalize_orcid(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Case folded for comparison within the JVM: lower, upper and again lower case, which takes in the letters that lower case alone keeps
-    apart (ß and ss, final sigma, ligatures). Full-width and other compatibility forms of ASCII are made plain first."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    return F.lower(F.upper(F.lower(F.translate(c, wide, "".join(chr(0x21 + i) for i in range(94))))))
+    """Case folded for comparison within the JVM: upper and then lower case, which takes in the letters that lower case alone keeps
+    apart (ß and ss, final sigma, ligatures). Full-width forms of ASCII are made plain first."""
+    wide, plain = "ẞ" + "".join(chr(0xFF01 + i) for i in range(94)), "ß" + "".join(chr(0x21 + i) for i in range(94))
+    return F.lower(F.concat(F.upper(F.translate(c, wide, plain)), F.lit("")))  # lower(upper(x)) would be optimized to lower(x)
 
 
 def author_parts(author: Column) -> Column:
