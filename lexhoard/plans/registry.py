@@ -6,15 +6,16 @@ the whole text, dates, scores and labels follow from doc_id and the words of the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
-from lexhoard.operators import classify, dedup, history, people, report, select
+from lexhoard.operators import classify, dedup, history, index, people, report, select
 from lexhoard.plans import jobs, landed, streams
-from lexhoard.session import table
+from lexhoard.session import shared_dir, table
 
 AS_OF, LATER = "2024-02-15", "2024-03-15"
 _QUERIES: dict[str, Callable] = {}
@@ -231,6 +232,20 @@ def filter_records_by_facets(spark, sf):
     return select.filter_records(records(spark, sf), equal={"lang": "en"}, member={"source_types": "src0"}, tech="mRNA", when=updated()).select("doc_id")
 
 
+_HAY = "regexp_replace(lower(strip_accents(title || ' ' || abstract)), '[^\\p{L}\\p{N}]+', ' ', 'g')"
+_SEARCHES = {"two terms": "Licénse MIT", "short term": "permission of", "rare": "benchmark", "none": "qqqzzz license", "only short": "a e", "no term": "--"}
+
+
+@query(f"WITH {R}, t AS (SELECT doc_id, {_HAY} AS h FROM r) " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS search FROM t WHERE " + (" AND ".join(f"contains(h, '{t}')" for t in index.query_terms(q)) or "true") for name, q in _SEARCHES.items()))
+def search_indexed(spark, sf):
+    """Several searches of one index over all documents."""
+    at = f"{shared_dir(spark)}/lexhoard-index-{uuid.uuid4().hex}"
+    hay = text.search_normalize(F.concat_ws(" ", "title", "abstract"))
+    index.write_search_index(records(spark, sf).select("doc_id", hay.alias("search_text")), at, "doc_id")
+    found = [index.search_indexed(spark, at, q).select(F.col("id").alias("doc_id"), F.lit(name).alias("search")) for name, q in _SEARCHES.items()]
+    return select.union_sources(*found)
+
+
 @query(f"WITH {R} SELECT doc_id FROM r WHERE list_contains(modalities, 'mRNA')")
 def technology_filter(spark, sf):
     return select.technology_filter(records(spark, sf), "mRNA").select("doc_id")
