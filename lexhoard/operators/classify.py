@@ -104,11 +104,29 @@ def classify(df: DataFrame, rules: list[Rule], weights: dict[str, float] = FIELD
     return out.withColumn("classification_evidence", evidence).withColumn("classification_method", F.lit("deterministic-rules-v1")).drop("_fields", *[f"_e_{c}" for c in names])
 
 
+def with_evidence(before: Column | None, added: dict[str, Column]) -> Column:
+    """The evidence map with further entries (category to EVIDENCE) for labels that it has none for, in the order given."""
+    none = F.array().cast(EVIDENCE)
+    base = F.coalesce(before if before is not None else F.lit(None), F.create_map().cast(f"map<string,{EVIDENCE}>"))
+
+    def merged(category: str, entries: Column) -> Column:
+        have = F.coalesce(F.try_element_at(base, F.lit(category)), none)
+        new = F.filter(F.coalesce(entries.cast(EVIDENCE), none), lambda e: ~F.exists(have, lambda h: h["label"] == e["label"]))
+        return F.struct(F.lit(category).alias("key"), F.concat(have, new).alias("value"))
+
+    rest = F.map_entries(F.map_filter(base, lambda k, v: ~k.isin(*added)))
+    return F.map_from_entries(F.array_sort(F.concat(rest, F.filter(F.array(*[merged(c, e) for c, e in added.items()]), lambda e: F.size(e["value"]) > 0))))
+
+
 def metadata_labels(df: DataFrame) -> DataFrame:
-    """Sponsor organizations become companies, affiliations and collaborators institutions."""
-    of = lambda *kinds: F.transform(F.filter("organizations", lambda o: o["organization_type"].isin(*kinds)), lambda o: o["name"])
-    add = lambda c, new: F.array_distinct(F.concat(F.coalesce(F.col(c), F.array().cast(_STRINGS)) if c in df.columns else F.array().cast(_STRINGS), new))
-    return df.withColumn("companies", add("companies", of("sponsor"))).withColumn("institutions", add("institutions", of("affiliation", "collaborator")))
+    """Sponsor organizations become companies, affiliations and collaborators institutions, each with evidence of confidence 1 by its
+    name; what rules have found for a label stays its evidence."""
+    kinds = {"companies": ("sponsor",), "institutions": ("affiliation", "collaborator")}
+    names = {c: F.filter(F.transform(F.filter("organizations", lambda o: o["organization_type"].isin(*of)), lambda o: o["name"]), lambda n: n.isNotNull()) for c, of in kinds.items()}  # noqa: B023
+    entry = lambda n: F.struct(n.alias("label"), F.lit(1.0).alias("confidence"), F.array(n).alias("matched_phrases"), F.array(F.lit("organizations")).alias("fields"), F.lit("source-metadata").alias("method"))
+    evidence = with_evidence(F.col("classification_evidence") if "classification_evidence" in df.columns else None, {c: F.transform(F.array_distinct(n), entry) for c, n in names.items()})
+    add = lambda c, new: F.array_distinct(F.concat(F.coalesce(F.col(c), F.array().cast(_STRINGS)) if c in df.columns else F.array().cast(_STRINGS), F.coalesce(new, F.array().cast(_STRINGS))))
+    return df.withColumn("classification_evidence", evidence).withColumns({c: add(c, n) for c, n in names.items()})
 
 
 def apply_global_negatives(df: DataFrame, patterns: list[str], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
@@ -123,7 +141,7 @@ def apply_global_negatives(df: DataFrame, patterns: list[str], weights: dict[str
 
 
 def score(df: DataFrame, as_of: date | str, when: Column | None = None) -> DataFrame:
-    """Adds relevance_score (0 to 100) and score_components, ten of them, with reasons; excluded records are capped at 15 by an
+    """Adds relevance_score (0 to 100) and score_components, ten of them, with what was counted as reason; excluded records are capped at 15 by an
     eleventh. Fields that the table lacks count as empty."""
     have = dict(df.dtypes)
     arr = lambda c: F.coalesce(F.col(c), F.array().cast(_STRINGS)) if c in have else F.array().cast(_STRINGS)
@@ -143,29 +161,27 @@ def score(df: DataFrame, as_of: date | str, when: Column | None = None) -> DataF
     sources = F.size(F.array_distinct(F.filter(arr("source_types"), lambda s: s != "crossref")))
     ramp = lambda n, first, cap: F.when(n > 0, F.least(F.lit(cap), first + 2.0 * (n - 1))).otherwise(0.0)
     direct = F.when((n_modal > 0) & anchor, 25.0).when(n_modal > 0, 15.0).when((n_delivery > 0) & anchor, 10.0).otherwise(0.0)
-    why = (
-        F.when((n_modal > 0) & anchor, "Named modality with therapeutic context.")
-        .when(n_modal > 0, "Named modality without a strong therapeutic anchor.")
-        .when((n_delivery > 0) & anchor, "Delivery system with therapeutic context.")
-        .otherwise("No evidence of direct therapeutic relevance.")
-    )
+    # What was counted, as name=value: a reader's sentence can be made of it.
+    told = lambda **of: F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in of.items()])
+    stage_points = F.coalesce(F.array_max(F.transform(arr("development_stages"), lambda s: F.coalesce(F.try_element_at(stages, s), F.lit(0.0)))), F.lit(0.0))
+    # Names of components and their maxima.
     rows = [
-        ("direct therapeutic relevance", direct, 25, why),
-        ("RNA modality specificity", ramp(specific, 8.0, 12.0), 12, F.format_string("%d specific modality label(s).", specific)),
-        ("delivery relevance", ramp(n_delivery, 6.0, 10.0), 10, F.format_string("%d delivery label(s).", n_delivery)),
-        ("translational stage", F.coalesce(F.array_max(F.transform(arr("development_stages"), lambda s: F.coalesce(F.try_element_at(stages, s), F.lit(0.0)))), F.lit(0.0)), 15, F.lit("Highest stage.")),
-        ("human relevance", F.when(human, 10.0).otherwise(0.0), 10, F.when(human, "Human participants or a trial.").otherwise("No human evidence.")),
-        ("clinical status change", F.when(changes > 0, 8.0).otherwise(0.0), 8, F.format_string("%d tracked trial field change(s).", changes)),
-        ("regulatory importance", F.when(regulatory, 8.0).otherwise(0.0), 8, F.when(regulatory, "Regulatory evidence or topic.").otherwise("No regulatory evidence or topic.")),
-        ("methodological relevance", F.when(n_methods > 0, F.least(F.lit(5.0), 3.0 + n_methods)).otherwise(0.0), 5, F.format_string("%d method label(s).", n_methods)),
-        ("recency", recency, 5, F.when(usable, F.format_string("Record is %d days old.", age)).otherwise("No usable date at or before the scoring date.")),
-        ("source corroboration", F.when(sources >= 2, 2.0).otherwise(0.0), 2, F.format_string("%d independent discovery source(s).", sources)),
+        ("direct therapeutic relevance", direct, 25, told(modalities=n_modal, deliveries=n_delivery, context=anchor)),
+        ("RNA modality specificity", ramp(specific, 8.0, 12.0), 12, told(modalities=specific)),
+        ("delivery relevance", ramp(n_delivery, 6.0, 10.0), 10, told(deliveries=n_delivery)),
+        ("translational stage", stage_points, 15, told(stages=F.size(arr("development_stages")))),
+        ("human relevance", F.when(human, 10.0).otherwise(0.0), 10, told(human=human)),
+        ("clinical status change", F.when(changes > 0, 8.0).otherwise(0.0), 8, told(changes=changes)),
+        ("regulatory importance", F.when(regulatory, 8.0).otherwise(0.0), 8, told(regulatory=regulatory)),
+        ("methodological relevance", F.when(n_methods > 0, F.least(F.lit(5.0), 3.0 + n_methods)).otherwise(0.0), 5, told(methods=n_methods)),
+        ("recency", recency, 5, F.when(usable, told(days=age)).otherwise("days=none")),
+        ("source corroboration", F.when(sources >= 2, 2.0).otherwise(0.0), 2, told(sources=sources)),
     ]
     component = lambda n, p, m, r: F.struct(F.lit(n).alias("name"), F.bround(p.cast("double"), 2).alias("points"), F.lit(float(m)).alias("maximum"), r.alias("reason"))
     out = df.withColumn("score_components", F.array(*[component(*r) for r in rows]))
     total = F.aggregate("score_components", F.lit(0.0), lambda s, c: s + c["points"])
     excluded = F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in have else F.lit(False)
-    cap = component("exclusion adjustment", F.least(F.lit(0.0), 15.0 - total), 0, F.lit("Excluded records are kept but capped at 15."))
+    cap = component("exclusion adjustment", F.least(F.lit(0.0), 15.0 - total), 0, told(cap=F.lit(15)))
     out = out.withColumn("score_components", F.when(excluded, F.concat("score_components", F.array(cap))).otherwise(F.col("score_components")))
     return out.withColumn("relevance_score", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 2))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexhoard.functions.ids import content_fingerprint
 from lexhoard.functions.text import normalize_doi
+from lexhoard.operators.classify import with_evidence
 
 #: Trial fields whose changes are told, in this order.
 TRACKED = ["overall_status", "enrollment", "phase", "start_date", "primary_completion_date", "completion_date", "interventions", "outcomes"]
@@ -46,6 +47,23 @@ def coalesce_revisions(df: DataFrame, key: str, version: str, first_date: str, b
     return out.select(key, first_date, "version", pairs.alias("change_history"), *[F.col("_body")[c].alias(c) for c in body if c not in (key, first_date, "version")])
 
 
+def coalesce_preprints(df: DataFrame) -> DataFrame:
+    """One row per preprint (DOI, else id) from a row per version, as `normalize_preprints` gives them: the newest version's body with
+    the earliest first_date, the number of versions as `version`, provenance of all versions in their order, the URLs of all that
+    its own isn't as alternate_urls, and an event per step from one version to the next, with both numbers as values."""
+    key = F.coalesce("doi", "id")
+    part = F.struct(F.col("preprint.version").alias("number"), "retrieved_at", F.coalesce("preprint.server", F.lit("preprint")).alias("server"), "provenance", F.concat(F.array("url"), "alternate_urls").alias("urls"))
+    rest = [c for c in df.columns if c not in ("first_date", "version", "provenance", "alternate_urls", "change_history")]
+    held = F.max_by("change_history", F.struct("preprint.version", "url")).alias("_held") if "change_history" in df.columns else F.lit(None).alias("_held")
+    out = df.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*rest), F.struct("preprint.version", "url")).alias("_body"), F.min("first_date").alias("first_date"), F.sort_array(F.collect_list(part)).alias("_v"), held)
+    value = lambda v: F.create_map(F.lit("version"), F.to_json(F.struct(v["number"].alias("value"))))
+    step = lambda v, i: F.struct(v["retrieved_at"].alias("changed_at"), v["server"].alias("source"), F.array(F.lit("preprint.version")).alias("fields"), value(F.get(F.col("_v"), i)).alias("old_values"), value(v).alias("new_values"))
+    later = F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0)))
+    events = F.transform(later, step).cast(f"array<{EVENT}>")
+    urls = F.filter(F.array_distinct(F.flatten(F.transform("_v", lambda v: v["urls"]))), lambda u: u != F.col("_body.url"))
+    return out.select("_body.*", "first_date", F.size("_v").alias("version"), F.flatten(F.transform("_v", lambda v: v["provenance"])).alias("provenance"), urls.alias("alternate_urls"), F.concat(F.coalesce(F.col("_held").cast(f"array<{EVENT}>"), F.array().cast(f"array<{EVENT}>")), events).alias("change_history"))
+
+
 def changed_records(existing: DataFrame, incoming: DataFrame, key: str = "id", fingerprint: str | None = None) -> DataFrame:
     """Incoming rows that the stored table lacks or holds with another fingerprint. A stored fingerprint column saves hashing."""
     print_of = lambda df: F.col(fingerprint) if fingerprint else content_fingerprint(df)
@@ -53,20 +71,58 @@ def changed_records(existing: DataFrame, incoming: DataFrame, key: str = "id", f
     return incoming.withColumn("_new", print_of(incoming)).join(old, (F.col(key) == F.col("_id")) & (F.col("_new") == F.col("_old")), "left_anti").drop("_new")
 
 
-def fill_missing(records: DataFrame, works: DataFrame, fields: list[str], doi: str = "doi") -> DataFrame:
+def fill_missing(records: DataFrame, works: DataFrame, fields: list[str], doi: str = "doi", source: str | None = None) -> DataFrame:
     """Fills empty fields of records from the work of the same DOI and lists them in filled_fields. Records without a DOI don't
-    take part in the join, so they make no skew."""
+    take part in the join, so they make no skew. Of works with one DOI the first by their JSON counts.
+
+    With `source`, records that have a work say so, in those of these columns that they have: source_types and source_ids name the
+    source and the DOI, field_sources the source of each filled field, date_precision that of a filled published_date, alternate_urls
+    the work's `url`, and provenance gets an entry of the filled fields (with retrieved_at and raw_sha256 if works have them).
+    """
     kinds = dict(records.dtypes)
     empty = lambda c, name: (F.size(c) <= 0) if kinds[name].startswith(("array", "map")) else (F.trim(c) == "") if kinds[name] == "string" else F.lit(False)
     lacks = lambda c, name: c.isNull() | F.coalesce(empty(c, name), F.lit(True))
     mine, theirs = F.col, lambda n: F.col(f"_w.{n}")
-    per_doi = works.withColumn("_key", normalize_doi(F.col(doi))).where("_key is not null").groupBy("_key").agg(F.min(F.struct(*fields)).alias("_w"))
+    beside = [c for c in ("url", "retrieved_at", "raw_sha256", "date_precision") if source and c in works.columns and c not in fields]
+    body = F.struct(*fields, *beside)
+    per_doi = works.withColumn("_key", normalize_doi(F.col(doi))).where("_key is not null").groupBy("_key").agg(F.min_by(body, F.to_json(body)).alias("_w"))
     keyed = records.withColumn("_rkey", normalize_doi(F.col(doi)))
-    joined = keyed.where("_rkey is not null").join(per_doi, F.col("_rkey") == F.col("_key"), "left").drop("_key")
+    joined = keyed.where("_rkey is not null").join(per_doi, F.col("_rkey") == F.col("_key"), "left")
     filled = F.filter(F.array(*[F.when(lacks(mine(f), f) & ~lacks(theirs(f), f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    values = [F.when(lacks(mine(c), c), F.coalesce(theirs(c), mine(c))).otherwise(mine(c)).alias(c) if c in fields else F.col(c) for c in records.columns]
+    joined = joined.withColumn("filled_fields", filled)
+    values = {c: F.when(lacks(mine(c), c), F.coalesce(theirs(c), mine(c))).otherwise(mine(c)) if c in fields else F.col(c) for c in records.columns}
+    if source:
+        values |= _told_by(records, source, beside, values)
+    out = joined.select(*[values[c].alias(c) for c in records.columns], "filled_fields")
     rest = keyed.where("_rkey is null").select(*records.columns, F.array().cast("array<string>").alias("filled_fields"))
-    return joined.select(*values, filled.alias("filled_fields")).unionByName(rest)
+    return out.unionByName(rest)
+
+
+def _told_by(records: DataFrame, source: str, beside: list[str], values: dict[str, Column]) -> dict[str, Column]:
+    """The columns by which a record says what a work of `source` gave it."""
+    met, out, name, have = F.col("_w").isNotNull(), {}, F.lit(source), records.columns
+    extra = lambda c: F.col(f"_w.{c}") if c in beside else F.lit(None)
+    texts = "map<string,string>"
+    given = lambda c: F.coalesce(values[c], F.create_map().cast(texts))
+    if "source_types" in have:
+        out["source_types"] = F.when(met, F.array_union(F.coalesce("source_types", F.array().cast("array<string>")), F.array(name))).otherwise(F.col("source_types"))
+    if "source_ids" in have:
+        out["source_ids"] = F.when(met, F.map_concat(F.map_filter(given("source_ids"), lambda k, v: k != source), F.create_map(name, F.col("_key")))).otherwise(F.col("source_ids"))
+    if "field_sources" in have:
+        others = F.map_filter(given("field_sources"), lambda k, v: ~F.array_contains("filled_fields", k))
+        out["field_sources"] = F.when(met, F.map_concat(others, F.map_from_arrays("filled_fields", F.array_repeat(name, F.size("filled_fields"))))).otherwise(F.col("field_sources"))
+    if "date_precision" in have and "date_precision" in beside:
+        precise = F.map_concat(F.map_filter(given("date_precision"), lambda k, v: k != "published_date"), F.map_filter(F.coalesce(extra("date_precision"), F.create_map().cast(texts)), lambda k, v: k == "published_date"))
+        out["date_precision"] = F.when(F.array_contains("filled_fields", "published_date"), precise).otherwise(F.col("date_precision"))
+    if "alternate_urls" in have:
+        urls = F.coalesce("alternate_urls", F.array().cast("array<string>"))
+        out["alternate_urls"] = F.when(met & extra("url").isNotNull(), F.array_union(urls, F.array(extra("url").cast("string")))).otherwise(F.col("alternate_urls"))
+    if "provenance" in have:
+        kind = records.schema["provenance"].dataType.elementType
+        parts = {"source": name, "source_id": F.col("_key"), "url": F.concat(F.lit("https://api.crossref.org/works/"), F.replace(F.url_encode("_key"), F.lit("+"), F.lit("%20"))), "retrieved_at": extra("retrieved_at"), "fields": F.col("filled_fields"), "raw_sha256": extra("raw_sha256"), "note": F.lit("filled by DOI")}
+        entry = F.struct(*[parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+        out["provenance"] = F.when(met, F.concat(F.coalesce("provenance", F.array().cast(records.schema["provenance"].dataType)), F.array(entry))).otherwise(F.col("provenance"))
+    return out
 
 
 def apply_trial_updates(existing: DataFrame, incoming: DataFrame, key: str = "nct_id", tracked: list[str] = TRACKED) -> DataFrame:
@@ -141,22 +197,46 @@ def pending_enrichment(records: DataFrame, cache: DataFrame, fields: list[str],
     return records.withColumn("input_hash", enrichment_input_hash(fields, model, prompt_version)).join(cache.select("input_hash").distinct(), "input_hash", "left_anti")
 
 
-def apply_enrichment(records: DataFrame, results: DataFrame, labels: list[str], vocab: dict[str, list[str]], texts: list[str]) -> DataFrame:
-    """Adds the results' labels (those of `vocab` fields only from the vocabulary), takes their texts where given, and notes the
-    method. Results of provider `none` and records without a result change nothing. Needs `id` and `input_hash`."""
+#: Confidence of a label that a model gave, and what a result says about itself.
+MODEL_CONFIDENCE = 0.6
+METADATA = ["provider", "model", "prompt_version", "enrichment_timestamp", "input_hash", "validation_status"]
+
+
+def apply_enrichment(records: DataFrame, results: DataFrame, labels: list[str], vocab: dict[str, list[str]], texts: list[str], replaced: list[str] = ()) -> DataFrame:
+    """Adds the results' labels (those of `vocab` fields only from the vocabulary), takes their texts and lists where given and those
+    of `replaced` in any case, and notes the method. Results of provider `none` and records without a result change nothing. Needs `id`
+    and `input_hash`.
+
+    A record with classification_evidence gets evidence for each of the result's labels that has none, and a record with
+    enrichment_metadata what the result says about itself (METADATA, as far as results have it).
+    """
     r = lambda c: F.col(f"_r.{c}")
-    given = results.where("provider <> 'none'").groupBy("id", "input_hash").agg(F.max_by(F.struct(*[c for c in results.columns if c not in ("id", "input_hash")]), F.col("provider")).alias("_r"))
+    kept = [c for c in results.columns if c not in ("id", "input_hash")]
+    body = F.struct(*kept)
+    given = results.where("provider <> 'none'").groupBy("id", "input_hash").agg(F.max_by(body, F.struct("provider", F.to_json(body))).alias("_r"))
     out = records.join(given, ["id", "input_hash"], "left")
     none = F.array().cast("array<string>")
     allowed = lambda c: F.array_intersect(r(c), F.array(*[F.lit(v) for v in vocab[c]])) if c in vocab else r(c)
+    kinds, met = dict(records.dtypes), F.col("_r").isNotNull()
+    said = lambda c: F.when((F.size(r(c)) > 0) if kinds[c].startswith("array") else (r(c) != ""), r(c))
+    entry = lambda x: F.struct(x.alias("label"), F.lit(MODEL_CONFIDENCE).alias("confidence"), none.alias("matched_phrases"), F.array(F.lit("llm_enrichment")).alias("fields"), F.concat(F.lit("llm:"), r("provider")).alias("method"))
     columns = []
     for c in records.columns:
         if c in labels:
             columns.append(F.array_distinct(F.concat(F.coalesce(F.col(c), none), F.coalesce(allowed(c), none))).alias(c))
         elif c in texts:
-            columns.append(F.coalesce(F.when(r(c) != "", r(c)), F.col(c)).alias(c))
+            columns.append(F.coalesce(said(c), F.col(c)).alias(c))
+        elif c in replaced:
+            columns.append(F.when(met, r(c)).otherwise(F.col(c)).alias(c))
         elif c == "classification_method":
-            columns.append(F.when(F.col("_r").isNotNull(), F.concat(c, F.lit("+llm"))).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(met, F.concat(c, F.lit("+llm"))).otherwise(F.col(c)).alias(c))
+        elif c == "classification_evidence":
+            added = with_evidence(F.col(c), {x: F.transform(F.array_distinct(F.coalesce(allowed(x), none)), entry) for x in labels})
+            columns.append(F.when(met, added).otherwise(F.col(c)).alias(c))
+        elif c == "enrichment_metadata":
+            kind = records.schema[c].dataType
+            of = lambda f: F.col("input_hash") if f == "input_hash" else r(f) if f in kept else F.lit(None)
+            columns.append(F.when(met, F.struct(*[of(f.name).cast(f.dataType).alias(f.name) for f in kind.fields])).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(*columns)

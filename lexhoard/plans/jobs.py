@@ -98,7 +98,7 @@ def step(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works:
     its keys. A changed row that was a member before tells its changes of tracked fields as events.
     """
     attributed = people.with_watched_people(incoming, roster)
-    filled = history.fill_missing(attributed, works, [c for c in FILLED if c in incoming.columns and c in works.columns]).drop("filled_fields")
+    filled = history.fill_missing(attributed, works, [c for c in FILLED if c in incoming.columns and c in works.columns], source="crossref").drop("filled_fields")
     stamped = filled.withColumn("version_hash", ids.content_fingerprint(filled))
     newest = Window.partitionBy("id").orderBy(*([F.col("retrieved_at").desc_nulls_last()] if "retrieved_at" in incoming.columns else []), F.col("version_hash"))
     stamped = stamped.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")

@@ -366,6 +366,69 @@ def fill_missing(spark, sf):
     return history.fill_missing(rows, works, ["publisher"]).select("o_orderkey", "publisher", (F.size("filled_fields") > 0).alias("filled"))
 
 
+def _maps(m: Column) -> Column:
+    """A map of texts as one text."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+@query("""WITH j AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 3 <> 0 AS has, c_custkey IS NOT NULL AND o_orderkey % 3 <> 0 AS met, o_orderkey % 5 = 0 AS no_publisher, o_orderkey % 4 = 0 AS no_authors, o_orderkey % 7 = 0 AS no_date, o_orderstatus, c_mktsegment, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+f AS (SELECT *, concat_ws(',', CASE WHEN met AND no_publisher THEN 'publisher' END, CASE WHEN met AND no_authors THEN 'authors' END, CASE WHEN met AND no_date THEN 'published_date' END) AS filled FROM j)
+SELECT k AS o_orderkey, CASE WHEN no_publisher THEN CASE WHEN met THEN c_mktsegment END ELSE o_orderstatus END AS publisher, CASE WHEN no_authors THEN CASE WHEN met THEN c_name END ELSE 'Own' END AS author, CASE WHEN no_date THEN CASE WHEN met THEN '2024-05-01' END ELSE '2020-01-01' END AS day,
+CASE WHEN met THEN 'pubmed,crossref' ELSE 'pubmed' END AS sources, CASE WHEN met THEN 'crossref=10.1000/' || c || ',' ELSE '' END || 'pubmed=' || k AS ids, concat_ws(',', CASE WHEN met AND no_authors THEN 'authors=crossref' END, CASE WHEN met AND no_date THEN 'published_date=crossref' END, CASE WHEN met AND no_publisher THEN 'publisher=crossref' END, 'title=pubmed') AS fields,
+CASE WHEN met AND no_date THEN 'published_date=month' ELSE 'published_date=day' END AS precision, CASE WHEN met THEN 'https://p/' || k || ' https://w/' || c ELSE 'https://p/' || k END AS urls, CASE WHEN met THEN 2 ELSE 1 END::INTEGER AS n_provenance,
+CASE WHEN met THEN filled END AS told, CASE WHEN met THEN 'https://api.crossref.org/works/10.1000%2F' || c END AS told_url, CASE WHEN met THEN sha256(CAST(c AS VARCHAR)) END AS told_sha FROM f""")
+def fill_missing_told(spark, sf):
+    """Several fields filled by DOI, and all that a record says about it."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    doi = lambda x: F.concat(F.lit("10.1000/"), x.cast("string"))
+    text_ = F.lit(None).cast("string")
+    entry = F.struct(F.lit("pubmed").alias("source"), k.cast("string").alias("source_id"), text_.alias("url"), F.array().cast("array<string>").alias("fields"), text_.alias("raw_sha256"), text_.alias("note"))
+    rows = table(spark, sf, "orders").select(
+        k, F.when(k % 3 != 0, doi(F.col("o_custkey"))).alias("doi"), F.when(k % 5 != 0, F.col("o_orderstatus")).otherwise(" ").alias("publisher"), F.when(k % 4 != 0, F.array(F.struct(F.lit("Own").alias("name")))).otherwise(F.array().cast("array<struct<name:string>>")).alias("authors"),
+        F.when(k % 7 != 0, F.lit("2020-01-01").cast("date")).alias("published_date"), F.array(F.lit("pubmed")).alias("source_types"), F.create_map(F.lit("pubmed"), k.cast("string")).alias("source_ids"), F.create_map(F.lit("title"), F.lit("pubmed")).alias("field_sources"),
+        F.create_map(F.lit("published_date"), F.lit("day")).alias("date_precision"), F.array(F.concat(F.lit("https://p/"), k.cast("string"))).alias("alternate_urls"), F.array(entry).alias("provenance"),
+    )
+    works = table(spark, sf, "customer").select(
+        F.concat(F.lit("https://doi.org/"), doi(c)).alias("doi"), F.col("c_mktsegment").alias("publisher"), F.array(F.struct(F.col("c_name").alias("name"))).alias("authors"), F.lit("2024-05-01").cast("date").alias("published_date"), F.create_map(F.lit("published_date"), F.lit("month"), F.lit("first_date"), F.lit("day")).alias("date_precision"),
+        F.concat(F.lit("https://w/"), c.cast("string")).alias("url"), F.sha2(c.cast("string"), 256).alias("raw_sha256"),
+    )
+    last = F.get(F.col("provenance"), F.lit(1))
+    return history.fill_missing(rows, works, ["publisher", "authors", "published_date"], source="crossref").select(
+        "o_orderkey", text.empty_to_null(F.trim("publisher")).alias("publisher"), F.get(F.col("authors"), F.lit(0))["name"].alias("author"), F.col("published_date").cast("string").alias("day"), F.array_join("source_types", ",").alias("sources"), _maps(F.col("source_ids")).alias("ids"), _maps(F.col("field_sources")).alias("fields"),
+        _maps(F.col("date_precision")).alias("precision"), F.array_join("alternate_urls", " ").alias("urls"), F.size("provenance").alias("n_provenance"), F.array_join(last["fields"], ",").alias("told"), last["url"].alias("told_url"), last["raw_sha256"].alias("told_sha"),
+    )
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, value, event_id % 2 = 0 AS a, event_id % 3 = 0 AS b, event_id % 5 <> 0 AS known, event_id % 4 = 0 AS before FROM events)
+SELECT event_id, CASE WHEN known THEN 3 + (a OR b)::INTEGER ELSE 1 END::INTEGER AS version, CASE WHEN known THEN before::INTEGER + (a OR b)::INTEGER ELSE 0 END::INTEGER AS n_events, CASE WHEN known AND (a OR b) THEN concat_ws(',', CASE WHEN a THEN 'event_type' END, CASE WHEN b THEN 'value' END) END AS fields,
+CASE WHEN known AND (a OR b) THEN concat_ws(',', CASE WHEN a THEN 'event_type={"value":"old"}' END, CASE WHEN b THEN 'value={}' END) END AS old_values, CASE WHEN known AND (a OR b) AND NOT b THEN 'event_type={"value":"' || event_type || '"}' END AS new_type, CASE WHEN known AND (a OR b) THEN strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN known THEN 'old,new' ELSE 'new' END AS provenance FROM e""")
+def trial_events(spark, sf):
+    """Events as trials: what differs from the stored row becomes an event with both values."""
+    n = F.col("event_id")
+    made = lambda name: F.array(F.struct(F.lit(name).alias("source")))
+    now = table(spark, sf, "events").select("event_id", "event_type", "value", F.lit(1).alias("version"), F.col("ts").cast("timestamp").alias("retrieved_at"), made("new").alias("provenance"))
+    earlier = F.from_json(F.when(n % 4 == 0, '[{"source":"x"}]').otherwise("[]"), f"array<{history.EVENT}>")
+    stored = now.where(n % 5 != 0).select("event_id", F.when(n % 2 == 0, "old").otherwise(F.col("event_type")).alias("event_type"), F.when(n % 3 != 0, F.col("value")).alias("value"), F.lit(3).alias("version"), made("old").alias("provenance"), earlier.alias("change_history"))
+    out = history.with_events(stored, now, "event_id", ["event_type", "value"], "trials")
+    last = F.get(F.filter("change_history", lambda e: e["source"] == "trials"), F.lit(0))
+    return out.select("event_id", "version", F.size("change_history").alias("n_events"), F.array_join(last["fields"], ",").alias("fields"), _maps(last["old_values"]).alias("old_values"), F.when(F.size(last["fields"]) == 1, F.when(last["fields"][0] == "event_type", _maps(last["new_values"]))).alias("new_type"), F.date_format(last["changed_at"], "yyyy-MM-dd").alias("day"), F.array_join(F.col("provenance")["source"], ",").alias("provenance"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, 1 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS v, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, text, role FROM conversations)
+SELECT conv_id, count(*)::INTEGER AS version, strftime(DATE '2024-01-01' + CAST(min(turn) AS INTEGER), '%Y-%m-%d') AS first_date, sha256(arg_max(text, turn)) AS body, string_agg(role || turn, ',' ORDER BY turn) AS provenance, coalesce(string_agg('https://s/' || turn, ' ' ORDER BY turn) FILTER (turn < (SELECT max(turn) FROM conversations m WHERE m.conv_id = c.conv_id)), '') AS urls,
+coalesce(string_agg(before || '>' || turn, ',' ORDER BY turn) FILTER (before IS NOT NULL), '') AS events FROM c GROUP BY conv_id""")
+def coalesce_preprints(spark, sf):
+    """Turns of a conversation as versions of a preprint."""
+    n = F.col("turn")
+    rows = table(spark, sf, "conversations").select(
+        "conv_id", F.lit(None).cast("string").alias("doi"), F.col("conv_id").cast("string").alias("id"), F.struct(n.alias("version"), F.lit("s").alias("server")).alias("preprint"), F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).alias("first_date"), F.col("text").alias("abstract"),
+        F.lit("2024-03-01").cast("timestamp").alias("retrieved_at"), F.array(F.struct(F.concat("role", n.cast("string")).alias("source"))).alias("provenance"), F.concat(F.lit("https://s/"), n.cast("string")).alias("url"), F.array().cast("array<string>").alias("alternate_urls"),
+    )
+    number = lambda m: F.get_json_object(F.element_at(m, "version"), "$.value")
+    events = F.transform("change_history", lambda e: F.concat(number(e["old_values"]), F.lit(">"), number(e["new_values"])))
+    return history.coalesce_preprints(rows).select("conv_id", "version", F.date_format("first_date", "yyyy-MM-dd").alias("first_date"), F.sha2("abstract", 256).alias("body"), F.array_join(F.col("provenance")["source"], ",").alias("provenance"), F.array_join("alternate_urls", " ").alias("urls"), F.array_join(events, ",").alias("events"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
 def changed_records(spark, sf):
     today = table(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -395,6 +458,27 @@ def apply_enrichment(spark, sf):
     return out.select("doc_id", F.array_join("modalities", ",").alias("modalities"), F.col("classification_method").alias("method"))
 
 
+def _evidence(c: Column) -> Column:
+    """Evidence as one text: category, then label, confidence, fields and method of each entry."""
+    entry = lambda e: F.concat_ws("|", e["label"], e["confidence"].cast("string"), F.array_join(e["matched_phrases"], "+"), F.array_join(e["fields"], "+"), e["method"])
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda m: F.concat(m["key"], F.lit(":"), F.array_join(F.transform(m["value"], entry), ";"))), " / ")
+
+
+@query(f"""WITH {{R}}, m AS (SELECT doc_id, modalities, doc_id % 2 = 0 AS met, list_distinct(['ASO', 'mRNA']) AS given FROM r)
+SELECT doc_id, CASE WHEN met THEN array_to_string(list_concat(CASE WHEN list_contains(modalities, 'mRNA') THEN ['mRNA|1.0|license|abstract|deterministic-rules'] ELSE []::VARCHAR[] END, ['ASO|0.6||llm_enrichment|llm:model'], CASE WHEN list_contains(modalities, 'mRNA') THEN []::VARCHAR[] ELSE ['mRNA|0.6||llm_enrichment|llm:model'] END), ';')
+  WHEN list_contains(modalities, 'mRNA') THEN 'mRNA|1.0|license|abstract|deterministic-rules' ELSE '' END AS evidence, CASE WHEN met THEN 'said' ELSE 'own' END AS summary, CASE WHEN met THEN NULL ELSE 'doubt' END AS doubt, CASE WHEN met THEN 'model v1' END AS metadata FROM m""".replace("{R}", R))
+def apply_enrichment_told(spark, sf):
+    """Evidence for labels that have none, texts taken or replaced, and what the result says about itself."""
+    none = F.array().cast("array<string>")
+    rule = F.struct(F.lit("mRNA").alias("label"), F.lit(1.0).alias("confidence"), F.array(F.lit("license")).alias("matched_phrases"), F.array(F.lit("abstract")).alias("fields"), F.lit("deterministic-rules").alias("method"))
+    evidence = F.when(F.array_contains("modalities", "mRNA"), F.create_map(F.lit("modalities"), F.array(rule).cast(classify.EVIDENCE))).otherwise(F.create_map().cast(f"map<string,{classify.EVIDENCE}>"))
+    df = records(spark, sf).withColumn("input_hash", F.sha2("abstract", 256)).withColumn("classification_evidence", evidence).withColumn("summary", F.lit("own")).withColumn("uncertainty_notes", F.lit("doubt")).withColumn("enrichment_metadata", F.lit(None).cast("struct<provider:string,model:string,input_hash:string>"))
+    results = df.select("id", "input_hash", F.when(F.col("doc_id") % 2 == 0, "model").otherwise("none").alias("provider"), F.lit("v1").alias("model"), F.array(F.lit("ASO"), F.lit("mRNA"), F.lit("made up")).alias("modalities"), F.lit("said").alias("summary"), F.lit(None).cast("string").alias("uncertainty_notes"), none.alias("species"))
+    out = history.apply_enrichment(df, results, ["modalities"], report.VOCABULARIES, ["summary"], ["uncertainty_notes"])
+    told = F.when(F.col("enrichment_metadata").isNotNull(), F.concat_ws(" ", "enrichment_metadata.provider", "enrichment_metadata.model"))
+    return out.select("doc_id", F.regexp_replace(_evidence(F.col("classification_evidence")), "^modalities:", "").alias("evidence"), "summary", F.col("uncertainty_notes").alias("doubt"), told.alias("metadata"))
+
+
 # --- duplicates -------------------------------------------------------------------------------------------------------------
 
 
@@ -596,6 +680,28 @@ def metadata_labels(spark, sf):
     return classify.metadata_labels(_organized(spark, sf)).select("doc_id", F.array_join("companies", ",").alias("companies"), F.array_join("institutions", ",").alias("institutions"))
 
 
+_ORG = "source || CASE WHEN doc_id % 2 = 0 THEN ' University' ELSE ' Pharma Inc' END"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'companies:' ELSE 'institutions:' END || {_ORG} || '|1.0|' || {_ORG} || '|organizations|source-metadata' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '' END || ' / topics:x|0.5|||rules' AS evidence FROM documents")
+def metadata_evidence(spark, sf):
+    none = F.array().cast("array<string>")
+    rule = F.struct(F.lit("x").alias("label"), F.lit(0.5).alias("confidence"), none.alias("matched_phrases"), none.alias("fields"), F.lit("rules").alias("method"))
+    df = _organized(spark, sf).withColumn("classification_evidence", F.create_map(F.lit("topics"), F.array(rule).cast(classify.EVIDENCE)))
+    return classify.metadata_labels(df).select("doc_id", _evidence(F.col("classification_evidence")).alias("evidence"))
+
+
+@query(f"""WITH {R}, d AS (SELECT *, datediff('day', CAST(day AS DATE), DATE '{AS_OF}') AS age, len(modalities) AS m, regexp_matches(lower(abstract), '\\b(?:therapeutic|therapy|treatment|drug|vaccine|clinical trial|approved)\\b') AS anchored FROM r),
+c AS (SELECT doc_id, excluded, CASE WHEN m = 0 THEN 0.0 WHEN anchored THEN 25.0 ELSE 15.0 END AS direct, CASE m WHEN 0 THEN 0.0 WHEN 1 THEN 8.0 ELSE 10.0 END AS specific, CASE WHEN record_type = 'clinical_trial' THEN 10.0 ELSE 0.0 END AS human, CASE WHEN age < 0 THEN 0.0 WHEN age <= 7 THEN 5.0 WHEN age <= 30 THEN 4.0 WHEN age <= 90 THEN 2.0 ELSE 1.0 END AS recent, age, m, anchored FROM d)
+SELECT doc_id, 'direct therapeutic relevance=' || direct || ', RNA modality specificity=' || specific || ', delivery relevance=0.0, translational stage=0.0, human relevance=' || human || ', clinical status change=0.0, regulatory importance=0.0, methodological relevance=0.0, recency=' || recent || ', source corroboration=0.0'
+|| CASE WHEN excluded THEN ', exclusion adjustment=' || CASE WHEN direct + specific + human + recent > 15 THEN 15.0 - (direct + specific + human + recent) ELSE 0.0 END ELSE '' END AS components, CASE WHEN age < 0 THEN 'days=none' ELSE 'days=' || age END AS why, 'modalities=' || m || ' deliveries=0 context=' || anchored AS direct_why FROM c""")
+def score_components(spark, sf):
+    out = classify.score(records(spark, sf).drop("relevance_score", "topics"), AS_OF, updated())
+    of = lambda name: F.get(F.filter("score_components", lambda c: c["name"] == name), F.lit(0))["reason"]
+    said = F.array_join(F.transform("score_components", lambda c: F.concat(c["name"], F.lit("="), c["points"].cast("string"))), ", ")
+    return out.select("doc_id", said.alias("components"), of("recency").alias("why"), of("direct therapeutic relevance").alias("direct_why"))
+
+
 @query(f"""WITH {R}, p AS (SELECT doc_id, excluded, CASE WHEN len(modalities) > 0 THEN 15.0 ELSE 0.0 END + CASE len(modalities) WHEN 0 THEN 0.0 WHEN 1 THEN 8.0 ELSE 10.0 END + CASE WHEN record_type = 'clinical_trial' THEN 10.0 ELSE 0.0 END
 + CASE WHEN day > '{AS_OF}' THEN 0.0 WHEN datediff('day', CAST(day AS DATE), DATE '{AS_OF}') <= 7 THEN 5.0 WHEN datediff('day', CAST(day AS DATE), DATE '{AS_OF}') <= 30 THEN 4.0 WHEN datediff('day', CAST(day AS DATE), DATE '{AS_OF}') <= 90 THEN 2.0 ELSE 1.0 END AS s FROM r)
 SELECT doc_id, CASE WHEN excluded THEN least(s, 15.0) ELSE s END::DOUBLE AS score, CASE WHEN excluded THEN 11 ELSE 10 END AS n_components FROM p""")
