@@ -8,6 +8,8 @@ rewritten character are mapped back to source spans and added. Each text is one
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +34,29 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 AT_WORDS, DOT_WORDS = ["at", "arroba"], ["dot", "punkt", "punto", "point"]
 #: Last labels that an address written with bare words must end in, as "at" and "dot" are common words.
 LAST_LABELS = ["com", "org", "net", "edu", "gov", "int", "info", "biz", "io", "ai", "app", "dev", "co", "us", "uk", "eu", "de", "fr", "es", "it", "nl", "ch", "at", "ca", "au", "jp", "cn", "in", "br", "mx"]
+#: Words that announce an address, and words that stand before "at" in any sentence and name no mailbox.
+CUES = ["mail", "email", "e-mail", "contact", "to", "from", "cc", "write", "address", "reach"]
+NO_NAMES = ["look", "looking", "looked", "visit", "visiting", "me", "us", "you", "him", "her", "it", "them", "be", "is", "are", "was", "were", "meet", "met", "arrive", "stay", "live", "work", "working", "only", "here", "there", "available", "found", "home", "and", "or", "not", "this", "that"]
 #: Digit words in a row that count as a number written out.
 MIN_SPELLED = 7
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _at, _dot, _digit = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(DIGIT_WORDS)
+_at_in, _dot_in = _at + "|@", _dot + r"|\."  # within brackets
 _LOOK = "".join(HOMOGLYPHS) + "\uff01-\uff5e" + _INVISIBLE
 _LOOKS = f"[{_LOOK}]"
 _BRACKETED = r"\s?[(\[{{<]\s?(?:{})\s?[)\]}}>]\s?"
 _SPELLED = rf"\b(?:plus[\s-]{{1,3}})?(?:{_digit}|[0-9]+)(?:[\s,-]{{1,3}}(?:{_digit}|[0-9]+))+\b"
-_LABEL = rf"[A-Za-z0-9{_LOOK}-]{{1,63}}"
-_AT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_at)})|(?P<bare>\s(?:{_at})\s)|@")
-_DOT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_dot)})|(?P<bare>\s(?:{_dot})\s)|\.")
+_LABEL = rf"[A-Za-z0-9{_LOOK}-]+"
+_AT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_at_in)})|(?P<bare>\s(?:{_at})\s)|@")
+_DOT = re.compile(rf"(?i)(?P<bracket>{_BRACKETED.format(_dot_in)})|(?P<bare>\s(?:{_dot})\s)|\.")
 _NEXT = re.compile(_LABEL)
-_NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_BRACKETED.format(_dot)}|\s(?:{_dot})\s|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
+_PART = rf"(?:{_digit}|[0-9])(?:[\s-]{{0,3}}(?:{_digit}|[0-9])){{0,2}}"
+_NUMBERS = re.compile(rf"(?i)(?<![0-9A-Za-z]){_PART}(?:(?:{_BRACKETED.format(_dot_in)}|\s(?:{_dot})\s|\.){_PART}){{3}}(?![0-9A-Za-z])")
+_SAID = re.compile(rf"(?i){_digit}|[0-9]")
 _LOCAL_SIDE = re.compile(f"[A-Za-z0-9._%+{_LOOK}-]")
-_DISGUISE = re.compile(rf"(?i:{_BRACKETED.format(_at + '|' + _dot)}|\b(?:{_digit})[\s,-]{{1,3}}(?:{_digit}|[0-9])|[0-9][\s,-]{{1,3}}(?:{_digit})\b)|{_LOOKS}|(?i:\s(?:{_dot})\s|\s(?:{_at})\s{_LABEL}\.[A-Za-z0-9])")
-_REWRITE = re.compile(rf"(?P<bracket>(?i:{_BRACKETED.format(_at + '|' + _dot)}))|(?P<spelled>(?i:{_SPELLED}))|(?P<looks>{_LOOKS})")
+_DISGUISE = re.compile(rf"(?i:{_BRACKETED.format(_at_in + '|' + _dot_in)}|\b(?:{_digit})[\s,-]{{1,3}}(?:{_digit}|[0-9])|[0-9][\s,-]{{1,3}}(?:{_digit})\b)|{_LOOKS}|(?i:\s(?:{_dot})\s|\s(?:{_at})\s{_LABEL}\.[A-Za-z0-9])")
+_REWRITE = re.compile(rf"(?P<bracket>(?i:{_BRACKETED.format(_at_in + '|' + _dot_in)}))|(?P<spelled>(?i:{_SPELLED}))|(?P<looks>{_LOOKS})")
 
 
 def _digits(s: str) -> str:
@@ -88,11 +96,33 @@ def _plain(s: str) -> str:
     return "".join("" if c in _INVISIBLE else HOMOGLYPHS.get(c) or (chr(ord(c) - 0xFEE0) if "\uff01" <= c <= "\uff5e" else c) for c in s)
 
 
+def _mailbox(text: str, end: int) -> bool:
+    """Whether the word that ends there has a digit, or one of ._%+- within it, or follows a word that announces an address and
+    isn't one of NO_NAMES."""
+    start = end
+    while start > 0 and _LOCAL_SIDE.match(text[start - 1]):
+        start -= 1
+    word = text[start:end].strip("._%+-")
+    if any(c.isdigit() or c in "._%+-" for c in word):
+        return True
+    before = _plain(text[max(0, start - 12) : start]).lower().split()
+    return bool(before) and before[-1].strip(":,;(") in CUES and _plain(word).lower() not in NO_NAMES
+
+
+def _spoken(text: str, start: int, end: int) -> dict[int, tuple[str, int]]:
+    """The digits of one part of a number: each takes what separates it from the next."""
+    said = list(_SAID.finditer(text, start, end))
+    ends = [*[x.start() for x in said[1:]], end]
+    return {x.start(): (DIGIT_WORDS.get(x[0].lower(), x[0]), b) for x, b in zip(said, ends, strict=True)}
+
+
 def _addresses(text: str) -> dict[int, tuple[str, int]]:
     """What the at and the dots of written addresses become, by source start: (character, source end).
 
     At and dot may each be bracketed, bare or plain. An address with a bare "at" and no bracketed dot must end in one of
-    LAST_LABELS and not begin with www, as "at" stands before places and sites too; others may end in any label.
+    LAST_LABELS and not begin with www, as "at" stands before places and sites too; others may end in any label. If its dots are
+    all plain, as in "look at example.com", the word before must look like a mailbox: have a digit, or a sign between letters, or be announced as in "write to".
+    Of numbers of four parts, digits may be words.
     """
     out: dict[int, tuple[str, int]] = {}
     for m in _AT.finditer(text):
@@ -107,6 +137,8 @@ def _addresses(text: str) -> dict[int, tuple[str, int]]:
         marked = any(d.lastgroup == "bracket" for d in dots)
         if m.lastgroup == "bare" and not marked:
             n = 0 if first == "www" else max(ends, default=0)
+            if n and all(d.lastgroup is None for d in dots[:n]) and not _mailbox(text, m.start()):
+                n = 0
         else:
             # Bare dots after the last known label are rather words of the sentence.
             n = max(ends, default=0) if ends and all(d.lastgroup == "bare" for d in dots[max(ends) :]) else len(dots)
@@ -114,7 +146,12 @@ def _addresses(text: str) -> dict[int, tuple[str, int]]:
             out[m.start()] = ("@", m.end())
             out.update({d.start(): (".", d.end()) for d in dots[:n]})
     for m in _NUMBERS.finditer(text):
-        out.update({d.start(): (".", d.end()) for d in _DOT.finditer(text, m.start(), m.end())})
+        at = m.start()
+        for d in _DOT.finditer(text, m.start(), m.end()):
+            out.update(_spoken(text, at, d.start()))
+            out[d.start()] = (".", d.end())
+            at = d.end()
+        out.update(_spoken(text, at, m.end()))
     return {a: (c, b) for a, (c, b) in out.items() if text[a:b] != c}
 
 
@@ -122,7 +159,7 @@ def _rewritten(m: re.Match) -> list[tuple[str, int, int]]:
     """What a disguise becomes: (characters, source start, source end)."""
     s, a, b = m[0], m.start(), m.end()
     if m.lastgroup == "bracket":
-        return [("@" if re.search(rf"(?i)\b(?:{_at})\b", s) else ".", a, b)]
+        return [("@" if re.search(rf"(?i)\b(?:{_at})\b|@", s) else ".", a, b)]
     if m.lastgroup == "looks":
         return [] if s in _INVISIBLE else [(_plain(s), a, b)]
     said = list(re.finditer(rf"(?i)\b(?:{_digit})\b|[0-9]", s))
@@ -166,11 +203,14 @@ def find_disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
             put(c, a, b, True)
             last = b
     rest(last, len(text))
+    # Base spans by start, with the furthest end so far: one lookup tells whether any holds a span whole.
+    first, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
     out = []
     for a, kind, b in find_identifiers("".join(pieces)):
         if any(fresh[a:b]) or starts[a] + b - a != ends[b - 1]:
             lo, hi = starts[a], ends[b - 1]
-            if not any(x <= lo and hi <= y for x, _, y in base):
+            n = bisect_right(first, lo)
+            if not n or reach[n - 1] < hi:
                 out.append((lo, kind, hi))
     return out
 

@@ -145,7 +145,8 @@ def restore(text: str, read) -> str:
 
 
 def _words(text: str) -> list[bytes]:
-    return text.encode().translate(WORDS_OF).split()
+    """Words in lower case, as the markers are learned, whatever letters they have."""
+    return (text if text.isascii() else text.lower()).encode().translate(WORDS_OF).split()
 
 
 def _signal(text: str | None, read: _Reader, weights: dict[bytes, float]) -> float:
@@ -283,7 +284,9 @@ def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 def score_toxicity(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
     """docs with a column `toxicity` (0 to 1) added; every row and column stays. Null and empty texts score as texts without
-    any marker. docs must not have a column of that name."""
+    any marker. A column of that name in docs is an error."""
+    if "toxicity" in docs.columns:
+        raise ValueError("docs must not have a column named toxicity")
     arrow_sized(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxicity double"
     return docs.mapInArrow(_scores(*model, docs.columns.index(text_col)), schema)
