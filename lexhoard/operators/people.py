@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexhoard.functions.text import ascii_fold, empty_to_null, normalize_orcid
+from lexhoard.operators.select import clause_condition
 
 #: A roster beyond this many name rows is joined by shuffle and not broadcast.
 BROADCAST_NAMES = 200_000
@@ -63,6 +66,19 @@ def with_watched_people(records: DataFrame, people: DataFrame) -> DataFrame:
     return records.drop("watched_people").join(found, "id", "left").withColumn("watched_people", F.coalesce("watched_people", F.array().cast("array<string>")))
 
 
-def discover_by_people(works: DataFrame, people: DataFrame) -> DataFrame:
-    """Works with a watched author."""
+def discover_by_people(works: DataFrame, people: DataFrame, order: str | None = None) -> DataFrame:
+    """Works with a watched author. With `order`, of works with one id the last one by it is looked at, and its body counts."""
+    if order:
+        body = F.struct(*works.columns)
+        works = works.groupBy("id").agg(F.max_by(body, F.struct(order, F.to_json(body))).alias("_last")).select("_last.*")
     return works.join(match_people(works, people).select("id").distinct(), "id", "left_semi")
+
+
+def discover(df: DataFrame, clauses: list[list[str]], people: DataFrame, since: date | str, until: date | str, text: Column, published: str, revised: str) -> DataFrame:
+    """Records published or revised within the window that meet a clause (see `select.discovery_filter`) or have a watched author. Only
+    records of the window are looked at for authors."""
+    lo, hi = F.lit(str(since)).cast("date"), F.lit(str(until)).cast("date")
+    inside = df.where(F.coalesce(F.col(published).between(lo, hi), F.lit(False)) | F.coalesce(F.col(revised).between(lo, hi), F.lit(False)))
+    watched = match_people(inside, people).select("id").distinct().withColumn("_watched", F.lit(True))
+    met = F.coalesce(clause_condition(clauses, text), F.lit(False))
+    return inside.join(watched, "id", "left").where(met | F.coalesce("_watched", F.lit(False))).drop("_watched")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhoard.functions.dates import display_date, in_last_days, retention_date
@@ -47,8 +47,8 @@ def apply_query_scope(df: DataFrame, include: list[str], exclude: list[str] = ()
     return kept.withColumn("excluded", excluded | old).withColumn("exclusion_reasons", F.when(excluded, F.col("_reasons")).otherwise(before)).drop("_reasons")
 
 
-def discovery_filter(df: DataFrame, clauses: list[list[str]], since: date | str, until: date | str, text: Column, published: str, revised: str) -> DataFrame:
-    """Any clause (all of its phrases, as words) in the text, and published or revised within the window."""
+def clause_condition(clauses: list[list[str]], text: Column) -> Column:
+    """Whether all phrases of any clause stand in the text, as words."""
     quoted = lambda p: r"(?iU)\b" + "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in p) + r"\b"
     every = []
     for clause in clauses:
@@ -56,8 +56,14 @@ def discovery_filter(df: DataFrame, clauses: list[list[str]], since: date | str,
         for phrase in clause:
             c = c & text.rlike(quoted(phrase))
         every.append(c)
+    return _any(every)
+
+
+def discovery_filter(df: DataFrame, clauses: list[list[str]], since: date | str, until: date | str, text: Column, published: str, revised: str) -> DataFrame:
+    """Any clause (all of its phrases, as words) in the text, and published or revised within the window. With watched authors
+    beside the clauses: `people.discover`."""
     lo, hi = F.lit(str(since)).cast("date"), F.lit(str(until)).cast("date")
-    return df.where(_any(every) & _any([F.col(published).between(lo, hi), F.col(revised).between(lo, hi)]))
+    return df.where(clause_condition(clauses, text) & _any([F.col(published).between(lo, hi), F.col(revised).between(lo, hi)]))
 
 
 def trial_filter(df: DataFrame, terms: list[str], since: date | str, until: date | str, text: Column, study_type: str = "study_type", updated: str = "updated_date") -> DataFrame:
@@ -122,27 +128,41 @@ def academic() -> Column:
     return (F.size("institutions") > 0) | F.exists("organizations", lambda o: (o["organization_type"] == "affiliation") & o["name"].rlike(ACADEMIC_WORDS))
 
 
-def preset(name: str) -> Column:
-    """Condition of a named view; unknown names hold for all rows."""
+def presets() -> dict[str, Column]:
+    """Conditions of the named views."""
     has, starts = F.array_contains, lambda p: F.exists("development_stages", lambda s: s.startswith(p))
-    made = {
-        "mrna": lambda: has("modalities", "mRNA"),
-        "sirna": lambda: has("modalities", "siRNA"),
-        "aso": lambda: has("modalities", "ASO"),
-        "crispr": lambda: technology("CRISPR"),
-        "base-editing": lambda: technology("base editing"),
-        "industry": industry,
-        "academic": academic,
-        "clinical": lambda: (F.col("record_type") == "clinical_trial") | starts("Phase"),
-        "preclinical": lambda: starts("preclinical"),
-        "delivery": lambda: (F.size("delivery_systems") > 0) | has("topics", "delivery"),
-        "regulatory": lambda: (F.col("record_type") == "regulatory") | (F.col("evidence_level") == "regulatory document") | has("topics", "regulation"),
-        "aptamers": lambda: has("modalities", "aptamer"),
-        "nanotechnology": lambda: has("modalities", "RNA nanostructure"),
-        "trial-changes": lambda: (F.col("record_type") == "clinical_trial") & (F.size("change_history") > 0),
-        "watched-authors": lambda: F.size("watched_people") > 0,
+    return {
+        "mrna": has("modalities", "mRNA"),
+        "sirna": has("modalities", "siRNA"),
+        "aso": has("modalities", "ASO"),
+        "crispr": technology("CRISPR"),
+        "base-editing": technology("base editing"),
+        "industry": industry(),
+        "academic": academic(),
+        "clinical": (F.col("record_type") == "clinical_trial") | starts("Phase"),
+        "preclinical": starts("preclinical"),
+        "delivery": (F.size("delivery_systems") > 0) | has("topics", "delivery"),
+        "regulatory": (F.col("record_type") == "regulatory") | (F.col("evidence_level") == "regulatory document") | has("topics", "regulation"),
+        "aptamers": has("modalities", "aptamer"),
+        "nanotechnology": has("modalities", "RNA nanostructure"),
+        "trial-changes": (F.col("record_type") == "clinical_trial") & (F.size("change_history") > 0),
+        "watched-authors": F.size("watched_people") > 0,
     }
-    return made[name]() if name in made else F.lit(True)
+
+
+def preset(name: str) -> Column:
+    """Condition of a named view; unknown names hold for all rows."""
+    return presets().get(name, F.lit(True))
+
+
+#: Technologies that records can be filtered by.
+TECHNOLOGIES = ["mRNA", "siRNA", "ASO", "CRISPR", "base editing", "gene editing"]
+
+
+def matched_views(df: DataFrame) -> DataFrame:
+    """df with `views`, the named views and technologies that each record belongs to, found in one pass."""
+    named = presets() | {f"technology {t}": technology(t) for t in TECHNOLOGIES}
+    return df.withColumn("views", F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in named.items()]), lambda x: x.isNotNull()))
 
 
 def technology_filter(df: DataFrame, value: str) -> DataFrame:
@@ -236,6 +256,19 @@ def flat_view(df: DataFrame, when: Column | None = None) -> DataFrame:
     return df.select(day, *[(F.concat_ws("; ", c) if kinds.get(c, "").startswith("array") else F.col(c) if c in kinds else F.lit(None).cast("string")).alias(c) for c in FLAT[1:]])
 
 
+def write_flat_csv(df: DataFrame, path: str, when: Column | None = None) -> None:
+    """`flat_view` as CSV with a header, every value in quotes and quotes within values doubled; nulls are empty, whole numbers have no
+    decimal point."""
+    plain = lambda c, kind: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "") if kind in ("double", "float") else F.col(c).cast("string")
+    flat = flat_view(df, when)
+    out = flat.select(*[F.coalesce(plain(c, kind), F.lit("")).alias(c) for c, kind in flat.dtypes])
+    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_flat_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").schema(", ".join(f"{c} string" for c in FLAT)).csv(path)
+
+
 def union_sources(*dfs: DataFrame) -> DataFrame:
     out = dfs[0]
     for df in dfs[1:]:

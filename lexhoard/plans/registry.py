@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
 from lexhoard.operators import classify, dedup, history, index, people, report, select
-from lexhoard.plans import jobs, landed, streams
+from lexhoard.plans import jobs, landed, streams, views
 from lexhoard.session import shared_dir, table
 
 AS_OF, LATER = "2024-02-15", "2024-03-15"
@@ -366,6 +366,25 @@ def fill_missing(spark, sf):
     return history.fill_missing(rows, works, ["publisher"]).select("o_orderkey", "publisher", (F.size("filled_fields") > 0).alias("filled"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS id, n_name, lower(replace(c_name, '#', '')) AS name, c_mktsegment AS segment, CAST(CAST(DATE '2024-01-01' + CAST(c_custkey % 60 AS INTEGER) AS DATE) AS VARCHAR) AS day FROM customer JOIN nation ON n_nationkey = c_nationkey),
+s AS (SELECT s_suppkey AS person, n_name AS term, 'customer' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS family FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 <> 0),
+m AS (SELECT DISTINCT id FROM (SELECT id FROM c JOIN s ON id % 50 = 0 AND id = person * 50 UNION ALL SELECT id FROM c JOIN s ON name = family WHERE CASE WHEN person % 2 = 0 THEN contains(lower(n_name), lower(term)) ELSE person % 3 <> 0 END))
+SELECT id FROM c WHERE day BETWEEN '2024-01-10' AND '2024-02-10' AND (segment = 'BUILDING' OR id IN (SELECT id FROM m))""")
+def discover(spark, sf):
+    """By a clause or a watched author, within a window."""
+    authors = _authors(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), "id").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")))
+    return people.discover(authors, [["building"]], _roster(spark, sf), "2024-01-10", "2024-02-10", F.col("segment"), "day", "day").select("id")
+
+
+@query("""SELECT c_custkey AS id, 'new' AS body FROM customer WHERE c_custkey % 50 = 0 AND c_custkey // 50 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0) AND c_custkey % 3 <> 0""")
+def discover_last_body(spark, sf):
+    """Works that come twice: the earlier one has the author, the later one's body counts, which every third lacks."""
+    old = _authors(spark, sf).where("id % 50 = 0").select("id", F.transform("authors", lambda a: F.struct(F.lit("X").alias("name"), a["orcid"].alias("orcid"), a["affiliations"].alias("affiliations"))).alias("authors"))
+    new = old.withColumn("authors", F.when(F.col("id") % 3 != 0, F.col("authors")).otherwise(F.slice("authors", 1, 0)))
+    works = old.withColumn("body", F.lit("old")).withColumn("at", F.lit(1)).unionByName(new.withColumn("body", F.lit("new")).withColumn("at", F.lit(2)))
+    return people.discover_by_people(works, _roster(spark, sf), "at").select("id", "body")
+
+
 def _maps(m: Column) -> Column:
     """A map of texts as one text."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
@@ -748,8 +767,8 @@ def validate_records(spark, sf):
     return out.select("id", "field", F.array_join("bad_values", ",").alias("bad"))
 
 
-_QUERIES |= streams.QUERIES | landed.QUERIES
-_SQL |= streams.SQL | landed.SQL
+_QUERIES |= streams.QUERIES | landed.QUERIES | views.QUERIES
+_SQL |= streams.SQL | landed.SQL | views.SQL
 
 
 def queries() -> dict:
