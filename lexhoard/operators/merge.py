@@ -34,8 +34,9 @@ def _entries(i: int, c: str, kind: str) -> Column:
     return F.coalesce(made, F.from_json(F.lit("[]"), "array<struct<i:int,k:string,v:string,at:int>>"))
 
 
-def merge_records(df: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+def merge_records(df: DataFrame, reasons: DataFrame | None = None, name: str = "id") -> DataFrame:
     """One row per cluster. df: cluster, id (once per cluster), source_types and any other columns; reasons: (cluster, reason).
+    `name` is the column by which a record goes if that isn't what tells members apart.
 
     Members rank by source quality, then id, both descending. Fields of BEST_ONLY are the best member's; first_date is the
     least, updated_date and version the greatest; excluded only if all members are; an abstract of a `pubmed` member, the first by
@@ -48,7 +49,7 @@ def merge_records(df: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
     No list is longer than what it unites without repeats, so that copies of a record cost no memory.
     """
     kinds = dict(df.dtypes)
-    have = [c for c in df.columns if c not in ("cluster", "id")]
+    have = [c for c in df.columns if c not in ("cluster", "id", name)]
     plain = [c for c in have if kinds[c] != "array<string>" and not kinds[c].startswith("map") and not (kinds[c].startswith("array") and c != "authors")]
     united = [c for c in have if c not in plain and c not in (*BEST_ONLY, "alternate_urls")]
     singular = [c for c in have if c not in united and c != "alternate_urls"]
@@ -72,7 +73,7 @@ def merge_records(df: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
     ranked = df.withColumn("_q", quality(F.col("source_types")))
     has_provenance = kinds.get("provenance", "").startswith("array<struct")
     extra = [F.max_by(F.element_at(F.when(F.size("provenance") > 0, F.col("provenance")), -1), rank).alias("_last")] if has_provenance else []
-    rows = ranked.groupBy("cluster").agg(F.max_by("id", rank).alias("_best"), F.count("*").cast("int").alias("n_members"), *[survivor(c).alias(c) for c in singular], *extra)
+    rows = ranked.groupBy("cluster").agg(F.max_by(name, rank).alias("_best"), F.count("*").cast("int").alias("n_members"), *[survivor(c).alias(c) for c in singular], *extra)
 
     # Values of arrays and maps, each once: with the first place by id, and by the best member's value.
     made = [_entries(i, c, kinds[c]) for i, c in enumerate(united)]

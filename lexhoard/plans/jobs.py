@@ -20,8 +20,9 @@ FILLED = ["publisher", "journal", "issn", "license", "abstract", "publication_da
 
 @dataclass(frozen=True)
 class Corpus:
-    """members: every source row that went into a record, one per id: its columns, `cluster`, and `version`, the hash of the row as
-    it came in. records: one row per cluster, merged and labelled."""
+    """members: every source row that went into a record: its columns, with `id` naming the row by id and source (see `member_key`),
+    `record_id`, its own id, `cluster`, and `version_hash`, the hash of the row as it came in. records: one row per cluster, merged and
+    labelled."""
 
     members: DataFrame
     records: DataFrame
@@ -70,6 +71,11 @@ def _published(df: DataFrame) -> Column:
     return dedup.normalize_doi(F.col("preprint")["published_doi"]) if "preprint" in df.columns else F.lit(None).cast("string")
 
 
+def member_key() -> Column:
+    """What tells source rows apart: two sources may give a record of one id. Sorts as the ids do."""
+    return F.concat_ws(" @", "id", F.get(F.col("source_types"), F.lit(0)))
+
+
 def link_keys(df: DataFrame) -> Column:
     """Every text that two records must have in common to be linked by `exact_links`, so that what a new row can touch is found by
     them. A preprint's published DOI is a key like a record's own."""
@@ -92,14 +98,14 @@ def exact_links(df: DataFrame) -> DataFrame:
 def step(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, links: Callable[[DataFrame], DataFrame] = exact_links) -> Step:
     """Attributes people, fills metadata, keeps changed rows, and merges again the clusters they touch from all their members.
 
-    incoming: id, source_types, authors, excluded and any other columns, all of which stay; the newest row of an id counts (by
-    retrieved_at, if there is one). A row is changed if no member has its id and version. A cluster is touched if a changed row is or
+    incoming: id, source_types, authors, excluded and any other columns, all of which stay; the newest row of an id and source counts
+    (by retrieved_at, if there is one). A row is changed if no member has its key and version. A cluster is touched if a changed row is or
     was a member of it, or shares a key with one of its members; no other cluster can gain or lose a link, so none is read beyond
     its keys. A changed row that was a member before tells its changes of tracked fields as events.
     """
     attributed = people.with_watched_people(incoming, roster)
     filled = history.fill_missing(attributed, works, [c for c in FILLED if c in incoming.columns and c in works.columns], source="crossref").drop("filled_fields")
-    stamped = filled.withColumn("version_hash", ids.content_fingerprint(filled))
+    stamped = filled.withColumn("version_hash", ids.content_fingerprint(filled)).withColumn("record_id", F.col("id")).withColumn("id", member_key())
     newest = Window.partitionBy("id").orderBy(*([F.col("retrieved_at").desc_nulls_last()] if "retrieved_at" in incoming.columns else []), F.col("version_hash"))
     stamped = stamped.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
     if existing is None:
@@ -122,8 +128,8 @@ def step(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works:
     grouped = saved(joined.withColumn("alone", F.col("cluster").isNull()).withColumn("cluster", F.coalesce("cluster", "id")))
     body = [c for c in grouped.columns if c not in ("alone", "version_hash")]
     reasons = edges.select(F.col("left_id").alias("id"), "reason").join(clusters, "id").select("cluster", "reason").distinct()
-    merged = merge_records(grouped.where("not alone").select(body), reasons)
-    single = grouped.where("alone").select(*body, F.lit(1).alias("n_members"))
+    merged = merge_records(grouped.where("not alone").select(body), reasons, "record_id")
+    single = grouped.where("alone").select(*body, F.lit(1).alias("n_members")).drop("id").withColumnRenamed("record_id", "id")
     records = saved(classify.classify(union_of(merged, single), rules))
     gone = touched.join(records.select("cluster"), "cluster", "left_anti") if touched is not None else changed.select(F.col("id").alias("cluster")).limit(0)
     return Step(changed, grouped.drop("alone"), records, dedup.merge_decisions(clusters, edges), gone)

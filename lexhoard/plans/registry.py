@@ -648,7 +648,7 @@ def _told(kept):
 def _merged_sql(rows: str, having: str) -> str:
     """Records of `rows` (id, doi, title, abstract, source, lang, excluded, day), merged by DOI."""
     union = lambda values: f"(SELECT string_agg(v, ',' ORDER BY id, pos) FROM (SELECT DISTINCT ON (v) v, id, pos FROM (SELECT id, unnest({values}) AS v, generate_subscripts({values}, 1) AS pos FROM {rows} m WHERE m.doi = g.doi) ORDER BY v, id, pos))"
-    return f"""SELECT min(id) AS cluster, CASE WHEN count(*) > 1 THEN 'doi:' || g.doi ELSE min(id) END AS id, count(*) AS n_rows, arg_max(title, id) FILTER (title <> '') AS title,
+    return f"""SELECT min(id || ' @' || source) AS cluster, CASE WHEN count(*) > 1 THEN 'doi:' || g.doi ELSE min(id) END AS id, count(*) AS n_rows, arg_max(title, id) FILTER (title <> '') AS title,
 sha256(arg_max(abstract, id) FILTER (abstract <> '')) AS abstract_sha, {union("[source]")} AS sources, {union("['k' || id, lang]")} AS keywords, bool_and(excluded) AS excluded, max(day) AS day FROM {rows} g GROUP BY g.doi {having}"""
 
 

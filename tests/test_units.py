@@ -167,7 +167,7 @@ def test_update_takes_its_own_output(spark):
     out = {r["id"]: r for r in first.records.collect()}
     assert out["3"]["publisher"] == "Press" and out["5"]["authors"][0]["name"] == "Ada Doe" and len(out["5"]["watched_people"]) == 1
     both = out["doi:10.1/6"]
-    assert both["keywords"] == ["k6", "x"] and both["publisher"] == "P" and both["n_members"] == 2 and both["cluster"] == "6"
+    assert both["keywords"] == ["k6", "x"] and both["publisher"] == "P" and both["n_members"] == 2 and both["cluster"] == "6 @pubmed"
     again = run(first.corpus)
     assert again.report.first()["changed"] == 0 and set(again.records.columns) == set(first.records.columns)
     assert {r["id"]: r for r in again.records.select(sorted(first.records.columns)).collect()} == {r["id"]: r for r in first.records.select(sorted(first.records.columns)).collect()}

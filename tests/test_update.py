@@ -57,7 +57,7 @@ def test_other_members_keep_their_values(job):
     # The row that stood alone takes the DOI of the one that left.
     fifth = job(fourth.corpus, _row("c", "10.1/C", "rss", "alone", "text", ["kc"], at=4))
     assert _seen(fifth) == {("ka2", "kd"): ("doi:10.1/x", "best", "new"), ("kb", "kc"): ("doi:10.1/c", "other", "theirs")}
-    assert [(r["kept_id"], r["merged_id"], r["reason"]) for r in fifth.decisions.collect()] == [("b", "c", "same DOI")]
+    assert [(r["kept_id"], r["merged_id"], r["reason"]) for r in fifth.decisions.collect()] == [("b @crossref", "c @rss", "same DOI")]
 
 
 def test_pruned_records_take_their_members_along(job):
@@ -88,7 +88,7 @@ def test_batches_write_touched_folders_only_and_run_again_without_change(spark,
     one = job.table([_row("i6", "10.1/3", keywords=["new"], at=2)])
     batch(one, 1)
     now = state()
-    assert now[1]["i6"] == ("doi:10.1/3", ("new", "k7")) and {k: v for k, v in now[1].items() if k != "i6"} == {k: v for k, v in was[1].items() if k != "i6"}
+    assert now[1]["i6 @rss"] == ("doi:10.1/3", ("new", "k7")) and {k: v for k, v in now[1].items() if k != "i6 @rss"} == {k: v for k, v in was[1].items() if k != "i6 @rss"}
     kept = [p for p in before if p in files()]
     assert len(kept) >= 11 and len(kept) < 16  # of 16 folders, those of i6 and i7 and of their record are new
     # A batch that failed after its records were written makes the same ones and writes the members.
@@ -97,7 +97,7 @@ def test_batches_write_touched_folders_only_and_run_again_without_change(spark,
     assert state() == now
     # A cluster that is no more goes.
     batch(job.table([_row("i6", "10.1/4", keywords=["new"], at=3), _row("i7", "10.1/4", at=3)]), 2)
-    assert set(state()[1]) == set(was[1]) - {"i8"} and len(state()[1]["i6"][1]) == 3
+    assert set(state()[1]) == set(was[1]) - {"i8 @rss"} and len(state()[1]["i6 @rss"][1]) == 3
 
 
 def test_upsert_is_idempotent_and_older_rows_do_not_return(spark, tmp_path):
