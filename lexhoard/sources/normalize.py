@@ -276,7 +276,7 @@ def normalize_feeds(df: DataFrame, feeds: DataFrame, per_feed: int | None = None
         F.coalesce(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("rss:"), "native")).alias("id"), F.when(regulatory, "regulatory").otherwise("news").alias("record_type"), F.array(F.lit("rss"), "_type").alias("source_types"), "native", "title", "description", "authors",
         _organizations(_some(F.col("_by")), "publisher").alias("organizations"), F.col("feed").alias("journal_or_source"), F.col("_by").alias("publisher"), "doi", "url", _some(_doi_url(F.col("doi"))).alias("alternate_urls"),
         F.coalesce(F.col("_published")["value"], F.col("_updated")["value"]).alias("first_date"), F.col("_published")["value"].alias("published_date"), F.col("_updated")["value"].alias("updated_date"),
-        _precision(published_date=F.col("_published"), first_date=F.coalesce("_published", F.lit(None)), updated_date=F.col("_updated")).alias("date_precision"), F.when(regulatory, "regulatory document").otherwise("news or announcement").alias("evidence_level"), *_carried(df),
+        _precision(published_date=F.col("_published"), first_date=F.col("_published"), updated_date=F.col("_updated")).alias("date_precision"), F.when(regulatory, "regulatory document").otherwise("news or announcement").alias("evidence_level"), *_carried(df),
     )
     fields = ["title", "description", "authors", "published_date", "updated_date"]
     key = F.concat(F.lit("rss:"), "journal_or_source")
