@@ -13,7 +13,8 @@ well (n / 4 + 1 of them, of which a partner has one), which covers pairs of two
 
 Elements found in very many sets have first-level partitions of their own, last in the order, so that common passages bring few sets
 together. Equal sets are one class throughout. Classes that share a signature are held against the smallest of them, which joins
-large groups of near copies with one comparison each. Groups that still hold several components are compared in units of
+large groups of near copies with one comparison each; a class that has several such hubs is held against the closest one, and
+against each that has no other class. Groups that still hold several components are compared in units of
 bounded size, the members of the largest component against the others only, by parity sketches that never pass over a link. Of
 what the sketches leave, a first round lists a forest and a second round, after its links have joined components, whatever is
 left between components. Every pair listed is verified on the texts.
@@ -404,7 +405,8 @@ def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _units(groups: DataFrame, components: DataFrame, one: DataFrame) -> DataFrame:
-    """Rows (unit, cls, component, n, outside, sketch) of the groups that hold several components.
+    """Rows (unit, cls, component, n, outside, sketch) of the groups of three or more that hold several components. Pairs of a group of
+    two are verified before.
 
     The members outside a group's largest component meet all members, in units of bounded size: a group of m members with r
     outside makes about r * m / TOGETHER ** 2 units, one if both fit.
@@ -457,7 +459,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = members.where("cls is not null").groupBy("cls").agg(F.min("k").alias("k"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     one = saved(one.join(groups.select("cls").distinct(), "cls", "left_semi"))
 
-    closest = pairs.groupBy("cls").agg(F.max(F.struct("times", "hub")).alias("best")).select("cls", "best.hub").join(one.select("cls", "n", "sketch"), "cls")
+    # The closest hub of each class, and the one class of each hub that has no other: `_units` compares the larger groups.
+    first = pairs.groupBy("cls").agg(F.max(F.struct("times", "hub")).alias("best")).select("best.hub", "cls")
+    alone = pairs.groupBy("hub").agg(F.min("cls").alias("cls"), F.count("*").alias("m")).where("m = 1").select("hub", "cls")
+    closest = first.union(alone).distinct().join(one.select("cls", "n", "sketch"), "cls")
     hubs = one.select(F.col("cls").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("sketch_hub"))
     sized = closest.join(hubs, "hub").where("4 * n >= 3 * n_hub and 4 * n_hub >= 3 * n")
     near = saved(sized.mapInArrow(_near_sketches, "hub long, cls long"))

@@ -229,6 +229,21 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_two_hubs(spark):
+    """Texts linked to two others that are not linked: in groups of two, the second hub's link must count as well."""
+    rows, want = [], []
+    for c in range(300):
+        words = [f"w{c}x{i}" for i in range(8)]
+        texts = {3 * c: words[:7], 3 * c + 1: words, 3 * c + 2: words[1:]}
+        sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in texts.items()}
+        near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+        assert near(3 * c, 3 * c + 1) and near(3 * c + 1, 3 * c + 2) and not near(3 * c, 3 * c + 2)
+        rows += [(i, " ".join(w)) for i, w in texts.items()]
+        want += [(i, 3 * c) for i in texts]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == want
+
+
 @pytest.mark.parametrize(("together", "spread"), [(4000, 500), (12, 5), (1, 1)])
 def test_jaccard_families(spark, monkeypatch, together, spread):
     """Many variants near the threshold, whose links only partly run over one hub."""
