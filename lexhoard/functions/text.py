@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 import unicodedata
 
@@ -124,10 +123,152 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(left) > 0) & (F.size(right) > 0), both / (F.size(left) + F.size(right) - both)).otherwise(0.0)
 
 
+def _alike(a: str, b: str, i: int, j: int, n: int) -> int:
+    """Characters, n at most, that agree from a[i] and b[j] on: some one by one, then in slices of growing and falling length."""
+    same, width = 0, 64
+    while same < n and same < 32:
+        if a[i + same] != b[j + same]:
+            return same
+        same += 1
+    while same < n and width:
+        width = min(width, n - same)
+        if a[i + same : i + same + width] == b[j + same : j + same + width]:
+            same, width = same + width, 2 * width
+        else:
+            n, width = same + width - 1, width // 2
+    return same
+
+
+def _longest_by_automaton(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """As `_longest_match`, by the suffix automaton of b's part: in time of both lengths, however often pieces recur."""
+    follow, link, size, last = [{}], [-1], [0], 0
+    for c in b[blo:bhi]:
+        now, p = len(size), last
+        follow.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if size[q] > size[p] + 1:
+                copy = len(size)
+                follow.append(dict(follow[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                link[q] = copy
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = copy
+                    p = link[p]
+                q = copy
+            link[now] = q
+        last = now
+    state = n = best = end = 0
+    for i in range(alo, ahi):
+        c = a[i]
+        while state and c not in follow[state]:
+            state = link[state]
+            n = size[state]
+        if c in follow[state]:
+            state, n = follow[state][c], n + 1
+        if n > best:
+            best, end = n, i + 1
+    return (end - best, b.find(a[end - best : end], blo, bhi), best) if best else (alo, blo, 0)
+
+
+def _longest_match(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common substring of a[alo:ahi] and b[blo:bhi], the first in a, then in b.
+
+    Every one of 2 * step - 1 characters or more holds a piece of `step` characters that starts at a multiple of step, so the pieces'
+    places in b, extended both ways, find it; shorter steps are tried until the longest found is that long. Where pieces have very
+    many places, as in repeated words, an automaton finds it.
+    """
+    # All of the shorter one, which long texts of one repeated word often have in common.
+    i, j = (alo, b.find(a[alo:ahi], blo, bhi)) if ahi - alo <= bhi - blo else (a.find(b[blo:bhi], alo, ahi), blo)
+    if min(i, j) >= 0:
+        return i, j, min(ahi - alo, bhi - blo)
+    step = max(2, 1 << max(0, (min(ahi - alo, bhi - blo) + 1).bit_length() - 2))
+    left = 4 * (ahi - alo + bhi - blo)  # places and characters to look at
+    while step > 1:
+        best, ends = (0, 0, 0), {}  # ends: of the match found last on a diagonal
+        for i in range(alo, ahi - step + 1, step):
+            piece = a[i : i + step]
+            j = b.find(piece, blo, bhi)
+            while j >= 0:
+                left -= 1
+                if left < 0:
+                    return _longest_by_automaton(a, b, alo, ahi, blo, bhi)
+                if ends.get(j - i, -1) < i + step:
+                    x, y, end = i, j - i, i + step
+                    while x > alo and x + y > blo and a[x - 1] == b[x + y - 1]:
+                        x -= 1
+                    left -= i - x
+                    end += _alike(a, b, end, end + y, min(ahi - end, bhi - end - y))
+                    ends[y] = end
+                    best = max(best, (end - x, -x, -x - y))
+                j = b.find(piece, j + 1, bhi)
+        if best[0] >= 2 * step - 1:
+            return -best[1], -best[2], best[0]
+        step //= 2
+    for length in (2, 1):
+        for i in range(alo, ahi - length + 1):
+            j = b.find(a[i : i + length], blo, bhi)
+            if j >= 0:
+                return i, j, length
+    return alo, blo, 0
+
+
+def matched_ratio(a: str, b: str) -> float:
+    """`difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()`, without its table of every character's places."""
+    if a == b:
+        return 1.0
+    todo, matched = [(0, len(a), 0, len(b))], 0
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, j, n = _longest_match(a, b, alo, ahi, blo, bhi)
+        matched += n
+        if n and alo < i and blo < j:
+            todo.append((alo, i, blo, j))
+        if n and i + n < ahi and j + n < bhi:
+            todo.append((i + n, ahi, j + n, bhi))
+    return 2.0 * matched / (len(a) + len(b))
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits of whole numbers (Hyyrö, 2004). No ratio matches more characters."""
+    start = _alike(a, b, 0, 0, min(len(a), len(b)))
+    a, b, places = a[start:], b[start:], {}
+    for i, c in enumerate(a):
+        places.setdefault(c, []).append(i)
+    masks = {c: sum(1 << i for i in at) for c, at in places.items()}
+    whole = left = (1 << len(a)) - 1
+    for c in b:
+        met = left & masks.get(c, 0)
+        left = (left + met | left - met) & whole
+    return start + len(a) - left.bit_count()
+
+
+def sequence_ratio_from(least: float):
+    """`sequence_ratio` where it is at least `least`, else 0: most pairs below are told by their longest common subsequence."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        def of(x, y):
+            if x is None or y is None:
+                return None
+            found = matched_ratio(x, y) if 2.0 * common_length(x, y) >= least * (len(x) + len(y)) - 1e-6 else 0.0
+            return found if found >= least else 0.0
+
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return ratio
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of the arguments matters. For pairs that cheap filters have left."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
+    return pd.Series([matched_ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def escape_html(c: Column) -> Column:
