@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexhoard.functions.text import author_parts, empty_to_null, normalize_doi, normalize_title, sequence_ratio, token_jaccard
+from lexhoard.functions.text import author_parts, empty_to_null, normalize_doi, normalize_title, sequence_ratio_from, token_jaccard
 from lexhoard.graph import connected_components
 from lexhoard.session import discard, saved
 
@@ -119,10 +119,14 @@ def title_edges(df: DataFrame) -> DataFrame:
     of = lambda side, title: rows.select(F.col("id").alias(side), F.col("title").alias(title))
     pairs = pairs.join(of("left_id", "lt"), "left_id").join(of("right_id", "rt"), "right_id")
     pairs = pairs.withColumn("jaccard", token_jaccard(F.col("lt"), F.col("rt"))).where(f"lt = rt or (n >= {MIN_WORDS} and jaccard >= {MIN_JACCARD})")
+    # The pairs are small beside the work they make, so they are dealt over as many tasks as a shuffle has.
+    pairs = saved(pairs).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left_id", "right_id")
     # The ratio depends on the order of its titles: where members of two classes stand in both orders, the better one counts.
-    turned = sequence_ratio(F.when(F.col("both"), F.col("rt")).otherwise(F.col("lt")), F.when(F.col("both"), F.col("lt")).otherwise(F.col("rt")))
-    pairs = pairs.withColumn("ratio", F.greatest(sequence_ratio(F.col("lt"), F.col("rt")), turned))
-    exact = (F.col("lt") == F.col("rt")) & (F.col("n") >= EXACT_WORDS)
+    ratio_of = sequence_ratio_from(MIN_RATIO)
+    ratio = F.greatest(ratio_of(F.col("lt"), F.col("rt")), ratio_of(F.when(F.col("both"), F.col("rt")), F.col("lt")))
+    # Written before it is filtered, as a filter would be pushed ahead of the dealing and the ratio be worked out twice.
+    pairs = saved(pairs.select("left_id", "right_id", "n", "jaccard", (F.col("lt") == F.col("rt")).alias("equal"), ratio.alias("ratio")))
+    exact = F.col("equal") & (F.col("n") >= EXACT_WORDS)
     close = (F.col("n") >= MIN_WORDS) & (F.col("ratio") >= MIN_RATIO) & (F.col("jaccard") >= MIN_JACCARD)
     confidence = F.when(exact, 0.98).when(close, F.bround(F.least(F.lit(0.97), (F.col("ratio") + F.col("jaccard")) / 2), 4))
     return star.unionByName(pairs.where(exact | close).select("left_id", "right_id", F.when(exact, "exact title and author").otherwise("similar title and author").alias("reason"), confidence.alias("confidence")))
