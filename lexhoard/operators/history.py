@@ -79,23 +79,34 @@ def fill_missing(records: DataFrame, works: DataFrame, fields: list[str], doi: s
     source and the DOI, field_sources the source of each filled field, date_precision that of a filled published_date, alternate_urls
     the work's `url`, and provenance gets an entry of the filled fields (with retrieved_at and raw_sha256 if works have them).
     """
+    keyed = records.withColumn("_rkey", normalize_doi(F.col(doi)))
+    joined = keyed.where("_rkey is not null").join(works_by_doi(records, works, fields, doi, source), F.col("_rkey") == F.col("_key"), "left")
+    rest = keyed.where("_rkey is null").select(*records.columns, F.array().cast("array<string>").alias("filled_fields"))
+    return filled_from(joined, records, works, fields, source).unionByName(rest)
+
+
+def _beside(records: DataFrame, works: DataFrame, fields: list[str], source: str | None) -> list[str]:
+    return [c for c in ("url", "retrieved_at", "raw_sha256", "date_precision") if source and c in works.columns and c not in fields]
+
+
+def works_by_doi(records: DataFrame, works: DataFrame, fields: list[str], doi: str = "doi", source: str | None = None) -> DataFrame:
+    """(_key, _w): of the works of each DOI the one that counts, with what `filled_from` takes of it."""
+    body = F.struct(*fields, *_beside(records, works, fields, source))
+    return works.withColumn("_key", normalize_doi(F.col(doi))).where("_key is not null").groupBy("_key").agg(F.min_by(body, F.to_json(body)).alias("_w"))
+
+
+def filled_from(joined: DataFrame, records: DataFrame, works: DataFrame, fields: list[str], source: str | None = None) -> DataFrame:
+    """`fill_missing` for records (of the columns of `records`) that stand beside their work (_key, _w), or nulls if they have none."""
     kinds = dict(records.dtypes)
     empty = lambda c, name: (F.size(c) <= 0) if kinds[name].startswith(("array", "map")) else (F.trim(c) == "") if kinds[name] == "string" else F.lit(False)
     lacks = lambda c, name: c.isNull() | F.coalesce(empty(c, name), F.lit(True))
     mine, theirs = F.col, lambda n: F.col(f"_w.{n}")
-    beside = [c for c in ("url", "retrieved_at", "raw_sha256", "date_precision") if source and c in works.columns and c not in fields]
-    body = F.struct(*fields, *beside)
-    per_doi = works.withColumn("_key", normalize_doi(F.col(doi))).where("_key is not null").groupBy("_key").agg(F.min_by(body, F.to_json(body)).alias("_w"))
-    keyed = records.withColumn("_rkey", normalize_doi(F.col(doi)))
-    joined = keyed.where("_rkey is not null").join(per_doi, F.col("_rkey") == F.col("_key"), "left")
     filled = F.filter(F.array(*[F.when(lacks(mine(f), f) & ~lacks(theirs(f), f), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     joined = joined.withColumn("filled_fields", filled)
     values = {c: F.when(lacks(mine(c), c), F.coalesce(theirs(c), mine(c))).otherwise(mine(c)) if c in fields else F.col(c) for c in records.columns}
     if source:
-        values |= _told_by(records, source, beside, values)
-    out = joined.select(*[values[c].alias(c) for c in records.columns], "filled_fields")
-    rest = keyed.where("_rkey is null").select(*records.columns, F.array().cast("array<string>").alias("filled_fields"))
-    return out.unionByName(rest)
+        values |= _told_by(records, source, _beside(records, works, fields, source), values)
+    return joined.select(*[values[c].alias(c) for c in records.columns], "filled_fields")
 
 
 def _told_by(records: DataFrame, source: str, beside: list[str], values: dict[str, Column]) -> dict[str, Column]:

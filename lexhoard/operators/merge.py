@@ -73,7 +73,9 @@ def merge_records(df: DataFrame, reasons: DataFrame | None = None, name: str = "
     ranked = df.withColumn("_q", quality(F.col("source_types")))
     has_provenance = kinds.get("provenance", "").startswith("array<struct")
     extra = [F.max_by(F.element_at(F.when(F.size("provenance") > 0, F.col("provenance")), -1), rank).alias("_last")] if has_provenance else []
-    rows = ranked.groupBy("cluster").agg(F.max_by(name, rank).alias("_best"), F.count("*").cast("int").alias("n_members"), *[survivor(c).alias(c) for c in singular], *extra)
+    # A struct of the cluster is never null, so that tables made by it are joined by it where they lie.
+    by_cluster = F.struct("cluster")
+    rows = ranked.groupBy(by_cluster.alias("_c")).agg(F.max_by(name, rank).alias("_best"), F.count("*").cast("int").alias("n_members"), *[survivor(c).alias(c) for c in singular], *extra).withColumn("cluster", F.col("_c")["cluster"])
 
     # Values of arrays and maps, each once: with the first place by id, and by the best member's value.
     made = [_entries(i, c, kinds[c]) for i, c in enumerate(united)]
@@ -92,9 +94,9 @@ def merge_records(df: DataFrame, reasons: DataFrame | None = None, name: str = "
     values = values.groupBy("cluster", "e.i", "e.k").agg(F.min(F.struct("id", "e.at", "e.v")).alias("lo"), F.max(F.struct("_q", "id", "e.v")).alias("hi"))
     listed = lambda i: F.transform(F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("lo", "k")))), lambda x: x["lo"]["v"])
     keyed = lambda i: F.map_from_entries(F.collect_list(F.when(F.col("i") == i, F.struct("k", "hi.v"))))
-    lists = values.groupBy(F.col("cluster").alias("_cluster")).agg(*[(keyed(i) if i < len(united) and kinds[united[i]] == _TEXTS else listed(i)).alias(f"_u{i}") for i in range(len(united) + 3)])
+    lists = values.groupBy(by_cluster.alias("_c")).agg(*[(keyed(i) if i < len(united) and kinds[united[i]] == _TEXTS else listed(i)).alias(f"_u{i}") for i in range(len(united) + 3)])
 
-    out = rows.join(lists, F.col("cluster").eqNullSafe(F.col("_cluster")), "left")
+    out = rows.join(lists, "_c", "left")
     strings = lambda i: F.coalesce(F.col(f"_u{i}"), F.array().cast(_STRINGS))
     pairs = lambda i: F.transform(strings(i), lambda s: F.from_json(s, "key string, value string"))
     journal = F.get(F.filter(strings(own), lambda d: F.exists(pairs(named), lambda p: p["key"] == d)), F.lit(0)) if linked else F.lit(None).cast("string")
@@ -117,8 +119,8 @@ def merge_records(df: DataFrame, reasons: DataFrame | None = None, name: str = "
     if "doi" in have:
         final["doi"] = F.coalesce("_journal", "doi")
     if has_provenance and reasons is not None and "note" in df.schema["provenance"].dataType.elementType.names:
-        why = reasons.groupBy(F.col("cluster").alias("_why")).agg(F.array_join(F.array_sort(F.collect_set("reason")), ", ").alias("_reason"))
-        out = out.join(why, F.col("cluster") == F.col("_why"), "left")
+        why = reasons.where("cluster is not null").groupBy(by_cluster.alias("_c")).agg(F.array_join(F.array_sort(F.collect_set("reason")), ", ").alias("_reason"))
+        out = out.join(why, "_c", "left")
         noted = F.when(F.col("_last").isNotNull() & F.col("_reason").isNotNull(), F.array(F.col("_last").withField("note", F.concat(F.lit("merged: "), "_reason"))))
         final["provenance"] = F.coalesce(F.concat(final["provenance"], noted), final["provenance"])
     out = out.select("cluster", "_best", "n_members", *[final.get(c, F.col(c)).alias(c) for c in [*have, *([] if "alternate_urls" in have or "url" not in have else ["alternate_urls"])]])

@@ -60,9 +60,14 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_NAMES else side
 
 
+def watched_people(records: DataFrame, people: DataFrame) -> DataFrame:
+    """(id, watched_people in roster order) of the records that have any."""
+    return match_people(records, people).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "person"))), lambda x: x["person"]).alias("watched_people"))
+
+
 def with_watched_people(records: DataFrame, people: DataFrame) -> DataFrame:
     """records with watched_people in roster order."""
-    found = match_people(records, people).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "person"))), lambda x: x["person"]).alias("watched_people"))
+    found = watched_people(records, people)
     return records.drop("watched_people").join(found, "id", "left").withColumn("watched_people", F.coalesce("watched_people", F.array().cast("array<string>")))
 
 

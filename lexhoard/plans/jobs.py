@@ -95,6 +95,25 @@ def exact_links(df: DataFrame) -> DataFrame:
     return edges
 
 
+def _filled(incoming: DataFrame, roster: DataFrame, works: DataFrame) -> DataFrame:
+    """incoming with `_member`, watched people, and empty fields filled by DOI, as `with_watched_people` and `fill_missing` give them.
+
+    People and works are found with ids and DOIs alone and handed to the rows by their member key, by which they are then told
+    apart too, so that whole rows are dealt once. A key's list holds the people and works met by the rows of that key, each once.
+    """
+    fields = [c for c in FILLED if c in incoming.columns and c in works.columns]
+    rows = incoming.select(member_key().alias("_member"), "id", ids.normalize_doi(F.col("doi")).alias("_rkey")).distinct()
+    watched = rows.select("_member", "id").distinct().join(people.watched_people(incoming, roster), "id").select("_member", F.struct("id", "watched_people").alias("p"))
+    met = rows.select("_member", "_rkey").distinct().join(history.works_by_doi(incoming, works, fields, source="crossref"), F.col("_rkey") == F.col("_key")).select("_member", F.struct("_key", "_w").alias("w"))
+    told = watched.unionByName(met, allowMissingColumns=True).groupBy("_member").agg(F.collect_list("p").alias("_people"), F.collect_list("w").alias("_works"))
+    joined = incoming.drop("watched_people").withColumn("_member", member_key()).join(told, "_member", "left")
+    mine = F.get(F.filter("_people", lambda p: p["id"] == F.col("id")), F.lit(0))["watched_people"]
+    doi = ids.normalize_doi(F.col("doi"))
+    work = F.get(F.filter("_works", lambda w: w["_key"] == doi), F.lit(0))
+    joined = joined.withColumn("watched_people", F.coalesce(mine, F.array().cast("array<string>"))).withColumn("_key", work["_key"]).withColumn("_w", work["_w"])
+    return history.filled_from(joined, joined.drop("_people", "_works", "_key", "_w"), works, fields, source="crossref").drop("filled_fields")
+
+
 def step(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works: DataFrame, rules: list, links: Callable[[DataFrame], DataFrame] = exact_links) -> Step:
     """Attributes people, fills metadata, keeps changed rows, and merges again the clusters they touch from all their members.
 
@@ -103,35 +122,36 @@ def step(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, works:
     was a member of it, or shares a key with one of its members; no other cluster can gain or lose a link, so none is read beyond
     its keys. A changed row that was a member before tells its changes of tracked fields as events.
     """
-    attributed = people.with_watched_people(incoming, roster)
-    filled = history.fill_missing(attributed, works, [c for c in FILLED if c in incoming.columns and c in works.columns], source="crossref").drop("filled_fields")
-    stamped = filled.withColumn("version_hash", ids.content_fingerprint(filled)).withColumn("record_id", F.col("id")).withColumn("id", member_key())
+    filled = _filled(incoming, roster, works)
+    stamped = filled.withColumn("version_hash", ids.content_fingerprint(filled.drop("_member"))).withColumn("record_id", F.col("id")).withColumn("id", F.col("_member")).drop("_member")
     newest = Window.partitionBy("id").orderBy(*([F.col("retrieved_at").desc_nulls_last()] if "retrieved_at" in incoming.columns else []), F.col("version_hash"))
     stamped = stamped.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
     if existing is None:
         changed = saved(history.with_events(None, stamped))
-        pool, touched = changed, None
+        pool, touched, parts = changed, None, [(changed, changed.select("id"))]
     else:
         known = existing.members.select(F.col("id").alias("_id"), F.col("version_hash").alias("_version"))
-        fresh = stamped.join(known, (F.col("id") == F.col("_id")) & (F.col("version_hash") == F.col("_version")), "left_anti")
+        fresh = stamped.join(known, F.col("id") == F.col("_id"), "left").where(~F.col("version_hash").eqNullSafe(F.col("_version"))).drop("_id", "_version")
         changed = saved(history.with_events(existing.members, fresh))
         members = existing.members
         mine = members.join(changed.select("id"), "id", "left_semi").select("cluster")
         keys = changed.select(F.explode(link_keys(changed)).alias("key")).distinct()
         near = members.select("cluster", F.explode(link_keys(members)).alias("key")).join(keys, "key", "left_semi").select("cluster")
         touched = saved(mine.union(near).distinct())
-        beside = members.join(touched, "cluster", "left_semi").join(changed.select("id"), "id", "left_anti").drop("cluster")
-        pool = saved(union_of(beside, changed))
+        # Which rows go on is told by their ids first, so that each moves once.
+        staying = saved(members.select("id", "cluster").join(touched, "cluster", "left_semi").join(changed.select("id"), "id", "left_anti").select("id"))
+        pool = union_of(members.drop("cluster").join(staying, "id", "left_semi"), changed)
+        parts = [(members.drop("cluster"), staying), (changed, changed.select("id"))]
     edges = saved(links(pool))
     clusters = dedup.cluster(edges)
-    joined = pool.join(clusters, "id", "left")
+    joined = union_of(*[rows.join(of.join(clusters, "id", "left"), "id") for rows, of in parts])
     grouped = saved(joined.withColumn("alone", F.col("cluster").isNull()).withColumn("cluster", F.coalesce("cluster", "id")))
     body = [c for c in grouped.columns if c not in ("alone", "version_hash")]
     reasons = edges.select(F.col("left_id").alias("id"), "reason").join(clusters, "id").select("cluster", "reason").distinct()
     merged = merge_records(grouped.where("not alone").select(body), reasons, "record_id")
     single = grouped.where("alone").select(*body, F.lit(1).alias("n_members")).drop("id").withColumnRenamed("record_id", "id")
-    records = saved(classify.classify(union_of(merged, single), rules))
-    gone = touched.join(records.select("cluster"), "cluster", "left_anti") if touched is not None else changed.select(F.col("id").alias("cluster")).limit(0)
+    records = classify.classify(union_of(merged, single), rules)
+    gone = touched.join(grouped.select("cluster"), "cluster", "left_anti") if touched is not None else changed.select(F.col("id").alias("cluster")).limit(0)
     return Step(changed, grouped.drop("alone"), records, dedup.merge_decisions(clusters, edges), gone)
 
 
@@ -143,16 +163,22 @@ def update(existing: Corpus | None, incoming: DataFrame, roster: DataFrame, work
     a merged record changes, comes alone or links elsewhere, the others' values stay, as the record is merged from them again.
     """
     now = step(existing, incoming, roster, works, rules, links)
-    members, records = now.members, now.records
+    records, moves = now.records, existing is None or now.members.limit(1).count() > 0
     if existing is not None:
-        old = now.gone.unionByName(now.records.select("cluster"))
-        moved = now.members.select("id")
-        members = union_of(existing.members.join(moved, "id", "left_anti"), now.members)
-        records = union_of(existing.records.join(old, "cluster", "left_anti"), now.records)
+        old = now.gone.unionByName(now.members.select("cluster").distinct())
+        records = union_of(existing.records.join(old, "cluster", "left_anti"), now.records) if moves else existing.records
     scored = saved(classify.score(records, as_of, when))
     kept = select.retain_recent(scored, as_of, days, when)
-    pruned = scored.join(kept.select("cluster"), "cluster", "left_anti")
-    corpus = Corpus(saved(members.join(pruned.select("cluster"), "cluster", "left_anti")), kept)
+    pruned = saved(scored.select("cluster").join(kept.select("cluster"), "cluster", "left_anti"))
+    prunes = pruned.limit(1).count() > 0
+    stays = lambda ids: ids.join(pruned, "cluster", "left_anti") if prunes else ids
+    if existing is None or not moves:
+        members = now.members if existing is None else existing.members
+        members = saved(stays(members)) if prunes else members
+    else:
+        held = stays(existing.members.select("id", "cluster").join(now.members.select("id"), "id", "left_anti")).select("id")
+        members = saved(union_of(existing.members.join(held, "id", "left_semi"), stays(now.members)))
+    corpus = Corpus(members, kept)
     n = incoming.count()
     counts = incoming.sparkSession.createDataFrame([("incoming", n, n)], "source string, raw_count long, normalized_count long")
     return Update(corpus, kept, now.decisions, report.update_report(kept, now.changed, pruned, counts))
@@ -170,7 +196,7 @@ def foreach_batch_update(members: HashedTable, records: HashedTable, roster: Dat
         stored = members.read(spark)
         now = step(None if stored is None else Corpus(stored, records.read(spark)), batch, roster, works, rules, links)
         # Records follow from members alone, so they go first: a batch that fails in between makes the same ones when it runs again.
-        records.apply(now.records, number, removed=now.gone)
+        records.apply(saved(now.records), number, removed=now.gone)
         members.apply(now.members, number)
 
     return run

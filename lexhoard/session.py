@@ -51,7 +51,7 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexhoard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     at, files = _hadoop_path(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

@@ -171,3 +171,17 @@ def test_trial_events_are_kept(spark):
         (dt.datetime(2024, 1, 2), "clinicaltrials", ["trial.overall_status", "trial.enrollment"], {"trial.overall_status": '{"value":"open"}', "trial.enrollment": '{"value":5}'}, {"trial.overall_status": '{"value":"closed"}', "trial.enrollment": '{"value":7}'}),
         (dt.datetime(2024, 1, 3), "clinicaltrials", ["trial.enrollment"], {"trial.enrollment": '{"value":7}'}, {"trial.enrollment": "{}"}),
     ]
+
+
+def test_whole_rows_move_once(spark, job):
+    first = job(None, _row("a", "10.1/x", keywords=["ka"]), _row("b", "10.1/x", keywords=["kb"]))
+    second = job(first.corpus, _row("a", "10.1/x", keywords=["ka"]))
+    assert _seen(second) == _seen(first) and second.corpus.members.inputFiles() == first.corpus.members.inputFiles()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = lambda df: [line for line in df._jdf.queryExecution().toString().rpartition("== Physical Plan ==")[2].splitlines() if "Exchange" in line]
+        merged = merge_records(first.corpus.members.drop("version_hash"), first.decisions.select(F.col("kept_id").alias("cluster"), "reason"), "record_id")
+        assert moved(merged) and not any("coalesce(" in line for line in moved(merged))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
