@@ -36,10 +36,11 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of all events, which land in files by their hash, so that every batch holds late ones. A last file ends the stream:
     its one row, of a user of its own, lies so far ahead that the watermark passes all others."""
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    landed = _landed(events.repartition(3, F.xxhash64("ts", "user_id")))
+    each = max(1, spark.sparkContext.defaultParallelism // 2)  # files of a third, so that all cores write and read
+    landed = _landed(events.repartition(3 * each, F.xxhash64("ts", "user_id")))
     end = events.limit(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
     end.coalesce(1).write.mode("append").parquet(landed)
-    return _ended(stream_snapshot_changes(read_stream(spark, landed, events.schema, 2), "user_id", "ts", ["event_type", "value"], "60 days"))
+    return _ended(stream_snapshot_changes(read_stream(spark, landed, events.schema, 2 * each), "user_id", "ts", ["event_type", "value"], "60 days"))
 
 
 def stream_snapshot_changes_events(spark: SparkSession, sf_dir: str) -> DataFrame:

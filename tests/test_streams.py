@@ -1,6 +1,7 @@
 """Snapshots that come late: the stream equals the batch form whatever batches they come in."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -41,6 +42,10 @@ def test_late_snapshots_equal_batch(spark, tmp_path, n_files):
 
 
 def _said(r):
-    import json
-
     return json.dumps([None if x is None else str(x) for x in r[2:]])
+
+
+def test_waiting_snapshots_are_packed():
+    rows = [(i, "[]") for i in range(2 * feeds.PACKED + 1)]
+    packed = feeds._packed(rows)
+    assert len(packed) == 3 and [tuple(r) for (text,) in packed for r in json.loads(text)] == rows
