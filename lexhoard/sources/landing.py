@@ -30,11 +30,12 @@ def read_feed_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(landed: DataFrame, schema: str, fmt: str) -> tuple[DataFrame, DataFrame]:
-    """(landed rows with the payload's fields as columns, rows that aren't well-formed). Nothing of the landed string is lost."""
+    """(landed rows with the payload's fields as columns, rows that aren't well-formed). Nothing of the landed string is lost.
+    Every row is parsed once: the parsed rows are written, as each filter and field that is read of them would parse them anew."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     full = f"{schema}, {_BAD} STRING"
     value = F.from_xml("raw", full, options) if fmt == "xml" else F.from_json("raw", full, options)
-    rows = landed.withColumn("payload", value)
+    rows = saved(landed.withColumn("payload", value))
     broken = F.col("payload").isNull() | F.col(f"payload.{_BAD}").isNotNull()
     return rows.where(~broken).select(*landed.columns, "payload.*").drop(_BAD), rows.where(broken).select(*landed.columns)
 
@@ -63,6 +64,7 @@ def normalized_feeds(landed: DataFrame, feeds: DataFrame, per_feed: int | None =
 
 
 def _parted(out: DataFrame, broken: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    out = saved(out)  # a filter by `reject` would be pushed ahead of the normalizer and work out again what it looks at
     reject = lambda df, reason: df.select(F.lit(source).alias("source"), reason.alias("reason"), raw_sha256(F.col("raw")).alias("raw_sha256"), "raw")
     rejected = reject(out.where("reject is not null"), F.col("reject")).unionByName(reject(broken, F.lit("not well-formed")))
     return out.where("reject is null").drop("reject", "raw"), rejected

@@ -58,7 +58,7 @@ def _arr(c: Column, kind: str = _NONE) -> Column:
 
 def _plain(c: Column) -> Column:
     """Inner text of markup, white space collapsed; null if empty."""
-    return empty_to_null(html_to_text(c, None))
+    return F.get(F.filter(F.array(html_to_text(c, None)), lambda text: text != ""), F.lit(0))  # the text is worked out once
 
 
 def _ymd(c: Column) -> Column:
@@ -222,20 +222,24 @@ def normalize_crossref(df: DataFrame, rejects: bool = False) -> DataFrame:
     """One record per work with DOI and title."""
     m = F.col("message")
 
-    def day(name: str) -> Column:
+    def parts(name: str) -> Column:
         part = lambda n: F.get(F.get(m[name]["date-parts"], F.lit(0)), F.lit(n)).cast("string")
-        return parse_date_parts(part(0), part(1), part(2))
+        return F.struct(part(0).alias("Year"), part(1).alias("Month"), part(2).alias("Day"))
 
+    # One lambda for all dates, and a column of the one that counts: in each place it is used its code would be too much to compile.
+    kinds = ["published-print", "published-online", "published", "issued"]
+    read = df.withColumn("_days", F.transform(F.array(*[parts(k) for k in kinds]), _ymd))
+    read = read.withColumn("_date", F.get(F.filter("_days", lambda d: d.isNotNull()), F.lit(0)))
     name = lambda a: F.coalesce(empty_to_null(F.trim(F.concat_ws(" ", a["given"], a["family"]))), a["name"])
     author = lambda a: F.struct(name(a).alias("name"), a["given"].alias("given_name"), a["family"].alias("family_name"), F.element_at(F.split(a["ORCID"], "/"), -1).alias("orcid"), _arr(F.transform(a["affiliation"], lambda x: x["name"])).alias("affiliations"))
     authors = _arr(F.filter(F.transform(m["author"], author), lambda a: a["name"].isNotNull()), _AUTHOR)
     relations = F.map_filter(F.transform_values(m["relation"], lambda k, v: F.filter(F.transform(v, lambda r: r["id"]), lambda r: r.isNotNull())), lambda k, v: F.size(v) > 0)
-    date, doi = F.coalesce(day("published-print"), day("published-online"), day("published"), day("issued")), normalize_doi(m["DOI"])
+    date, doi = F.col("_date"), normalize_doi(m["DOI"])
     places = F.array_distinct(F.flatten(F.transform(authors, lambda a: a["affiliations"])))
     none = F.lit(None).cast("string")
     funder = lambda f: F.struct(f["name"].alias("name"), F.lit("funder").alias("organization_type"), _doi_url(f["DOI"]).alias("ror_id"))
     url = F.coalesce(m["URL"], _doi_url(doi))
-    out = df.select(
+    out = read.select(
         F.concat(F.lit("doi:"), doi).alias("id"), F.lit("publication").alias("record_type"), F.array(F.lit("crossref")).alias("source_types"), doi.alias("doi"), _plain(F.get(m["title"], F.lit(0))).alias("title"),
         F.get(m["container-title"], F.lit(0)).alias("journal_or_source"), m["publisher"].alias("publisher"), authors.alias("authors"), _arr(places).alias("institutions"), _organizations(places, "affiliation").alias("organizations"),
         _arr(F.filter(F.transform(m["funder"], funder), lambda f: f["name"].isNotNull()), _ORGANIZATIONS).alias("funders"), relations.alias("relations"), F.get(m["license"], F.lit(0))["URL"].alias("license_url"), url.alias("url"),

@@ -11,6 +11,7 @@ from lexhoard.functions import dates, ids, text
 from lexhoard.graph import connected_components, joined_components
 from lexhoard.operators import classify, dedup, people, report, select
 from lexhoard.plans import jobs
+from lexhoard.sources import normalize
 
 
 def one(spark, column, **values):
@@ -235,3 +236,8 @@ def test_sequence_ratio_as_difflib():
     start = time.process_time()
     assert text.matched_ratio("thor " * 8000, "thor " * 8600) == 2 * 40000 / 83000
     assert time.process_time() - start < 10
+
+
+def test_crossref_dates_are_read_once(spark):
+    works = spark.createDataFrame([], f"{normalize.WORK_SCHEMA}, raw string")
+    assert normalize.normalize_crossref(works, rejects=True)._jdf.queryExecution().optimizedPlan().toString().count("date-parts") <= 24
