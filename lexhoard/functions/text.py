@@ -57,6 +57,10 @@ def search_normalize(c: Column) -> Column:
 ENTITY_LEFT = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 
 
+#: Stands between entities: no entity has it, none is decoded to it, and it ends a name.
+BETWEEN = "\uFDD0"
+
+
 @F.pandas_udf(StringType())
 def all_entities(s: pd.Series) -> pd.Series:
     """Every named entity and numeric reference decoded, as HTML has them."""
@@ -70,10 +74,22 @@ def html_to_text(c: Column, max_len: int | None = 1200) -> Column:
     text = F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", " ")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return _cut(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), max_len)
+
+
+def _cut(text: Column, max_len: int | None) -> Column:
+    """Cut at max_len with an ellipsis. The text is bound to a lambda's variable, so that it is worked out once."""
     if max_len is None:
         return text
-    return F.when(F.length(text) > max_len, F.concat(F.rtrim(F.substring(text, 1, max_len - 1)), F.lit("…"))).otherwise(text)
+    cut = lambda x: F.when(F.length(x) > max_len, F.concat(F.rtrim(F.substring(x, 1, max_len - 1)), F.lit("…"))).otherwise(x)
+    return F.get(F.transform(F.array(text), cut), F.lit(0))
+
+
+def _decoded(text: Column) -> Column:
+    """The text with every entity decoded once. Only the entities go to Python, a row's in one string; they are put back in the JVM."""
+    names = F.regexp_extract_all(text, F.lit(ENTITY_LEFT), F.lit(0))
+    values = F.split(all_entities(F.array_join(names, BETWEEN)), BETWEEN)
+    return F.array_join(F.zip_with(F.split(text, ENTITY_LEFT), values, lambda before, value: F.concat(before, F.coalesce(value, F.lit("")))), "")
 
 
 def html_to_text_whole(df: DataFrame, column: str, max_len: int | None = 1200) -> DataFrame:
@@ -82,9 +98,8 @@ def html_to_text_whole(df: DataFrame, column: str, max_len: int | None = 1200) -
     bare = F.regexp_replace(F.regexp_replace(F.col(column), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
     rare = F.coalesce(F.regexp_replace(bare, "|".join(e for e, _ in ENTITIES if e != "&amp;"), "").rlike(ENTITY_LEFT), F.lit(False))
     plain = lambda text: F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    cut = lambda text: text if max_len is None else F.when(F.length(text) > max_len, F.concat(F.rtrim(F.substring(text, 1, max_len - 1)), F.lit("…"))).otherwise(text)
     left = df.where(~rare).withColumn(column, html_to_text(F.col(column), max_len))
-    right = df.where(rare).withColumn(column, all_entities(bare)).withColumn(column, cut(plain(F.col(column))))
+    right = df.where(rare).withColumn(column, bare).withColumn(column, _decoded(F.col(column))).withColumn(column, _cut(plain(F.col(column)), max_len))
     return left.unionByName(right)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import difflib
+import html
 import random
 import time
 
@@ -238,6 +239,15 @@ def test_sequence_ratio_as_difflib():
     assert time.process_time() - start < 10
 
 
+def test_only_entities_go_to_python(spark):
+    said = ["&notit; a &amp;amp; b", "x &#xFDD0;y &#65;&#66", "&foo﷐&eacute;", "&" + "a" * 40 + ";&euro;", "&frac12;", "no &ent here &#0; &#x80;", "&#10;&Tab;z&#55296;", "&eacute﷐;&copy", "a&#233;"]
+    df = spark.createDataFrame(list(enumerate(said)), "id int, t string")
+    out = df.select("id", text._decoded(F.col("t")).alias("t"))
+    assert {r["id"]: r["t"] for r in out.collect()} == {i: html.unescape(t) for i, t in enumerate(said)}
+    plan = text.html_to_text_whole(df, "t", None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "all_entities(array_join(regexp_extract_all(" in plan
+
+
 def test_crossref_dates_are_read_once(spark):
     works = spark.createDataFrame([], f"{normalize.WORK_SCHEMA}, raw string")
     assert normalize.normalize_crossref(works, rejects=True)._jdf.queryExecution().optimizedPlan().toString().count("date-parts") <= 24
