@@ -4,14 +4,15 @@ Every window of LENGTH bytes that starts at two places is to go. Sorting all suf
 over, so windows are first grouped by content: the window's minimizer, the smallest hash of its GRAM-byte grams, is the same
 wherever the window stands. Windows that one minimizer place owns form a context (their common bytes). Contexts whose bytes
 occur twice are repeated as a whole; other contexts of a shared minimizer are compared: their positions are put in buckets by
-their first GRAM bytes, and the buckets are refined by sorting on the bucket numbers of later offsets, the numbers of each round
-serving the next (32, 64, ... 256, LENGTH bytes), all buckets of a level at a time. A bucket of one is final and is sorted no more.
+their first GRAM bytes, and the buckets are refined by the bucket numbers of later offsets, the numbers of each round serving the
+next (32, 64, ... 256, LENGTH bytes), all buckets of a level at a time. A bucket of one is final; one whose members agree at the
+later offset is not sorted.
 
 Grams that very many documents share never decide for a group while a window has others, so that a common line does not bring
 all its documents together. Contexts that are equal count once. No group gathers more than distinct contexts of one minimizer.
 
-The same search over word codes instead of bytes finds passages of PASSAGE words that stand elsewhere too; LENGTH bytes may be
-more than such a passage has.
+The same passes take word codes beside the bytes, of four bytes a position, and so find passages of PASSAGE words that stand
+elsewhere too; LENGTH bytes may be more than such a passage has.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhoard.llm.base import arrow_sized, documents, keyed
@@ -48,65 +49,100 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """Hash of the GRAM bytes from each position."""
-    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    mixed = _mix(eight * _C[1])
-    n = len(data) - GRAM + 1
-    return _mix(sum((mixed[8 * j : 8 * j + n] * _C[j] for j in range(1, GRAM // 8)), mixed[:n] * _C[0]))
+def gram_hashes(data: bytes, unit: int = 1) -> np.ndarray:
+    """Hash of the GRAM bytes from each position; positions are `unit` bytes apart."""
+    step = 8 // unit
+    eight = np.ndarray((len(data) // unit - step + 1,), "<u8", data, strides=(unit,))
+    h = _mix(eight * _C[1])
+    h = h[:-step] * _C[2] + h[step:]
+    h = h[: -2 * step] * _C[3] + h[2 * step :]
+    return _mix(h)
 
 
-def owned(hashes: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer position, first window, one past the last) for runs of windows with one minimizer."""
-    w = length - GRAM + 1
-    rank = hashes >> np.uint64(1)
+def _is_hot(hashes: np.ndarray, hot: np.ndarray, tag: int) -> np.ndarray:
+    """Places of frequent grams; `hot` is sorted, its numbers are tagged hashes."""
+    low = np.flatnonzero(hashes < np.uint64(int(COUNTED * 2**64)))
+    told = _tagged(hashes[low], tag)
+    return low[hot[np.minimum(np.searchsorted(hot, told), len(hot) - 1)] == told]
+
+
+def _tagged(hashes: np.ndarray, tag: int) -> np.ndarray:
+    """Hashes with the number of a search as highest bit; so as longs those of the first are at least 0, of the second less."""
+    return (hashes & np.uint64(2**63 - 1)) | np.uint64(tag << 63)
+
+
+def owned(hashes: np.ndarray, hot: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, gram: int, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer position, first window, one past the last) for runs of windows with one minimizer, in texts that stand one
+    behind the other, each with a window at least."""
+    w = length - gram + 1
+    code = hashes >> np.uint64(1)
     if len(hot):
-        low = np.flatnonzero(hashes < np.uint64(int(COUNTED * 2**64)))
-        rank[low[hot[np.minimum(np.searchsorted(hot, hashes[low]), len(hot) - 1)] == hashes[low]]] |= np.uint64(1 << 63)
-    places = np.arange(len(hashes), dtype=np.uint64)
-    shift = np.uint64(max(1, int(len(hashes)).bit_length()))
-    code = ((rank >> shift) << shift) | places  # of equal ranks the first counts
-    padded = np.full(-(-len(code) // w) * w, np.uint64(2**64 - 1), np.uint64)
-    padded[: len(code)] = code
-    blocks = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, 1).reshape(-1)
-    back = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
-    n = len(code) - w + 1
-    at = (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+        code[_is_hot(hashes, hot, tag)] |= np.uint64(1 << 63)
+    # Of ranks that are equal in their upper half the first counts, wherever the window stands.
+    code &= np.uint64(2**64 - 2**31)
+    code |= np.arange(len(code), dtype=np.uint64)
+    n, span = len(code) - w + 1, 1
+    while 2 * span <= w:
+        code = np.minimum(code[:-span], code[span:])
+        span *= 2
+    code = np.minimum(code[:n], code[w - span : w - span + n])
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] = 1
+    edge[starts + sizes - length + 1] -= 1
+    inside = np.flatnonzero(np.cumsum(edge[:n], dtype=np.int8))
+    at = (code[inside] & np.uint64(2**31 - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], first, np.append(first[1:], n)
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], inside[first], inside[last] + 1
+
 
+def refine(data: bytes, ends: np.ndarray, length: int, unit: int = 1) -> np.ndarray:
+    """For each position (they are `unit` bytes apart) whether the `length` positions from it, which must end by `ends`, also
+    start at another one.
 
-def refine(data: bytes, ends: np.ndarray, length: int) -> np.ndarray:
-    """For each position whether the `length` bytes from it, which must end by `ends`, also start at another position."""
-    n = len(data)
-    room = ends - np.arange(n)
-    at = np.flatnonzero(room >= GRAM)
-    bucket = np.full(n, -1, np.int64)
+    Positions are sorted into buckets once, by their first GRAM bytes. A pass reads each member's bucket at a later offset;
+    buckets whose members agree there stay as they are, and only the others are sorted."""
+    n, q = len(data) // unit, GRAM // unit
+    room = (ends - np.arange(n)).astype(np.int32)
+    at = np.flatnonzero(room >= q)
     if not len(at):
         return np.zeros(n, bool)
-    values = gram_hashes(data)[at]
-    slot = (values & np.uint64((1 << 20) - 1)).astype(np.int64)
-    several = np.bincount(slot, minlength=1 << 20)[slot] > 1  # most buckets of one are seen without sorting
-    at, values = at[several], values[several]
-    q = GRAM
+    values = gram_hashes(data, unit)
+    bits = np.uint64(n.bit_length())
+    order = np.sort(((values[at] >> bits) << bits) | at.astype(np.uint64))
+    high = order >> bits
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    key = values[order]
+    new = key[1:] != key[:-1]
+    if np.any(new & (high[1:] == high[:-1])):  # hashes that differ in their lower bits only
+        order = at[np.argsort(values[at], kind="stable")]
+        key = values[order]
+        new = key[1:] != key[:-1]
     while True:
-        _, number, size = np.unique(values, return_inverse=True, return_counts=True)
-        number = number.reshape(-1)
-        more = size[number] > 1
-        now = np.full(n, -1, np.int64)
-        now[at[more]] = number[more]
-        bucket = now
-        if q == length:
-            return bucket >= 0
+        new = np.concatenate([[True], new, [True]])
+        several = ~(new[1:] & new[:-1])  # a bucket of one is final
+        order = order[several]
+        number = np.cumsum(new[:-1], dtype=np.int32)[several]
+        bucket = np.zeros(n, np.int32)
+        bucket[order] = number
+        if q == length or not len(order):
+            return bucket > 0
         step = min(q, length - q)
-        at = at[more]
-        at = at[room[at] >= q + step]
-        later = bucket[at + step]
-        at, later = at[later >= 0], later[later >= 0]
-        if not len(at):
+        far = np.flatnonzero(room[order] >= q + step)
+        order, number = order[far], number[far]
+        later = bucket[order + step]
+        far = np.flatnonzero(later)
+        order, number, later = order[far], number[far], later[far]
+        if not len(order):
             return np.zeros(n, bool)
-        values = bucket[at] * (int(later.max()) + 1) + later
+        same = number[1:] == number[:-1]
+        split = np.zeros(int(number[-1]) + 1, bool)
+        split[number[1:][same & (later[1:] != later[:-1])]] = True
+        mixed = np.flatnonzero(split[number])
+        if len(mixed):
+            sort = mixed[np.argsort((number[mixed].astype(np.int64) << 32) | later[mixed], kind="stable")]
+            order[mixed], later[mixed] = order[sort], later[sort]
+        new = ~same | (later[1:] != later[:-1])
         q += step
 
 
@@ -119,8 +155,8 @@ def as_bytes(texts: list[bytes | None]) -> list[bytes]:
 _BYTE = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _C[1]) * _C[2])
 _FACTOR, _INVERSE = np.uint64(0xA0761D6478BD642F), np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 _BLANK = np.array([bytes([x]).isspace() for x in range(256)])
-#: Bytes of texts that are coded together.
-CODED = 200_000
+#: Bytes of texts that are coded and hashed together.
+CODED = 100_000
 
 
 def as_words(texts: list[bytes | None]) -> list[bytes]:
@@ -139,16 +175,36 @@ def _coded(texts: list[bytes]) -> list[bytes]:
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     blank = np.concatenate([[True], _BLANK[data]])
     starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-    power = np.cumprod(np.full(len(data), _FACTOR, np.uint64))
+    power, inverse = _powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power)])
-    shift = np.cumprod(np.full(len(data), _INVERSE, np.uint64))[starts]
+    shift = inverse[starts]
     hashes = _mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(np.uint64) * _C[3])
     codes = (_mix(hashes * _C[2]) >> np.uint64(32)).astype("<u4")
     at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
     return [codes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _frequent(length: int, encode):
+def _powers(n: int, held: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The first n powers of the factor and of its inverse, kept for the next call."""
+    if not held or len(held[0]) < n:
+        held[:] = (np.cumprod(np.full(2 * n, x, np.uint64)) for x in (_FACTOR, _INVERSE))
+    return held[0][:n], held[1][:n]
+
+
+def _joined(texts: list[bytes], length: int, unit: int):
+    """Texts with a window at least, some at a time: (their numbers, their bytes together, starts and sizes in positions)."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        if len(text) >= length * unit:
+            group.append(i)
+            size += len(text)
+        if group and (size > CODED or i == len(texts) - 1):
+            sizes = np.array([len(texts[j]) // unit for j in group])
+            yield np.array(group), b"".join([texts[j] for j in group]), np.cumsum(sizes) - sizes, sizes
+            group, size = [], 0
+
+
+def _frequent(searches):
     def count(batches):
         held, n_held, docs = [], 0, 0
 
@@ -158,11 +214,19 @@ def _frequent(length: int, encode):
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for text in encode(batch.column(0).cast(pa.binary()).to_pylist()):
-                if len(text) >= length:
-                    h = gram_hashes(text)
-                    held.append(np.unique(h[h < np.uint64(int(COUNTED * 2**64))]))
-                    n_held, docs = n_held + len(held[-1]), docs + 1
+            raw = batch.column(0).cast(pa.binary()).to_pylist()
+            for tag, (length, unit, encode) in enumerate(searches):
+                for _, data, starts, sizes in _joined(encode(raw), length, unit):
+                    hashes = gram_hashes(data, unit)
+                    low = np.flatnonzero(hashes < np.uint64(int(COUNTED * 2**64)))
+                    text = np.searchsorted(starts, low, "right") - 1
+                    inside = low + GRAM // unit <= (starts + sizes)[text]
+                    h, text = _tagged(hashes[low[inside]], tag), text[inside]
+                    order = np.lexsort((h, text))
+                    h, text = h[order], text[order]
+                    held.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: len(h)]])
+                    n_held += len(held[-1])
+            docs += len(raw)
             if n_held > 2_000_000:
                 yield told()
                 held, n_held, docs = [], 0, 0
@@ -172,20 +236,22 @@ def _frequent(length: int, encode):
     return count
 
 
-def _contexts(hot: np.ndarray, length: int, encode):
+def _contexts(hot: np.ndarray, searches):
     def find(batches):
         for batch in batches:
             rows = [[], [], [], [], []]
-            for k, text in zip(batch.column(0).to_pylist(), encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                if len(text) < length:
-                    continue
-                hashes = gram_hashes(text)
-                at, first, last = owned(hashes, hot, length)
-                rows[0].append(np.full(len(at), k, np.int64))
-                rows[1].append(hashes[at].view(np.int64))
-                rows[2].append(np.fromiter((xxhash.xxh64_intdigest(text[a : b + length - 1]) - (1 << 63) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.int64, len(at)))
-                rows[3].append(first)
-                rows[4].append(last - first)
+            keys, raw = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
+            for tag, (length, unit, encode) in enumerate(searches):
+                for numbers, data, starts, sizes in _joined(encode(raw), length, unit):
+                    hashes = gram_hashes(data, unit)
+                    at, first, last = owned(hashes, hot, starts, sizes, length, GRAM // unit, tag)
+                    text = np.searchsorted(starts, first, "right") - 1
+                    rows[0].append(keys[numbers[text]])
+                    rows[1].append(_tagged(hashes[at], tag).view(np.int64))
+                    ranges = zip((first * unit).tolist(), ((last + length - 1) * unit).tolist(), strict=True)
+                    rows[2].append(np.fromiter((xxhash.xxh64_intdigest(data[a:b]) - (1 << 63) for a, b in ranges), np.int64, len(at)))
+                    rows[3].append(first - starts[text])
+                    rows[4].append(last - first)
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(rows, (np.int64,) * 3 + (np.int32,) * 2, strict=True)], ["k", "a", "c", "start", "n"])
 
@@ -200,112 +266,113 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t and pack(t) for t in texts], pa.binary())], ["doc_id", "k", "text"])
 
 
-def _cut(length: int, encode):
+def _cut(searches):
     def cut(batches):
         for batch in batches:
-            rows, texts = batch.column(1).to_pylist(), encode([zstandard.decompress(x) for x in batch.column(0).to_pylist()])
-            out = [(x["a"], x["c"], t[x["start"] : x["start"] + x["n"] + length - 1]) for t, xs in zip(texts, rows, strict=True) for x in xs]
+            keys, rows, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), [zstandard.decompress(x) for x in batch.column(1).to_pylist()]
+            out = []
+            for tag, (length, unit, encode) in enumerate(searches):
+                for k, t, xs in zip(keys, encode(texts), rows, strict=True):
+                    out += [(x["a"], x["c"], k, x["start"], x["whole"], t[x["start"] * unit : (x["start"] + x["n"] + length - 1) * unit]) for x in xs if (x["a"] < 0) == tag]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], (pa.int64(), pa.int64(), pa.binary())[i]) for i in range(3)], ["a", "c", "context"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "c", "k", "start", "whole", "context"])
 
     return cut
 
 
-def _refined(length: int):
-    """From contexts sorted by minimizer: the windows of each that also stand elsewhere, as ranges."""
+def _refined(searches):
+    """From contexts sorted by minimizer: the windows of each that also stand elsewhere, as ranges in its text. Those of contexts
+    that are repeated as a whole are not told."""
 
     def judge(group):
-        sizes = np.array([len(x) for _, _, x in group])
-        data = b"".join(x for _, _, x in group)
+        length, unit, _ = searches[group[0][0] < 0]
+        sizes = np.array([len(x[5]) // unit for x in group])
         ends = np.cumsum(sizes)
-        twice = refine(data, np.repeat(ends, sizes), length)
-        out = []
-        for (a, c, x), end in zip(group, ends.tolist(), strict=True):
-            hit = twice[end - len(x) : end]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8)))
-            if len(edge):
-                out.append((a, c, edge[::2].tolist(), (edge[1::2] - 1).tolist()))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["a", "c", "lo", "hi"])
+        twice = refine(b"".join([x[5] for x in group]), np.repeat(ends, sizes), length, unit)
+        # No window starts at the last position of a context, so ranges end within it.
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.view(np.int8), [0]])))
+        lo, hi = edge[::2], edge[1::2] - 1
+        which = np.searchsorted(ends, lo, "right")
+        keys, starts, whole, tags = (np.array([x[i] for x in group]) for i in (2, 3, 4, 0))
+        told = ~whole[which]
+        lo, hi, which = lo[told], hi[told], which[told]
+        moved = starts[which] - (ends - sizes)[which]
+        return pa.RecordBatch.from_arrays([pa.array(keys[which]), pa.array((tags[which] < 0).astype(np.int32)), pa.array((lo + moved).astype(np.int32)), pa.array((hi + moved).astype(np.int32))], ["k", "search", "lo", "hi"])
 
     def run(batches):
         group, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > CHUNK and row[0] != group[-1][0]:
+                if group and row[0] != group[-1][0] and (size > CHUNK or (row[0] < 0) != (group[-1][0] < 0)):
                     yield judge(group)
                     group, size = [], 0
-                group.append(row)
-                size += len(row[2])
+                # Rows with equal doc_id and text are one text here, and cut twice; equal contexts of one place count once.
+                if not group or row[:2] != group[-1][:2]:
+                    group.append(row)
+                    size += len(row[5])
         if group:
             yield judge(group)
 
     return run
 
 
-def _removed(length: int):
+def _merged(ranges, length: int) -> list[list[int]]:
+    """Maximal runs [from, to) that windows with starts in the ranges cover."""
+    runs = []
+    for a, b in sorted(ranges):
+        b += length
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def _removed(length: int, passage: int):
     def remove(batches):
         for batch in batches:
             out = []
-            for text, lo, hi in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text, runs = zstandard.decompress(text) if text else b"", []
-                for a, b in sorted(zip(lo or [], hi or [], strict=True)):
-                    b += length
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(b, runs[-1][1])
-                    else:
-                        runs.append([a, b])
+            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text, told = zstandard.decompress(text) if text else b"", ([], [])
+                for x in ranges or ():
+                    told[x["search"]].append((x["lo"], x["hi"]))
+                runs = _merged(told[0], length)
                 kept, last = [], 0
                 for a, b in runs:
                     kept.append(text[last:a])
                     last = b
                 kept = b"".join([*kept, text[last:]])
-                out.append((len(text), len(text) - len(kept), [{"from": a, "to": b} for a, b in runs], kept))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types)), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_passage_words"])
+                out.append((len(text), len(text) - len(kept), [{"from": a, "to": b} for a, b in runs], kept, sum(b - a for a, b in _merged(told[1], passage))))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_passage_words"])
 
     return remove
 
 
-def _repeated(rows: DataFrame, packed: DataFrame, length: int, encode) -> DataFrame:
-    """Saved (k, lo, hi): for texts with windows of `length` bytes that start at two places, ranges of their starts. Of the
-    texts as `encode` gives them; `packed` are the same rows with packed text."""
+def _repeated(rows: DataFrame, packed: DataFrame, searches) -> DataFrame:
+    """Saved (k, ranges): for texts with windows that start at two places, ranges of their starts, by the number of the search
+    (length, bytes of a position, encoding of texts), which is also the highest bit of its minimizers; `packed` are the same rows
+    with packed text."""
     n = rows.count()
-    often = rows.select("text").mapInArrow(_frequent(length, encode), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64.0, HOT_SHARE * n))
+    often = rows.select("text").mapInArrow(_frequent(searches), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(64.0, HOT_SHARE * n))
     hot = np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))  # bounded, see HOT_SHARE
 
-    places = saved(rows.select("k", "text").mapInArrow(_contexts(hot, length, encode), "k long, a long, c long, start int, n int"))
-    contexts = places.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "start", "n")).alias("one"))
-    contexts = saved(contexts)
-    shared = contexts.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
-    ones = contexts.join(shared, "a", "left_semi").select("a", "c", "one.*").groupBy("k").agg(F.collect_list(F.struct("a", "c", "start", "n")).alias("wanted"))
-    texts = packed.join(ones, "k").select("text", "wanted")
-    # Rows with equal doc_id and text are one text here, and cut twice; equal contexts of one place must count once.
-    cut = texts.mapInArrow(_cut(length, encode), "a long, c long, context binary").repartition("a").dropDuplicates(["a", "c"])
-    within = cut.sortWithinPartitions("a").mapInArrow(_refined(length), "a long, c long, lo array<int>, hi array<int>")
-    whole = contexts.where("times > 1").select("a", "c", F.array(F.lit(0)).alias("lo"), F.array(F.col("one.n") - 1).alias("hi"))
-    repeated = within.join(whole.select("a", "c"), ["a", "c"], "left_anti").union(whole)
-
-    moved = lambda name: F.transform(name, lambda x: x + F.col("start")).alias(name)
-    spans = places.join(repeated, ["a", "c"]).select("k", moved("lo"), moved("hi")).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
-    out = saved(spans.select("k", F.flatten("s.lo").alias("lo"), F.flatten("s.hi").alias("hi")))
+    places = saved(rows.select("k", "text").mapInArrow(_contexts(hot, searches), "k long, a long, c long, start int, n int"))
+    # The first values of a group are all one row's.
+    contexts = places.groupBy("a", "c").agg(F.count("*").alias("times"), *(F.first(x).alias(x) for x in ("k", "start", "n")))
+    contexts = contexts.withColumn("m", F.count("*").over(Window.partitionBy("a"))).where("m > 1 or times > 1")
+    contexts = saved(contexts.select("a", "c", "k", "start", "n", (F.col("times") > 1).alias("whole"), (F.col("m") > 1).alias("shared")))
+    ones = contexts.where("shared").groupBy("k").agg(F.collect_list(F.struct("a", "c", "start", "n", "whole")).alias("wanted"))
+    cut = packed.join(ones, "k").select("k", "text", "wanted").mapInArrow(_cut(searches), "a long, c long, k long, start int, whole boolean, context binary")
+    within = cut.repartition("a").sortWithinPartitions("a", "c").mapInArrow(_refined(searches), "k long, search int, lo int, hi int")
+    whole = places.join(contexts.where("whole").select("a", "c"), ["a", "c"], "left_semi")
+    whole = whole.select("k", (F.col("a") < 0).cast("int").alias("search"), F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
+    out = saved(within.union(whole).groupBy("k").agg(F.collect_set(F.struct("search", "lo", "hi")).alias("ranges")))
     discard(places, contexts)
     return out
 
 
-def _covered(length: int):
-    def cover(batches):
-        for batch in batches:
-            out = []
-            for lo, hi in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n, end = 0, 0
-                for a, b in sorted(zip(lo, hi, strict=True)):
-                    n, end = n + max(0, b + length - max(a, end)), max(end, b + length)
-                out.append(n // 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["k", "n_passage_words"])
-
-    return cover
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, n_passage_words): one row per input row; spans are the maximal removed runs of
     bytes, kept the remaining bytes, n_passage_words the words in strings of `passage` words that start at another place too
@@ -315,10 +382,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
     packed = rows.select("doc_id", "k", "text").mapInArrow(_packed, f"doc_id {id_type}, k long, text binary")
-    passages = _repeated(rows, packed, 4 * passage, as_words).mapInArrow(_covered(4 * passage), "k long, n_passage_words long")
-    spans = _repeated(rows, packed, length, as_bytes)
-    left = packed.join(spans, "k", "left").join(passages, "k", "left").select("doc_id", "text", "lo", "hi", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
-    return left.mapInArrow(_removed(length), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary, n_passage_words long")
+    ranges = _repeated(rows, packed, ((length, 1, as_bytes), (passage, 4, as_words)))
+    left = packed.join(ranges, "k", "left").select("doc_id", "text", "ranges")
+    return left.mapInArrow(_removed(length, passage), f"doc_id {id_type}, n_bytes long, n_removed long, spans array<struct<from:int,to:int>>, kept binary, n_passage_words long")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,6 +340,39 @@ def test_suffixes_with_a_hot_line(spark):
     assert {r["doc_id"]: (r["n_removed"], len(r["spans"])) for r in out} == {k: v[1:3] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("unit", [1, 4])
+def test_suffixes_buckets_against_brute_force(unit):
+    """Positions of one and of four bytes: minimizers of joined texts, and buckets that agree, split or meet a context's end."""
+    import numpy as np
+
+    rng = random.Random(unit)
+    length, gram = 70, suffixes.GRAM // unit
+    parts = [bytes(rng.choices(b"ab", k=unit * rng.randint(20, 200))) for _ in range(6)]
+    texts = [b"".join(rng.choices(parts, k=rng.randint(3, 5))) for _ in range(30)]
+    texts = [t for t in texts if len(t) >= length * unit]
+    sizes = np.array([len(t) // unit for t in texts])
+    ends, data = np.cumsum(sizes), b"".join(texts)
+    windows = [[t[i * unit : (i + length) * unit] for i in range(len(t) // unit - length + 1)] for t in texts]
+    seen = Counter(w for ws in windows for w in ws)
+    want = [seen[w] > 1 for ws in windows for w in [*ws, *[None] * (length - 1)]]
+    assert suffixes.refine(data, np.repeat(ends, sizes), length, unit).tolist() == want
+    hashes = suffixes.gram_hashes(data, unit)
+    at, first, last = suffixes.owned(hashes, np.array([], np.uint64), ends - sizes, sizes, length, gram, 0)
+    told = {i: a for a, b, c in zip(at.tolist(), first.tolist(), last.tolist(), strict=True) for i in range(b, c)}
+    starts = [e - n + i for e, n, ws in zip(ends.tolist(), sizes.tolist(), windows, strict=True) for i in range(len(ws))]
+    assert told == {i: i + int(np.argmin(hashes[i : i + length - gram + 1] >> np.uint64(32))) for i in starts}
+
+
+def test_suffixes_reads_texts_once_for_both_searches(spark, docs, monkeypatch):
+    """Frequent grams, contexts, cutting, refinement, packing and removal: one pass each, not one a search."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    calls, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **kw: (calls.append(1), real(self, *a, **kw))[1])
+    suffixes.remove_repeats(docs)
+    assert len(calls) == 6
+
+
 def test_quality_counts():
     rng = random.Random(6)
     for _ in range(300):
