@@ -31,10 +31,21 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
+def without_marks(x: str) -> str:
+    """Compatibility decomposition without combining marks; plain ASCII is its own. Distinct characters are few, so they are told apart once."""
+    if x.isascii():
+        return x
+    x = unicodedata.normalize("NFKD", x)
+    for c in set(x):
+        if unicodedata.combining(c):
+            x = x.replace(c, "")
+    return x
+
+
 @F.pandas_udf(StringType())
 def nfkd_strip(s: pd.Series) -> pd.Series:
     """Without combining marks."""
-    return s.map(lambda x: "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y)), na_action="ignore")
+    return s.map(without_marks, na_action="ignore")
 
 
 def normalize_title(c: Column, unicode_forms: bool = True) -> Column:

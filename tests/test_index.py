@@ -36,3 +36,34 @@ def test_empty_index(spark, tmp_path):
     assert index.search_indexed(spark, str(tmp_path / "i"), "abc").count() == 0
     assert index.search_candidates(spark, str(tmp_path / "i"), "ab") is None
     assert index.search_indexed(spark, str(tmp_path / "i"), "ab").count() == 0
+
+
+def test_trigrams_are_listed_together(spark, tmp_path):
+    """A row for each trigram of a group of texts, not for each trigram of each text; ids of any type, that may come twice."""
+    texts = [f"common words \U0001f600\U0001f601\U0001f602x number{i}" for i in range(300)]
+    rows = [(f"id{i}", t) for i, t in enumerate(texts)] + [("id7", "other number7 row"), ("none", None)]
+    df = spark.createDataFrame(rows, "id string, search_text string").coalesce(1)
+    at = str(tmp_path / "index")
+    index.write_search_index(df, at)
+    assert spark.read.parquet(f"{at}/lists").count() < 5000
+    counts = {r["gram"]: r["n"] for r in spark.read.parquet(f"{at}/counts").collect()}
+    want = {}
+    for _, t in rows:
+        for g in {w[i : i + 3] for w in (t or "").split(" ") for i in range(len(w) - 2)}:
+            want[g] = want.get(g, 0) + 1
+    assert counts == want
+    found = lambda q: sorted(r["id"] for r in index.search_indexed(spark, at, q).collect())
+    assert found("number7") == sorted(["id7", "id7", *(f"id{i}" for i in range(70, 80))])
+    assert found("common") == sorted(f"id{i}" for i in range(300))
+    assert found("row other") == ["id7"]
+
+
+def test_marks_are_stripped_as_one_by_one():
+    import sys
+    import unicodedata
+
+    from lexhoard.functions.text import without_marks
+
+    every = "".join(f"a{chr(c)}" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    for x in (every, every[::-1], "", "plain"):
+        assert without_marks(x) == "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y))
