@@ -14,22 +14,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Alternates large-star and small-star steps (Kiveris et al., SoCC 2014), which need O(log^2 n) rounds and keep at most
     as many edges as they start with: no node ever gathers its neighbours in one list. Null ends and self loops carry no link;
     a node that occurs only in a self loop is its own component. The edge plan runs once; tables of earlier rounds are deleted.
+    The driver plans every round anew, so a step reads a table as few times as it can, and edges that are stars already end the
+    rounds after the first.
     """
     ends = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), (F.col(src).isNotNull() & F.col(dst).isNotNull()).alias("whole"))
     first = saved(ends.where("whole").select("u", "v").distinct())
-    now, mark = first, None
-    while True:
-        was, now = now, saved(_star(_star(now, large=True), large=False))
-        if was is not first:
-            discard(was)
-        # A fixpoint of both steps is a set of stars; equal count and checksum over two rounds show it.
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
+    # A fixpoint of both steps is a set of stars; equal count and checksum over two rounds show it.
+    seen = lambda df: df.where("u > v").agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, mark, was = first, seen(first), None
+    while mark[0] and mark != was:
+        last, now = now, saved(_star(_star(now, large=True), large=False))
+        if last is not first:
+            discard(last)
+        mark, was = seen(now), mark
     nodes, stars = first.select(F.explode(F.array("u", "v")).alias("node")).distinct(), now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = saved(nodes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    discard(first, now)
+    discard(first, *([now] if now is not first else []))
     return out
 
 
@@ -55,11 +55,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Small: u and its smaller neighbours point to the smallest of them."""
     edges = edges.where("u > v")
     if large:
-        around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        out = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        around = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+        low = around.groupBy(F.col("e.u").alias("v")).agg(F.min("e.v").alias("m"))
+        out = edges.join(low, "v").select("u", F.least("m", "v").alias("v"))
     else:
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(low, "u")
-        out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+        out = edges.join(low, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+    return out.distinct()

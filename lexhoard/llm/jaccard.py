@@ -280,7 +280,8 @@ def _signed(hot: np.ndarray):
 
 
 def _shared(batches):
-    """From rows sorted by signature and class: each further class of a signature, with the first one as hub, and how often in a batch."""
+    """From rows sorted by signature and class: each further class of a signature, with the first one as hub, and how often in a
+    batch; also such a hub with itself, 0 times."""
     last = None  # signature and hub of the row before
     for batch in batches:
         sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -296,6 +297,8 @@ def _shared(batches):
         pair = np.stack([hub, cls], 1)[cls != hub]
         last = (sig[-1], hub[-1])
         pair, times = np.unique(pair, axis=0, return_counts=True)
+        own = np.unique(pair[:, 0])
+        pair, times = np.concatenate([pair, np.stack([own, own], 1)]), np.concatenate([times, np.zeros_like(own)])
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times)], ["hub", "cls", "times"])
 
 
@@ -388,19 +391,19 @@ def _linked_to_hub(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["src", "dst"])
 
 
-def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among saved (hub, cls) pairs of different classes. Only the texts of their classes are shuffled. A hub of many
-    pairs gets its text in several places."""
+def _verified(pairs: DataFrame, n_pairs: int, one: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among n_pairs saved (hub, cls) pairs of different classes. Only the texts of their classes are shuffled. A hub of
+    many pairs gets its text in several places."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
-    spread = pairs.join(parts, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"))
-    own = parts.select("hub", F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wanted = pairs.select("cls").union(pairs.select("hub")).distinct()
+    spread = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+    both = F.explode(F.array("cls", "hub")).alias("cls")
+    wanted = pairs.select(both).distinct()
     places = one.select("k", "cls").join(wanted, "cls", "left_semi")
-    if 2 * pairs.count() <= BROADCAST_ROWS:
+    if 2 * n_pairs <= BROADCAST_ROWS:
         places = F.broadcast(places)
     text_of = texts.select("k", "text").join(places, "k").select("cls", "text").mapInArrow(_packed, "cls long, text binary")
     # Rows with equal doc_id and text have one k, so a class may come twice; a repeated hub or member adds no link.
-    placed = spread.union(own).join(text_of, "cls").select("hub", "cls", "text", "part").repartition("hub", "part")
+    placed = spread.select("hub", "part", both).distinct().join(text_of, "cls").select("hub", "cls", "text", "part").repartition("hub", "part")
     return placed.sortWithinPartitions("hub", "part", F.col("cls") != F.col("hub")).select("hub", "cls", "text").mapInArrow(_linked_to_hub, "src long, dst long")
 
 
@@ -418,22 +421,25 @@ def _units(groups: DataFrame, components: DataFrame, one: DataFrame) -> DataFram
     mixed = mixed.select("hub", F.col("top.component").alias("main"), blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("top.m")).alias("rest"))
     rows = inside.join(mixed, "hub").withColumn("outside", F.col("component") != F.col("main"))
     rows = rows.withColumn("x", F.pmod(F.xxhash64("cls", F.lit(1)), "all")).withColumn("y", F.pmod(F.xxhash64("cls", F.lit(2)), "rest"))
-    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m).cast("long") - 1))
-    # A unit (x, y) holds all members of block x, and the outside ones of block y, which are compared there.
-    met = rows.select("hub", "cls", "component", "x", every("rest").alias("to"), "outside", "y").withColumn("outside", F.col("outside") & (F.col("y") == F.col("to")))
-    meets = rows.where("outside").select("hub", "cls", "component", every("all").alias("to"), "y", "x").where("to != x")
-    placed = met.select("hub", "cls", "component", "x", F.col("to").alias("y"), "outside").union(meets.select("hub", "cls", "component", F.col("to").alias("x"), "y", F.lit(True)))
-    return placed.select(F.xxhash64("hub", "x", "y").alias("unit"), "cls", "component", "outside").join(one.select("cls", "n", "sketch"), "cls")
-
-
-def _near_in_groups(groups: DataFrame, components: DataFrame, one: DataFrame, texts: DataFrame, forest: bool) -> tuple[DataFrame, bool]:
-    """Links found in groups that hold several components, and whether pairs were left out."""
+    # A unit (x, y) holds all members of block x, and the outside ones of block y, which are compared there: a member is in the
+    # units (x, 0), (x, 1), ... of its row, and an outside one in the others of its column too.
+    every = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("rest") + F.col("all")).otherwise(F.col("rest")) - 1)
+    placed = rows.withColumn("at", F.explode(every)).where("at < rest or at - rest != x")
+    in_row = F.col("at") < F.col("rest")
+    x, y = F.when(in_row, F.col("x")).otherwise((F.col("at") - F.col("rest")).cast("long")), F.when(in_row, F.col("at").cast("long")).otherwise(F.col("y"))
+    outside = F.col("outside") & (~in_row | (F.col("at") == F.col("y")))
+    placed = placed.select(F.xxhash64("hub", x, y).alias("unit"), "cls", "component", outside.alias("outside"))
+    return placed.join(one.select("cls", "n", "sketch"), "cls")
+
+
+def _near_in_groups(groups: DataFrame, components: DataFrame, one: DataFrame, texts: DataFrame, forest: bool) -> tuple[DataFrame | None, bool]:
+    """Links found in groups that hold several components, None if no pair comes near, and whether pairs were left out."""
     units = _units(groups, components, one).select("unit", "cls", "component", "n", "outside", "sketch")
     near = saved(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compared(forest), "hub long, cls long").distinct())
-    out = saved(_verified(near.where("hub is not null"), one, texts))
-    left_out = not near.where("hub is null").isEmpty()
+    n_rows, n_pairs = near.agg(F.count("*"), F.count("hub")).first()
+    out = saved(_verified(near.where("hub is not null"), n_pairs, one, texts)) if n_pairs else None
     discard(near)
-    return out, left_out
+    return out, n_rows > n_pairs
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,8 +460,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     signed = texts.select("text").mapInArrow(_signed(hot), "sig long, cls long")
     met = signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_shared, "hub long, cls long, times long")
-    pairs = saved(met.groupBy("hub", "cls").agg(F.sum("times").alias("times")))
-    groups = pairs.select("hub", "cls").union(pairs.select("hub", F.col("hub").alias("cls")).distinct())
+    groups = saved(met.groupBy("hub", "cls").agg(F.sum("times").alias("times")))
+    pairs = groups.where("cls != hub")
     one = members.where("cls is not null").groupBy("cls").agg(F.min("k").alias("k"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     one = saved(one.join(groups.select("cls").distinct(), "cls", "left_semi"))
 
@@ -466,17 +472,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = one.select(F.col("cls").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("sketch_hub"))
     sized = closest.join(hubs, "hub").where("4 * n >= 3 * n_hub and 4 * n_hub >= 3 * n")
     near = saved(sized.mapInArrow(_near_sketches, "hub long, cls long"))
-    star = saved(_verified(near, one, texts))
-    found = connected_components(star)
+    found = connected_components(_verified(near, near.count(), one, texts))
     for forest in (True, False):
         more, left_out = _near_in_groups(groups, found, one, texts, forest)
-        was, found = found, found if more.isEmpty() else joined_components(found, more)
-        discard(more, *([was] if found is not was else []))
+        if more is not None:
+            was, found = found, found if more.isEmpty() else joined_components(found, more)
+            discard(more, *([was] if found is not was else []))
         if not left_out:
             break
 
     named = saved(members.drop("k", "sketch").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    discard(rows, pairs, one, near, star, found)
+    discard(rows, groups, one, near, found)
     names = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
     return named.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 

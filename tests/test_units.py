@@ -6,12 +6,14 @@ import html
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexhoard.functions import dates, ids, text
-from lexhoard.graph import connected_components, joined_components
+from lexhoard.graph import _star, connected_components, joined_components
 from lexhoard.operators import classify, dedup, people, report, select
 from lexhoard.plans import jobs
+from lexhoard.session import saved
 from lexhoard.sources import normalize
 
 
@@ -133,6 +135,18 @@ def test_components_of_a_long_chain(spark):
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200}
 
 
+def test_rounds_of_components_leave_the_driver_little_to_plan(spark):
+    """A round reads its table four times, and edges that are stars already take one round."""
+    edges = spark.range(40).selectExpr("id + 100 AS u", "id % 4 AS v")
+    assert _star(_star(edges, large=True), large=False)._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4
+    written = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("lexhoard.graph.saved", lambda df: written.append(1) or saved(df))
+        out = connected_components(edges.selectExpr("u AS src", "v AS dst"))
+    assert {(r["node"], r["component"]) for r in out.collect()} == {(i + 100, i % 4) for i in range(40)} | {(i, i) for i in range(4)}
+    assert len(written) == 3  # edges, one round, result
+
+
 def test_joined_components_equal_components_of_all_edges(spark):
     """Further edges within a component, between components, to new nodes, to themselves and with null ends."""
     first = [(5, 4), (4, 9), (7, 8), (20, 21), (30, 31)]
