@@ -7,6 +7,9 @@ grams an edit there can affect; all others are grams of the edited word too. So
 difference, in the nearest gram that it can't affect on either side, and, as one edit is all there is, in what lies beyond. The
 index's lists of both are merged by joining on both at once, and pairs are verified. A place where an edit can affect all grams of
 the word has the rest of the word instead, so no near word is lost.
+
+Joins here ask for a merge, so that none is broadcast: Spark sizes the lists, with their dozens of rows a word, by the words' file,
+which is small and compressed.
 """
 
 from __future__ import annotations
@@ -187,15 +190,15 @@ def near_words(words: DataFrame, share: int = FREQUENT) -> DataFrame:
         return index
 
     lists = short.select("word", "n").mapInArrow(indexed(True), "key long, word string, n long")
-    l, r = lists.alias("l"), lists.alias("r")
+    l, r = lists.alias("l"), lists.alias("r").hint("merge")
     met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.word") < F.col("r.word")) & (F.levenshtein("l.word", "r.word", 1) == 1))
     pairs = met.select(F.struct("l.word", "l.n").alias("a"), F.struct("r.word", "r.n").alias("b"))
     # Long words by number; the hash of all that is left is the proof.
     numbered = saved(long.withColumn("id", F.xxhash64("word")))
     places = numbered.select("word", "n", "id").mapInArrow(indexed(False), "key long, check long, id long")
-    l, r = places.alias("l"), places.alias("r")
+    l, r = places.alias("l"), places.alias("r").hint("merge")
     met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.check") == F.col("r.check")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    of = lambda c: numbered.select(F.col("id").alias(c), F.struct("word", "n").alias(f"_{c}"))
+    of = lambda c: numbered.select(F.col("id").alias(c), F.struct("word", "n").alias(f"_{c}")).hint("merge")
     longer = met.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where(f"greatest(length(a.word), length(b.word)) > {LONG}")
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return pairs.distinct().unionByName(longer).select(both.alias("p")).select("p.a.word", "p.a.n", F.col("p.b.word").alias("other"), F.col("p.b.n").alias("n_other"))
@@ -214,9 +217,9 @@ def spelling_variants(words: DataFrame, times: int = TIMES, share: int = FREQUEN
     roots = saved(named.where("to is not null").select("word", F.col("to.form").alias("root"), F.lit(True).alias("moved")))
     while roots.where("moved").limit(1).count():
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        was, roots = roots, saved(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        was, roots = roots, saved(roots.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         discard(was)
-    out = words.join(named, "word", "left").join(roots, "word", "left")
+    out = words.join(named.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return out.select("word", F.col("to.form").alias("form"), F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("to.form_n").alias("form_n"))
 
 

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from lexhoard import session
 from lexhoard.llm import variants
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +129,11 @@ def test_variants_query(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert got == sorted(con.execute(variants.ORACLE_OP11).fetchall())
+
+
+def test_no_join_is_broadcast(spark):
+    """The words' small file says nothing of the size of their lists, which would fill the driver."""
+    words = session.saved(spark.createDataFrame([(w, 3 + i) for i, w in enumerate(_made("abcdef", 50, 8, random.Random(1)))], "word string, n long"))
+    for df in (variants.near_words(words), variants.spelling_variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
