@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from lexhoard.session import saved
 from lexhoard.sources import normalize
 
 _BAD = "_corrupt_record"
+_OPENED = re.compile(rb"<(item|entry)[\s>]")
+#: Bytes of items in a batch that goes back to Spark; one more item may come on top.
+_BATCH = 1 << 22
 
 
 def read_xml_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -24,9 +31,45 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, file): each item or entry of RSS and Atom files. A feed's file is small and read as a whole."""
-    every = F.regexp_extract_all("value", F.lit(r"(?s)(<item[\s>].*?</item>|<entry[\s>].*?</entry>)"), F.lit(1))
-    return spark.read.text(path, wholetext=True).select(F.explode(every).alias("raw"), F.col("_metadata.file_path").alias("file"))
+    """(raw, file): each item and entry of RSS and Atom files, from its tag to the next end tag of that name.
+
+    Files are read in pieces, cut at "</", by many tasks. A file's pieces come in order to one task, led by the number of end tags
+    that the file has of either name, and are put together as they stream by: no more than one item is held, however large the file.
+    Then items are dealt out evenly, as what is done with them takes longer.
+    """
+    read = spark.read.option("lineSep", "</").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    ends = [F.count_if(F.startswith("value", F.lit(f"{tag}>"))).alias(tag) for tag in ("item", "entry")]
+    first = read.groupBy("file").agg(*ends).withColumn("start", F.lit(-1).cast("long"))
+    rows = read.withColumn("value", F.col("value").cast("binary")).unionByName(first, allowMissingColumns=True)
+    ordered = rows.repartition("file").sortWithinPartitions("file", "start", "at")
+    return ordered.select("file", "start", "value", "item", "entry").mapInArrow(_joined, "raw string, file string").hint("rebalance")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(raw, file) from a file's pieces. A tag that no end tag follows in its file opens nothing, and what comes after it counts."""
+    out, size, tag, held, left = [], 0, b"", [], {}
+    for b in batches:
+        for file, start, value, items, entries in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if start < 0:
+                tag, held, left = b"", [], {b"item": items, b"entry": entries}
+                continue
+            end = next((t for t in left if value.startswith(t + b">")), b"")
+            if end:
+                left[end] -= 1
+            if tag and tag != end:
+                held.append(value)
+                continue
+            if tag:
+                raw = b"</".join([*held, tag + b">"])
+                out.append((raw.decode("utf-8", "replace"), file))
+                size += len(raw)
+            opened = next((m for m in _OPENED.finditer(value) if left[m[1]]), None)
+            tag, held = (opened[1], [value[opened.start() :]]) if opened else (b"", [])
+            if size > _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["raw", "file"])
+                out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["raw", "file"])
 
 
 def parsed(landed: DataFrame, schema: str, fmt: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexhoard.functions.dates import parse_date_parts, parse_flexible_date
 from lexhoard.functions.ids import identifier_urls, phase_label, raw_sha256
 from lexhoard.functions.text import empty_to_null, extract_doi, html_to_text, normalize_doi, normalize_orcid, safe_url
+from lexhoard.session import saved
 
 _YMD = "STRUCT<Year:STRING,Month:STRING,Day:STRING>"
 #: Titles and abstracts stay strings: the XML reader keeps inline markup in a string and would lose mixed content in a struct.
@@ -263,7 +264,8 @@ def normalize_feeds(df: DataFrame, feeds: DataFrame, per_feed: int | None = None
     df: `feed` and the fields of ENTRY_SCHEMA, RSS items and Atom entries alike. feeds: name, source_type, attribution; a feed that it
     lacks counts as news without attribution. `per_feed`: the newest so many items of each feed (by date, then id).
     """
-    told = feeds.groupBy(F.col("name").alias("feed")).agg(F.min("source_type").alias("_type"), F.min("attribution").alias("_by"))
+    # Written, so that its size is known before the join, and the rows aren't shuffled by feed.
+    told = saved(feeds.groupBy(F.col("name").alias("feed")).agg(F.min("source_type").alias("_type"), F.min("attribution").alias("_by")))
     joined = df.join(told, "feed", "left").withColumn("_type", F.coalesce("_type", F.lit("news")))
     one = lambda *c: F.coalesce(*[empty_to_null(F.trim(x)) for x in c])
     plain = lambda c, most: empty_to_null(html_to_text(c, most))

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,32 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     (tmp_path / "r" / "a.jsonl").unlink()
     (tmp_path / "r" / "b.jsonl").write_text('{"id": "x", "n": 1}\n\n')
     assert landing.read_strict(spark, str(tmp_path / "r"), "id string, n long").count() == 1
+
+
+def test_feed_files_are_read_by_many_tasks(spark, tmp_path):
+    """Items are what one expression finds in the whole file, wherever splits fall, in both dialects, nested or never closed."""
+    rng = random.Random(3)
+    parts = ["<item>", "<item a='1'>", "<items>", "</item>", "</item>", "</item >", "<entry\n>", "<entry>", "</entry>", "</entry>", "<b>é</b>", "</", "item>", "\r\n", "x" * 40, "a & b", "<", " "]
+    whole = re.compile(r"(?s)(<item[\s>].*?</item>|<entry[\s>].*?</entry>)")
+    texts = {f"{i}.xml": "".join(rng.choices(parts, k=rng.choice([3, 30, 400]))) for i in range(40)}
+    texts |= {"header.xml": "<feed><title>on <item> tags</title>" + "<entry>a</entry>" * 200, "cut.xml": "<item>1</item>" * 150 + "<item>2 <entry>3</entry> 4", "bare.xml": "item></item>", "empty.xml": "", "one.xml": "<item>" + "y</b>" * 2000 + "</item>"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "bytes.xml").write_bytes(b"<item>\xff\xc3</item>")
+    options = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("feeds", "")
+        got = sorted((r["file"].rsplit("/", 1)[1], r["raw"]) for r in landing.read_feed_rows(spark, str(tmp_path)).collect())
+        assert got == sorted([(name, raw) for name, text in texts.items() for raw in whole.findall(text)] + [("bytes.xml", "<item>��</item>")])
+        spark.sparkContext.setJobGroup("large", "")
+        assert landing.read_feed_rows(spark, str(tmp_path / "one.xml")).count() == 1
+        told = spark.sparkContext.statusTracker()
+        stages = [told.getStageInfo(s) for job in told.getJobIdsForGroup("large") for s in told.getJobInfo(job).stageIds]
+        assert max(s.numTasks for s in stages if s) > 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
