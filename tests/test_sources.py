@@ -70,3 +70,12 @@ def test_feed(spark):
     assert set(out) == {"News x", "Doi"}
     assert out["News x"]["description"] == "Hi & by" and out["News x"]["published_date"] == dt.date(2024, 2, 6) and out["News x"]["record_type"] == "regulatory"
     assert out["Doi"]["doi"] == "10.1000/q1" and out["Doi"]["published_date"] is None
+
+
+def test_feeds_are_joined_where_items_are(spark):
+    """A few feeds hold all items; dealt by feed, they would come to as many tasks."""
+    feeds = spark.createDataFrame([("f", "regulatory", "Agency")], "name string, source_type string, attribution string")
+    items = spark.range(100).select(F.lit("<item/>").alias("raw"), F.lit("f").alias("feed"), F.from_xml(F.lit("<item><title>T</title><link>https://e.com</link></item>"), N.ENTRY_SCHEMA).alias("x")).select("raw", "feed", "x.*")
+    out = N.normalize_feeds(items, feeds)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.select("publisher", "record_type").distinct().collect()] == [("Agency", "regulatory")] and out.count() == 100
